@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Partition column of stored tables: the first day of the month of the table's date.
+MONTH_KEY = "month_key"
+
+
 def as_date(value: str | date) -> date:
     """A date from a date, a timestamp or an ISO text (``2026-01`` counts as its first day)."""
     if isinstance(value, date):
@@ -34,11 +38,14 @@ def month_code(day: Column) -> Column:
 def in_period(df: DataFrame, column: str, period: str | date | None) -> DataFrame:
     """Rows of one calendar month; all rows without a period or without the column.
 
-    The bounds are literals, so the predicate reaches the Parquet scan and prunes partitions.
+    The bounds are literals, so the predicate reaches the Parquet scan; a table stored by month is
+    also pruned to the folder of that month.
     """
     if period is None or column not in df.columns:
         return df
     start, end = period_bounds(period)
+    if MONTH_KEY in df.columns:
+        df = df.where(F.col(MONTH_KEY) == F.lit(start))
     return df.where(F.col(column).between(F.lit(start), F.lit(end)))
 
 
