@@ -1,7 +1,9 @@
-"""One-row frames used as scalar subqueries instead of cross joins."""
+"""One-row frames put beside other rows without a cross join."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,18 +14,25 @@ def scalar_row(one_row: DataFrame) -> Column:
 
 
 def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """``df`` plus the columns of a one-row frame."""
-    row = scalar_row(one_row)
-    fields = one_row.columns
-    return (
-        df.withColumn("_row", row)
-        .select(*[F.col(c) for c in df.columns], *[F.col("_row")[c].alias(c) for c in fields])
+    """``df`` plus the columns of a one-row frame, as a scalar subquery."""
+    return df.withColumn("_row", scalar_row(one_row)).select(
+        *[F.col(c) for c in df.columns], *[F.col("_row")[c].alias(c) for c in one_row.columns]
     )
 
 
 def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
-    """Several one-row frames as one row."""
-    out, *others = one_row_frames
-    for frame in others:
-        out = attach(out, frame)
-    return out
+    """Several one-row frames as one row.
+
+    The rows are stacked with NULL in each other's columns and folded together, so all of them are
+    computed in one job.
+    """
+    fields = [field for frame in one_row_frames for field in frame.schema.fields]
+
+    def padded(frame: DataFrame) -> DataFrame:
+        own = set(frame.columns)
+        return frame.select(
+            *[F.col(f.name) if f.name in own else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+        )
+
+    stacked = reduce(DataFrame.unionByName, [padded(frame) for frame in one_row_frames])
+    return stacked.agg(*[F.max(f.name).alias(f.name) for f in fields])

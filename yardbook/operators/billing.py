@@ -37,14 +37,15 @@ def earned_against_invoiced(lines: DataFrame, invoices: DataFrame, *extra: Colum
     )
 
 
-def _terms(tables: Catalog) -> DataFrame:
+def billing_terms(tables: Catalog) -> DataFrame:
+    """Earned, invoiced and unbilled amount of every hire term over all dates."""
     return earned_against_invoiced(tables["revenue_engine"], tables["invoice_myob"])
 
 
 def wip_summary(tables: Catalog) -> DataFrame:
     """Unbilled revenue per hire term over all dates, with customer and equipment."""
     return (
-        _terms(tables)
+        tables["billing_terms"]
         .join(tables["job_master"].select("job_id", "customer_name"), "job_id")
         .join(tables["fleet_register"].select("asset_id", "equipment_type"), "asset_id")
         .select(
@@ -108,7 +109,7 @@ def billing_status_rule(invoiced: Column, wip: Column, rules: Rules = DEFAULT_RU
 def wip_status(tables: Catalog, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Unbilled revenue and billing state per hire term, without dimension columns."""
     state = billing_status_rule(F.col("invoiced_amount_cents"), F.col("wip_cents"), rules)
-    return _terms(tables).withColumn("status", state)
+    return tables["billing_terms"].withColumn("status", state)
 
 
 def billing_status(tables: Catalog) -> DataFrame:
@@ -152,7 +153,7 @@ def wip_by_job(tables: Catalog, as_of: str | date, rules: Rules = DEFAULT_RULES)
         .otherwise("OK")
     )
     return (
-        _terms(tables)
+        tables["billing_terms"]
         .groupBy("job_id")
         .agg(
             F.sum("earned_revenue_cents").alias("earned"),

@@ -11,7 +11,6 @@ from yardbook.config import DEFAULT_RULES, Rules
 from yardbook.functions import money
 from yardbook.functions.periods import as_date, in_period, observed_months, period_bounds
 from yardbook.functions.scalars import side_by_side
-from yardbook.operators.tax import dated_withholding
 from yardbook.sources.catalog import Catalog
 
 # Journal, name, debit account, credit account (code and name), memo, short note.
@@ -102,7 +101,7 @@ def journal_pack(
     month_end = F.last_day("cost_date")
     wip = journal(_open_wip(tables).where("wip > 0"), "JE001", F.lit(as_date(wip_date)), F.col("wip"))
     costs = tables["costs"].groupBy(month_end.alias("day")).agg(F.sum("amount_cents").alias("total"))
-    withheld = dated_withholding(tables).groupBy(month_end.alias("day")).agg(F.sum("withholding_cents").alias("total"))
+    withheld = tables["dated_withholding"].groupBy(month_end.alias("day")).agg(F.sum("withholding_cents").alias("total"))
     fleet = tables["fleet_register"].agg(F.count("*").alias("n"))
     depreciation = months.select(
         F.lit("JE003").alias("journal_id"),
@@ -154,7 +153,7 @@ def assert_balanced(journal: DataFrame) -> None:
 def _period_amounts(tables: Catalog, period: str | date, rules: Rules) -> DataFrame:
     """The four journal amounts of one month as one row, zero where there is nothing."""
     costs = in_period(tables["costs"], "cost_date", period).agg(money.cents(F.sum("amount_cents")).alias("JE002"))
-    withheld = in_period(dated_withholding(tables), "cost_date", period)
+    withheld = in_period(tables["dated_withholding"], "cost_date", period)
     return side_by_side(
         _open_wip(tables).select(money.cents(F.col("wip")).alias("JE001")),
         costs,

@@ -65,10 +65,11 @@ def _rated(tables: Catalog, usage: DataFrame) -> DataFrame:
     return (
         usage.join(card, "equipment_type")
         .join(override, ["job_id", "equipment_type"], "left")
-        .withColumn("rate_used_cents", F.coalesce("override_rate_cents", "hourly_rate_cents"))
-        .withColumn(
-            "rate_source",
-            F.when(F.col("override_rate_cents").isNotNull(), "Override").otherwise("Rate card"),
+        .select(
+            *usage.columns,
+            "float_fee_cents",
+            F.coalesce("override_rate_cents", "hourly_rate_cents").alias("rate_used_cents"),
+            F.when(F.col("override_rate_cents").isNotNull(), "Override").otherwise("Rate card").alias("rate_source"),
         )
     )
 
@@ -115,28 +116,31 @@ def priced_usage(
     for it; the others pass straight from the scan. The term hours always cover all dates, the
     period applies to the rows that are priced.
     """
+    usage = in_period(tables["usage_log"], "usage_date", period)
+    kept = [c for c in usage.columns if c != "hours_worked"]
     hours = billable_hours_rule(F.col("hours_worked"), F.col("rain_flag"), hour_rounding, rules)
-    usage = in_period(tables["usage_log"], "usage_date", period).withColumn("billable_hours", hours)
     fee = float_fee_rule(F.col("float_fee_cents"), F.col("total_term_hours"), rules)
-    charged = (
-        _rated(tables, usage.where("float_required"))
-        .join(_short_terms(tables, rules), TERM, "left")
-        .withColumn("float_applied_cents", fee)
-        .drop("total_term_hours")
-    )
-    plain = _rated(tables, usage.where("not float_required or float_required is null")).withColumn(
-        "float_applied_cents", F.lit(0).cast("bigint")
-    )
+    rate = ["rate_used_cents", "rate_source"]
+
+    def priced(rows: DataFrame, float_fee: Column) -> DataFrame:
+        return rows.select(
+            *kept,
+            F.col("hours_worked").alias("actual_hours"),
+            hours.alias("billable_hours"),
+            *rate,
+            float_fee.alias("float_applied_cents"),
+        )
+
+    charged = _rated(tables, usage.where("float_required")).join(_short_terms(tables, rules), TERM, "left")
+    plain = _rated(tables, usage.where("not float_required or float_required is null"))
+    both = priced(charged, fee).unionByName(priced(plain, F.lit(0).cast("bigint")))
     hire = money.round_div(money.tenths(F.col("billable_hours")) * F.col("rate_used_cents"), 10)
+    total, tax = F.col("total_revenue_cents"), F.col("gst_output_cents")
     return (
-        charged.unionByName(plain)
-        .withColumnRenamed("hours_worked", "actual_hours")
-        .withColumn("hire_revenue_cents", hire)
-        .withColumn("total_revenue_cents", F.col("hire_revenue_cents") + F.col("float_applied_cents"))
-        .withColumn("gst_output_cents", money.gst(F.col("total_revenue_cents")))
-        .withColumn("tax_code", F.lit("GST"))
-        .withColumn("bas_g1_cents", F.col("total_revenue_cents"))
-        .withColumn("bas_1a_cents", F.col("gst_output_cents"))
+        both.select("*", hire.alias("hire_revenue_cents"))
+        .select("*", (F.col("hire_revenue_cents") + F.col("float_applied_cents")).alias("total_revenue_cents"))
+        .select("*", money.gst(total).alias("gst_output_cents"))
+        .select("*", F.lit("GST").alias("tax_code"), total.alias("bas_g1_cents"), tax.alias("bas_1a_cents"))
     )
 
 

@@ -85,7 +85,7 @@ def bas_check_lines(
     all_lines = (
         lines(_monthly(tables["revenue_engine"], "usage_date", g1="bas_g1_cents", one_a="bas_1a_cents"), sales)
         .unionByName(lines(_monthly(tables["costs"], "cost_date", g11="bas_g11_cents", one_b="bas_1b_cents"), purchases))
-        .unionByName(lines(_monthly(dated_withholding(tables), "cost_date", w4="withholding_cents"), withheld))
+        .unionByName(lines(_monthly(tables["dated_withholding"], "cost_date", w4="withholding_cents"), withheld))
         .unionByName(lines(months.withColumnRenamed("month_start", "period_start"), empty))
     )
     return all_lines.select(
@@ -128,7 +128,7 @@ def bas_period(tables: Catalog, period: str | date) -> DataFrame:
     """The activity statement of one month as one row, zeros where nothing happened."""
     sales = _total(in_period(tables["revenue_engine"], "usage_date", period), g1="bas_g1_cents", one_a="bas_1a_cents")
     purchases = _total(in_period(tables["costs"], "cost_date", period), g11="bas_g11_cents", one_b="bas_1b_cents")
-    withheld = _total(in_period(dated_withholding(tables), "cost_date", period), w4="withholding_cents")
+    withheld = _total(in_period(tables["dated_withholding"], "cost_date", period), w4="withholding_cents")
     return side_by_side(sales, purchases, withheld).select(
         F.lit(period_bounds(period)[0]).alias("period"),
         F.col("g1").alias("G1"),
@@ -289,7 +289,7 @@ def myob_recon(tables: Catalog, period: str | date, rules: Rules = DEFAULT_RULES
 def withholding_summary(tables: Catalog) -> DataFrame:
     """Withholding liability per month, with the proof that it stays out of net tax."""
     return (
-        dated_withholding(tables)
+        tables["dated_withholding"]
         .groupBy(month_start(F.col("cost_date")).alias("month_start"))
         .agg(
             F.sum("gross_ex_gst_cents").alias("gross_subject_to_withholding_cents"),
@@ -304,7 +304,7 @@ def withholding_summary(tables: Catalog) -> DataFrame:
 def payg_register(tables: Catalog, period: str | date) -> DataFrame:
     """Withholding entries whose cost falls in one month."""
     return (
-        in_period(dated_withholding(tables), "cost_date", period)
+        in_period(tables["dated_withholding"], "cost_date", period)
         .select(
             "payg_withholding_id",
             "job_id",
@@ -323,7 +323,7 @@ def payg_register(tables: Catalog, period: str | date) -> DataFrame:
 
 def payg_totals(tables: Catalog, period: str | date) -> DataFrame:
     """Gross, withheld and net payments of one month."""
-    entries = in_period(dated_withholding(tables), "cost_date", period)
+    entries = in_period(tables["dated_withholding"], "cost_date", period)
     withheld = F.col("withheld_cents")
     return _total(entries, gross_cents="gross_ex_gst_cents", withheld_cents="withholding_cents").select(
         "gross_cents",

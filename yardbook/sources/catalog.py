@@ -54,11 +54,13 @@ def _derived() -> dict[str, Loader]:
 
     return {
         "revenue_engine": revenue.revenue_engine,
+        "billing_terms": billing.billing_terms,
         "wip_summary": billing.wip_summary,
         "job_profit": profit.job_profit_table,
         "asset_profit": profit.asset_profit_table,
         "forecast_assumptions": forecast.forecast_assumptions,
         "myob_gl_extract": tax.gl_extract,
         "bas_check": tax.bas_check_lines,
+        "dated_withholding": tax.dated_withholding,
         "exception_log": exceptions.exception_log_build,
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,14 @@ from yardbook.sources.catalog import Catalog
 
 
 def finance_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """Catalog of the finance tables over one test-data folder. Nothing is read until used."""
+    """Catalog of the finance tables over one test-data folder, built as they are used."""
+
+    opened: dict[str, DataFrame] = {}
 
     def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name not in opened:
+            opened[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return opened[name]
 
     def rate_card(_: Catalog) -> DataFrame:
         return raw("nation").selectExpr(
@@ -86,17 +91,23 @@ def finance_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
     def usage_keys() -> DataFrame:
         """Usage rows with the numeric keys the other projections derive their values from."""
-        assets = raw("supplier").agg(F.count("*").alias("n")).scalar()
+        if "usage" in opened:
+            return opened["usage"]
+        assets = raw("supplier").count()  # from the file footers
         lines = raw("lineitem").withColumn(
-            "line_asset", (F.col("l_orderkey") + 7 * (F.col("l_linenumber") % 2)) % assets
+            "line_asset", (F.col("l_orderkey") + 7 * (F.col("l_linenumber") % 2)) % F.lit(assets)
         )
-        return lines.join(fleet_keys(), F.col("line_asset") == F.col("asset_key")).selectExpr(
+        # Supplier and nation join one after the other: Spark sees two small tables, not their product.
+        owned = lines.join(
+            raw("supplier").select("s_suppkey", "s_nationkey"), F.col("line_asset") == F.col("s_suppkey")
+        ).join(raw("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
+        opened["usage"] = owned.selectExpr(
             """concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string),
                          cast(l_partkey as string), cast(l_suppkey as string),
                          cast(cast(l_shipdate as date) as string)) as usage_id""",
             "concat('J', lpad(cast(l_orderkey as string), 9, '0')) as job_id",
-            "asset_id",
-            "equipment_type",
+            "concat('A', lpad(cast(s_suppkey as string), 7, '0')) as asset_id",
+            "n_name as equipment_type",
             "cast(l_shipdate as date) as usage_date",
             "concat('Site ', cast(l_orderkey % 8 as string)) as site_name",
             "cast(4.0 + 0.5 * (cast(l_quantity as int) % 17) as decimal(5,1)) as hours_worked",
@@ -109,6 +120,7 @@ def finance_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             "l_linenumber as line_no",
             "cast(round(l_extendedprice) as bigint) as px",
         )
+        return opened["usage"]
 
     def usage_log(_: Catalog) -> DataFrame:
         return usage_keys().drop("job_key", "part_key", "supp_key", "line_no", "px")
@@ -132,7 +144,7 @@ def finance_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         )
 
     def costs(_: Catalog) -> DataFrame:
-        # One scan of the usage rows gives all cost rows that belong to them.
+        # One branch per kind: a query for one category or tax code drops the other branches.
         # Id letter, category, amount, tax code, supplier, condition.
         kinds = [
             ("F", "Fuel", "px", "GST", "Fuel depot", "true"),
@@ -141,25 +153,26 @@ def finance_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             ("T", "Transport/float", "40000 + (supp_key * 101) % 80000", "GST", "Haulage", "float_required"),
             ("E", "E-tag", "2000 + (part_key * 11) % 10000", "GST", "Tolls", "part_key % 5 = 0"),
         ]
-        entries = ", ".join(
-            f"""case when {when} then named_struct('letter', '{letter}', 'cost_category', '{category}',
-                'amount_cents', cast({amount} as bigint), 'tax_code', '{code}', 'supplier_name', '{supplier}') end"""
-            for letter, category, amount, code, supplier, when in kinds
-        )
-        from_usage = usage_keys().selectExpr(
-            "usage_id", "job_id", "job_key", "asset_id", "usage_date", f"inline(array_compact(array({entries})))"
-        )
-        per_usage = from_usage.selectExpr(
-            "concat(letter, '-', usage_id) as cost_id",
-            "usage_id",
-            "case when letter = 'E' and job_key % 97 = 0 then 'J-MISSING' else job_id end as job_id",
-            "asset_id",
-            "usage_date as cost_date",
-            "cost_category",
-            "amount_cents",
-            "tax_code",
-            "supplier_name",
-        )
+
+        def branch(letter: str, category: str, amount: str, code: str, supplier: str, when: str) -> DataFrame:
+            job = "job_id" if letter != "E" else "case when job_key % 97 = 0 then 'J-MISSING' else job_id end"
+            return (
+                usage_keys()
+                .where(when)
+                .selectExpr(
+                    f"concat('{letter}-', usage_id) as cost_id",
+                    "usage_id",
+                    f"{job} as job_id",
+                    "asset_id",
+                    "usage_date as cost_date",
+                    f"'{category}' as cost_category",
+                    f"cast({amount} as bigint) as amount_cents",
+                    f"'{code}' as tax_code",
+                    f"'{supplier}' as supplier_name",
+                )
+            )
+
+        per_usage = reduce(DataFrame.unionByName, [branch(*kind) for kind in kinds])
         subcontract = (
             jobs()
             .where("job_key % 20 = 0")
