@@ -25,6 +25,10 @@ class Catalog(Mapping[str, DataFrame]):
         """Whether the table is a source rather than derived on demand."""
         return name in self._loaders
 
+    def sources(self) -> list[str]:
+        """Names of the source tables."""
+        return list(self._loaders)
+
     def with_tables(self, **tables: DataFrame | Loader) -> "Catalog":
         """A copy with some tables replaced or added."""
         return Catalog(self.spark, {**self._loaders, **tables})

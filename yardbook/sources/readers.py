@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from yardbook.functions.periods import MONTH_KEY
 from yardbook.sources.catalog import Catalog
 from yardbook.sources.schemas import OPTIONAL_COLUMNS, SCHEMAS, SOURCE_TABLES
 
@@ -49,7 +50,10 @@ def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_parquet_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return _complete(spark.read.parquet(path), name)
+    """A Parquet table; the month folders of a partitioned table stay visible for pruning."""
+    stored = spark.read.parquet(path)
+    table = _complete(stored, name)
+    return table if MONTH_KEY not in stored.columns else stored.select(*table.columns, MONTH_KEY)
 
 
 def table_or_empty(spark: SparkSession, folder: str, name: str, fmt: str = "csv") -> DataFrame:

@@ -52,13 +52,29 @@ _DDL = {
 }
 
 
+_TYPES = {
+    "string": T.StringType(),
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "date": T.DateType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def _type(kind: str) -> T.DataType:
+    if kind.startswith("decimal("):
+        precision, scale = kind[len("decimal(") : -1].split(";")
+        return T.DecimalType(int(precision), int(scale))
+    return _TYPES[kind]
+
+
 def _struct(ddl: str) -> T.StructType:
     fields = []
     for item in ddl.split(","):
         name, kind = item.split()
         required = kind.endswith("!")
-        data_type = T.DataType.fromDDL(kind.rstrip("!").replace(";", ","))
-        fields.append(T.StructField(name, data_type, nullable=not required))
+        fields.append(T.StructField(name, _type(kind.rstrip("!")), nullable=not required))
     return T.StructType(fields)
 
 

@@ -15,6 +15,9 @@ from yardbook.operators.revenue import revenue_id_seq
 from yardbook.operators.tax import bas_period
 from yardbook.sources.catalog import Catalog
 
+# Large source tables, their date column for monthly partitions.
+FACT_DATES = {"usage_log": "usage_date", "costs": "cost_date", "invoice_myob": "invoice_date"}
+
 # Derived table, its date column for monthly partitions (None: one folder).
 DERIVED_TABLES = {
     "revenue_engine": "usage_date",
@@ -42,20 +45,36 @@ def write_table(df: DataFrame, path: str, day: str | None = None) -> None:
         _by_month(df, day).write.mode("overwrite").partitionBy(MONTH_KEY).parquet(path)
 
 
+def store_sources(tables: Catalog, folder: str, by_month: bool = True) -> Catalog:
+    """Write the source tables of a catalog as Parquet and return a catalog that reads them.
+
+    Each table replaces its source before the next one is written, so tables that are derived from
+    others read the stored form. Facts are partitioned by month unless ``by_month`` is off.
+    """
+    for name in tables.sources():
+        path = f"{folder.rstrip('/')}/{name}.parquet"
+        write_table(tables[name], path, FACT_DATES.get(name) if by_month else None)
+        tables = tables.with_tables(**{name: tables.spark.read.parquet(path)})
+    return tables
+
+
 def refresh_period(df: DataFrame, path: str, day: str, period: str | date) -> None:
     """Replace one month of a table that is partitioned by month; the other months stay."""
     rows = _by_month(in_period(df, day, period), day)
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH_KEY).parquet(path)
 
 
-def materialise(tables: Catalog, folder: str, numbered: bool = True) -> Catalog:
+def materialise(tables: Catalog, folder: str, numbered: bool = True, by_month: bool = True) -> Catalog:
     """Write the derived tables in order of dependency and return a catalog that reads them.
 
-    Every table is stored before the next one is built, so each fact is computed once. With
-    ``numbered`` the revenue rows carry their running id.
+    Every table is stored before the next one is built, so each fact is computed once. A table the
+    catalog already stores is left alone. With ``numbered`` the revenue rows carry their running id.
     """
     spark = tables.spark
     for name, day in DERIVED_TABLES.items():
+        if tables.stored(name):
+            continue
+        day = day if by_month else None
         path = f"{folder.rstrip('/')}/{name}"
         if name == "revenue_engine" and numbered:
             write_table(revenue_id_seq(tables), path, day)
