@@ -26,13 +26,13 @@ def side_by_side(*one_row_frames: DataFrame) -> DataFrame:
     The rows are stacked with NULL in each other's columns and folded together, so all of them are
     computed in one job.
     """
-    fields = [field for frame in one_row_frames for field in frame.schema.fields]
+    types = {f.name: f.dataType.simpleString() for frame in one_row_frames for f in frame.schema.fields}
 
     def padded(frame: DataFrame) -> DataFrame:
         own = set(frame.columns)
-        return frame.select(
-            *[F.col(f.name) if f.name in own else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+        return frame.selectExpr(
+            *[f"`{name}`" if name in own else f"cast(null as {kind}) as `{name}`" for name, kind in types.items()]
         )
 
-    stacked = reduce(DataFrame.unionByName, [padded(frame) for frame in one_row_frames])
-    return stacked.agg(*[F.max(f.name).alias(f.name) for f in fields])
+    stacked = reduce(DataFrame.union, [padded(frame) for frame in one_row_frames])
+    return stacked.selectExpr(*[f"max(`{name}`) as `{name}`" for name in types])
