@@ -174,3 +174,32 @@ def test_invariants(stored):
         F.sum(F.expr("forecast_revenue + utilisation_variance + rate_variance + mix_variance"))
     )
     assert whole.first()[0] == hire
+
+
+def test_variance_without_hire_column_uses_total_less_float(mini):
+    tables = mini(
+        usage_log=[usage(1, hours="20.0", floats=True)], rate_card=[card()], fleet_register=[asset()], job_master=[job()]
+    )
+    plan = forecast.forecast_input(tables)
+    lines = tables["revenue_engine"]
+    full = forecast.forecast_variance(plan, lines).collect()
+    assert forecast.forecast_variance(plan, lines.drop("hire_revenue_cents")).collect() == full
+    assert full[0].actual_revenue == 330_000
+
+
+def test_variance_keeps_types_of_one_side(mini):
+    tables = mini(
+        usage_log=[usage(1)], rate_card=[card(), card("Loader")], fleet_register=[asset("A2", "Loader")],
+        job_master=[job()],
+    )
+    full = forecast.forecast_variance_period(tables, "2026-01")
+    assert {r.equipment_type: r.variance_pct for r in full.collect()}["Dozer"] == 0
+    scenario = forecast.forecast_variance_scenario(tables, "2026-01")
+    assert [r.equipment_type for r in scenario.collect()] == ["Loader"]
+
+
+def test_period_bundle(stored):
+    bundle = overview.period_bundle(stored, "1998-06", "2001-12-31", utilisation_pct=0.8, days=26)
+    assert len(bundle) == 12
+    assert bundle["journals"].count() == 4 and bundle["bas"].count() == 1
+    assert bundle["revenue"].agg(F.sum("total_revenue_cents")).first()[0] == bundle["bas"].first()["G1"]

@@ -26,6 +26,18 @@ def test_positions_match_row_number_under_a_hot_key(spark):
     assert [r.position for r in got] == list(range(1, len(want) + 1))
 
 
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    from yardbook.functions.numbering import _own_scratch, clear_scratch
+
+    with_position(hot_rows(spark, 100), [F.col("row")]).count()
+    folder = _own_scratch(spark).removeprefix("file:")
+    assert os.path.isdir(folder)
+    clear_scratch(spark)
+    assert not os.path.exists(folder)
+
+
 def test_rank_gives_ties_the_same_place(spark):
     df = spark.createDataFrame([(f"c{i:04d}", 0 if i % 3 else i % 50) for i in range(3_000)], "name string, v long")
     values = sorted((r.v for r in df.collect()), reverse=True)

@@ -29,9 +29,19 @@ def scratch_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_folder(spark)}/yardbook-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application; numbered frames must be written by then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a scratch table and read it back, which cuts its lineage."""
-    path = f"{scratch_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -29,11 +29,11 @@ def invoiced_by_term(invoices: DataFrame) -> DataFrame:
 def earned_against_invoiced(lines: DataFrame, invoices: DataFrame, *extra: Column) -> DataFrame:
     """Earned, invoiced and unbilled amount per hire term that has revenue."""
     invoiced = money.cents(F.col("invoiced_amount_cents"))
-    return (
-        earned_by_term(lines, *extra)
-        .join(invoiced_by_term(invoices), TERM, "left")
-        .withColumn("invoiced_amount_cents", invoiced)
-        .withColumn("wip_cents", F.col("earned_revenue_cents") - F.col("invoiced_amount_cents"))
+    earned = earned_by_term(lines, *extra)
+    return earned.join(invoiced_by_term(invoices), TERM, "left").select(
+        *earned.columns,
+        invoiced.alias("invoiced_amount_cents"),
+        (F.col("earned_revenue_cents") - invoiced).alias("wip_cents"),
     )
 
 

@@ -11,12 +11,38 @@ from yardbook.config import DEFAULT_RULES, Rules
 from yardbook.functions import money
 from yardbook.functions.periods import in_period
 from yardbook.functions.scalars import side_by_side
+from yardbook.operators.billing import wip_ageing
 from yardbook.operators.exceptions import dashboard_exceptions, exception_scan
-from yardbook.operators.profit import job_profit_lines
-from yardbook.operators.tax import bas_period
+from yardbook.operators.forecast import forecast_variance_scenario
+from yardbook.operators.journals import journal_wide
+from yardbook.operators.profit import asset_unit_economics, job_profit, job_profit_lines
+from yardbook.operators.tax import bas_period, ftc_period, payg_register, payroll_compliance
 from yardbook.sources.catalog import Catalog
 
 
+def period_bundle(
+    tables: Catalog, period: str | date, as_of: str | date, **scenario
+) -> dict[str, DataFrame]:
+    """All frames of the period dashboard, lazy, under their names.
+
+    ``scenario`` takes the forecast assumptions of ``forecast_variance_scenario``.
+    """
+    return {
+        "revenue": in_period(tables["revenue_engine"], "usage_date", period),
+        "invoices": in_period(tables["invoice_myob"], "invoice_date", period),
+        "wip": wip_ageing(tables, as_of),
+        "job_profit": job_profit(tables),
+        "asset_profit": asset_unit_economics(tables),
+        "bas": bas_period(tables, period),
+        "payg": payg_register(tables, period),
+        "payroll": payroll_compliance(tables, period),
+        "ftc": ftc_period(tables, period),
+        "journals": journal_wide(tables, period),
+        "exceptions": dashboard_exceptions(tables, period, as_of),
+        "forecast_variance": forecast_variance_scenario(tables, period, **scenario),
+    }
+
+
 def overview_kpis(
     tables: Catalog, period: str | date, as_of: str | date, rules: Rules = DEFAULT_RULES
 ) -> DataFrame:

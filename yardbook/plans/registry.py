@@ -42,7 +42,7 @@ def _one_sided_journal(t: Catalog) -> DataFrame:
 
 def _exception_filter(t: Catalog) -> DataFrame:
     scan = exceptions.exception_scan(t, None, AS_OF)
-    return exceptions.exception_filter(scan, ["HIGH"], ["costs", "payg_withholding"], ["Open"])
+    return exceptions.exception_filter(scan, ["HIGH", "MEDIUM"], ["costs", "fuel_tax_credit"], ["Open"])
 
 
 def _resolutions(t: Catalog) -> DataFrame:
@@ -161,8 +161,8 @@ QUERIES: dict[str, Query] = {
     "exception_scan": lambda t: exceptions.exception_scan(t, None, AS_OF),
     "exception_scan_period": lambda t: exceptions.exception_scan(t, PERIOD, AS_OF),
     "billing_issues": lambda t: exceptions.billing_issues(t, None, AS_OF),
-    "missing_withholding": exceptions.missing_withholding,
-    "orphan_costs": exceptions.orphan_costs,
+    "missing_withholding": lambda t: exceptions.missing_withholding(t, PERIOD),
+    "orphan_costs": lambda t: exceptions.orphan_costs(t, PERIOD),
     "journal_imbalance": _one_sided_journal,
     "payroll_variance": lambda t: exceptions.payroll_issues(t, PERIOD, PERIOD),
     "stale_credits": lambda t: exceptions.stale_credit_issues(t, AS_OF),
