@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, token_counts
+from . import content_sort, mixing, token_counts
 from .common import read_table
 
 
@@ -14,11 +14,19 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", mixing.words_in(docs).alias("words"))
+    mixed = mixing.mix(sized, size=sized["words"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
+    "op3_mix_sources": mix_sources,
     "op6_token_counts": count_tokens,
     "op8_exact_dedup": exact_dedup,
 }
