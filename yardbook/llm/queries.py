@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, mixing, token_counts
+from . import content_sort, minhash, mixing, token_counts
 from .common import read_table
 
 
@@ -14,6 +14,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_groups(read_table(spark, sf_dir, "documents"), words_per_shingle=2, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", mixing.words_in(docs).alias("words"))
@@ -26,6 +31,7 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": near_dedup,
     "op3_mix_sources": mix_sources,
     "op6_token_counts": count_tokens,
     "op8_exact_dedup": exact_dedup,
