@@ -1,7 +1,8 @@
 """Exact duplicates by sorting contents.
 
 The normalised bytes of every text are range partitioned at sampled splitters and sorted, on disk
-where a partition is large, so equal texts become neighbours. One pass over each sorted partition
+where a partition is large, so equal texts become neighbours. Splitters hold the first bytes and a
+hash of the rest, so that the sample is of bounded size. One pass over each sorted partition
 compares every row with the one before it, whole bytes against whole bytes, and names the head of
 its run. Document length and identifier are part of the sort key, so a splitter may fall inside a
 group of copies: a group that holds a third of all rows is spread over many partitions. Runs that
@@ -70,10 +71,14 @@ def exact_groups(
         F.length(text_of(df, text)).alias("chars"),
         F.encode(normalised(df, text), "UTF-8").alias("key"),
     )
-    order = [F.col("key"), F.col("chars").desc(), F.col("id").asc_nulls_last(), F.col("at")]
-    ranged = texts.repartitionByRange(partitions, *order) if partitions else texts.repartitionByRange(*order)
+    # Splitters are sampled on the driver, so the order starts with a part of fixed size: the first bytes
+    # and a hash of all bytes. The whole bytes follow within a partition and decide which rows are equal.
+    coarse = [F.substring("key", 1, 32), F.xxhash64("key")]
+    rest = [F.col("chars").desc(), F.col("id").asc_nulls_last(), F.col("at")]
+    split = [*coarse, *rest]
+    ranged = texts.repartitionByRange(partitions, *split) if partitions else texts.repartitionByRange(*split)
     # The row number is the place in the total order, the part the number of the range partition.
-    ordered = ranged.sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id())
+    ordered = ranged.sortWithinPartitions(*coarse, F.col("key"), *rest).withColumn("row", F.monotonically_increasing_id())
     placed = ordered.select("row", F.shiftright("row", 33).alias("part"), "id", "at", "key")
     fields = [f for f in placed.schema if f.name != "key"]
     schema = T.StructType([*fields, T.StructField("run", T.LongType()), T.StructField("sha", T.StringType())])
