@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, minhash, mixing, token_counts
+from . import content_sort, decontaminate, minhash, mixing, token_counts
 from .common import read_table
 
 
@@ -30,7 +30,13 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("print")
+
+
 QUERIES = {
+    "op10_benchmark_decontamination": decontamination,
     "op1_minhash_near_dedup": near_dedup,
     "op3_mix_sources": mix_sources,
     "op6_token_counts": count_tokens,
