@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, decontaminate, minhash, mixing, token_counts
+from . import content_sort, decontaminate, minhash, mixing, quality, token_counts
 from .common import read_table
 
 
@@ -35,7 +35,13 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("print")
 
 
+def quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = quality.ratings(read_table(spark, sf_dir, "labels"))
+    return quality.scored(read_table(spark, sf_dir, "documents"), labels)
+
+
 QUERIES = {
+    "op5_quality_classifier": quality_grades,
     "op10_benchmark_decontamination": decontamination,
     "op1_minhash_near_dedup": near_dedup,
     "op3_mix_sources": mix_sources,
