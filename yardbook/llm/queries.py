@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import content_sort, decontaminate, minhash, mixing, quality, token_counts
+from . import content_sort, decontaminate, minhash, mixing, quality, token_counts, toxicity
 from .common import read_table
 
 
@@ -40,7 +41,17 @@ def quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read_table(spark, sf_dir, "documents"), labels)
 
 
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def held_out(frame: DataFrame):
+        return F.crc32(frame["doc_id"].cast("string")) % 5 == 0
+
+    labels = read_table(spark, sf_dir, "labels")
+    found = toxicity.toxicity(read_table(spark, sf_dir, "documents"), labels.where(~held_out(labels)).select("doc_id", "toxic"))
+    return found.select("doc_id", held_out(found).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op2_toxicity": toxicity_scores,
     "op5_quality_classifier": quality_grades,
     "op10_benchmark_decontamination": decontamination,
     "op1_minhash_near_dedup": near_dedup,
