@@ -21,6 +21,7 @@ def plain_model(texts, corpus, discount=2.0):
     for label in (0, 1):
         followers[label].update(w for _, w in grams[label])
     known = {w for c in followers.values() for w, n in c.items() if n > discount}
+    known |= {w for c in grams.values() for (_, w), n in c.items() if n > discount}
     holders = Counter(w for t in corpus for w in set(t.split()))
     shared = {w: (holders[w] + 1) / (sum(holders.values()) + len(known) + 1) for w in known}
 

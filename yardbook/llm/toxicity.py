@@ -171,13 +171,14 @@ def build(docs: DataFrame, sampled: DataFrame) -> Model | None:
     bigrams = sampled.mapInArrow(_count_bigrams, "toxic long, context long, word long")
     counted = cut(bigrams.groupBy("toxic", "context", "word").agg(F.count("*").alias("n")))
     over = F.sum(F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)))
-    by_word = counted.groupBy("toxic", "word").agg(F.count("*").alias("n"))
+    by_word = counted.groupBy("toxic", "word").agg(F.count("*").alias("n"), F.max("n").alias("most"))
     totals = {r.toxic: (r.held, r.kept) for r in by_word.groupBy("toxic").agg(F.sum("n").cast("double").alias("held"), over.alias("kept")).collect()}
     if set(totals) != {0, 1}:
         return None
     # All tables below are bounded by the sample: what occurs in more than DISCOUNT of its rows or contexts.
-    wide = by_word.groupBy("word").pivot("toxic", [0, 1]).agg(F.first("n")).fillna(0)
-    frame = wide.where(F.greatest("0", "1") > DISCOUNT).toPandas().sort_values("word").reset_index(drop=True)
+    sides = [F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).alias(str(c)) for c in (0, 1)]
+    wide = by_word.groupBy("word").agg(*sides, F.max("most").alias("most"))
+    frame = wide.where(F.greatest("0", "1", "most") > DISCOUNT).drop("most").toPandas().sort_values("word").reset_index(drop=True)
     vocabulary = frame["word"].to_numpy(np.int64)
     holders, all_holders = shared_counts(docs, vocabulary)
     shared = (holders + 1.0) / (all_holders + len(vocabulary) + 1.0)
@@ -195,7 +196,7 @@ def build(docs: DataFrame, sampled: DataFrame) -> Model | None:
     pairs = both.where(F.greatest("0", "1") > DISCOUNT).toPandas()
     size = max(len(vocabulary) - 1, 0)
     left, right = (np.minimum(np.searchsorted(vocabulary, pairs[c].to_numpy(np.int64)), size) for c in ("context", "word"))
-    inside = (vocabulary[left] == pairs["context"]) & (vocabulary[right] == pairs["word"]) if len(vocabulary) else np.zeros(0, bool)
+    inside = (vocabulary[left] == pairs["context"].to_numpy()) & (vocabulary[right] == pairs["word"].to_numpy()) if len(vocabulary) else np.zeros(len(pairs), bool)
     pairs, left, right = pairs[inside], left[inside], right[inside]
     logs = []
     for c in (1, 0):
