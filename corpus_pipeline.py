@@ -1,13 +1,57 @@
-"""The corpus pipeline (stages follow with their operators)."""
+"""The corpus pipeline: from raw documents to a mixed training set.
+
+Stages, in order: the quality classifier rejects poor documents; exact copies go; one document of each
+near-duplicate group stays (five-word shingles, similarity 0.8); documents that hold a benchmark item
+go; the sources are mixed to target shares. Each stage works on all rows that the one before it kept,
+and each result is stored in the shared folder before the next stage reads it. Null texts and
+identifiers, repeated rows, empty tables and extra columns are handled as each operator states.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from yardbook.llm import content_sort, decontaminate, minhash, mixing, quality
+from yardbook.llm.common import Scratch, read_table
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, quality.ratings(read_table(spark, sf_dir, "labels")))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return content_sort.keep_first(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs, words_per_shingle=5, percent=80)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the words the mix takes of each; their texts stay where they are."""
+    sized = docs.select("doc_id", "lang", "source", "n_chars", mixing.words_in(docs).alias("words"))
+    return mixing.mix(sized, size=sized["words"]).drop("words")
+
+
+STAGES = [
+    ("quality_classifier", good_documents),
+    ("exact_dedup", without_copies),
+    ("minhash_near_dedup", without_near_copies),
+    ("benchmark_decontamination", without_benchmark),
+    ("mixing_sources", mixed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,24 +3,24 @@
 Every text becomes the set of its word shingles as 64-bit hashes; its sketch is the ``k`` smallest.
 Texts with equal sets are one class, and only classes are compared.
 
-*Lists.* Each retained value is an inverted list of the classes that retain it, kept apart by set
-size (linked sets differ by at most the threshold's ratio). Shared retained values of two classes,
-with the ranks they have in both sketches, give the number of values that the two share among the
-``k`` smallest of the *union* - the union-sketch estimate - without shipping sketches.
+*Neighbours.* Sketches are sorted, as they are and from their second and third value on, and each is
+compared with the two before it. Close neighbours are confirmed and joined to first components, so
+that a large group of near copies costs a few rows per member in what follows. Nothing relies on it.
 
-*Stars.* First only pairs of a list's smallest class with its other classes are formed, so a large
-group of near copies costs a row per member and value. Verified links give first components.
+*Lists.* Each retained value is an inverted list of the classes that retain it, kept apart by set
+size (linked sets differ by at most the threshold's ratio). First one class of each component in a list
+is paired with those of the others, and components are joined; then all classes of components that are
+still different.
 
-*Rest.* Then all pairs of different components are formed in every list of at most ``wide``
-components. Wider lists (common phrases and lines) say little, and two linked sets share narrow
-values as well: that all of ``k`` = 32 shared values are wide while the sets are linked has a
-probability below 1e-9 as long as wide values make up less than 3/10 of a set, and below 2e-5 up to
-a half. Classes whose sketch is wide by a third or more are therefore also paired through the wide
-lists, among themselves.
+Linked sets share at least ``ENOUGH`` of their ``KEEP`` smallest union values, so it is enough that
+each class stands in its shortest lists, all but ``ENOUGH - 1`` of those it shares with anyone (prefix filtering, shortest list
+first). Lists of more than ``wide`` components - common phrases and lines - are left out, and counted
+as shared wherever a class has one; classes that stand mostly in such lists are paired through them as
+well, among themselves.
 
-*Estimate.* A pair passes if it shares 12 of the 32 smallest values of the union, counting at first
-each value of a wide list as shared (or the smallest possible intersection, where that is smaller). A
-pair at the threshold of 0.8 fails with a probability of 2.3e-8.
+*Estimate.* A pair passes if it shares 23 of the 48 smallest values of the union (or the smallest
+possible intersection, where that is smaller). A pair at the threshold of 0.8 fails that, or shares
+fewer than ``ENOUGH`` retained values, with a probability below 1e-6; nothing else is missed.
 
 *Exact.* Pairs that pass are confirmed on the full sets: ``100 * |A n B| >= percent * |A u B|``.
 
@@ -36,18 +36,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, cut, free_name, shingles, small, text_of, text_slices, words
 from .components import components
 
-KEEP = 32
-ESTIMATE = 16
-NEEDED = 4
-ENOUGH = 12
-WIDE = 64
+KEEP = 24
+ENOUGH = 8
+SKETCH = 48
+ESTIMATE = 23
+TURNS = 3
+WIDE = 24
 _BROADCAST_ROWS = 2_000_000
 
 
@@ -121,39 +122,55 @@ def _entries(classes: DataFrame, percent: int, keep: int) -> DataFrame:
     """(value, tier, cls, bucket, rank): a class stands in its own tier of set sizes and in the one below."""
     bucket = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     return (
-        classes.select("cls", "kept_values", bucket.alias("bucket"), F.posexplode(F.slice("sketch", 1, keep)).alias("rank", "value"))
+        classes.select("*", bucket.alias("bucket"), F.posexplode(F.slice("sketch", 1, keep)).alias("rank", "value"))
+        .drop("sketch")
         .withColumn("tier", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)))
-        .select("value", "tier", "cls", "bucket", "rank", "kept_values")
     )
 
 
-def _estimated(stars: DataFrame) -> DataFrame:
-    """(a, b) of pairs that share enough of the smallest union values; input rows: a, b, i, j, least.
-
-    ``i`` and ``j`` are the ranks of a shared value. Sorted by rank, the value after ``s`` shared ones
-    has rank ``i + j - s`` in the union.
-    """
-    shared = stars.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("at"), F.min("least").alias("least"))
-    ranks = F.transform("at", lambda x, s: x["i"] + x["j"] - s)
-    return shared.where(F.size(F.filter(ranks, lambda rank: rank < ESTIMATE)) >= F.least(F.lit(NEEDED), "least")).select("a", "b")
+def _close_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of sorted sketches that share enough values with one of the two before them."""
+    ids, table = np.zeros(0, np.int64), np.zeros((0, KEEP), np.int64)
+    lengths = np.zeros(0, np.int64)
+    for batch in batches:
+        sketch = batch.column(1)
+        own = np.diff(sketch.offsets.to_numpy())
+        rows = np.zeros((len(own), KEEP), np.int64)
+        rows[np.arange(KEEP) < own[:, None]] = sketch.flatten().to_numpy()
+        ids = np.concatenate([ids[-2:], batch.column(0).to_numpy()])
+        table, lengths = np.concatenate([table[-2:], rows]), np.concatenate([lengths[-2:], own])
+        valid = np.arange(KEEP) < lengths[:, None]
+        a, b = [], []
+        for back in (1, 2):
+            later, earlier = slice(back, None), slice(0, -back)
+            if len(ids) <= back:
+                continue
+            same = (table[later, :, None] == table[earlier, None, :]) & valid[later, :, None] & valid[earlier, None, :]
+            close = same.any(axis=2).sum(axis=1) >= np.minimum(ENOUGH, np.minimum(lengths[later], lengths[earlier]))
+            a.append(ids[earlier][close])
+            b.append(ids[later][close])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
+def _neighbours(classes: DataFrame) -> DataFrame:
+    turn = F.explode(F.sequence(F.lit(1), F.least("kept_values", F.lit(TURNS))))
+    turned = classes.select("cls", "sketch", turn.alias("turn")).select("cls", F.slice("sketch", F.col("turn"), KEEP).alias("part"))
+    ordered = turned.repartitionByRange("part", "cls").sortWithinPartitions("part", "cls")
+    close = ordered.mapInArrow(_close_neighbours, "a long, b long")
+    return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of pairs that may share enough of their sketches; input rows: a, b, least, unseen.
-
-    Each row is a shared value; ``unseen`` bounds the shared values in lists that were left out. The
-    survivors are estimated on their whole sketches.
-    """
-    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("unseen").alias("unseen"), F.min("least").alias("least"))
-    likely = shared.where("n + unseen >= least").select("a", "b")
+    """(a, b) of pairs that share enough of the smallest values of the union of their sketches."""
     sketch = classes.select("cls", "size", "sketch")
-    both = likely.join(sketch.select(F.col("cls").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x")), "a").join(
+    both = pairs.join(sketch.select(F.col("cls").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x")), "a").join(
         sketch.select(F.col("cls").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y")), "b"
     )
-    # The values of both sketches up to the end of the shorter one are the smallest of the union.
-    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, KEEP)
+    # The smallest values of both sketches are the smallest of the union.
+    union = F.slice(F.sort_array(F.array_union("x", "y")), 1, SKETCH)
     common = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
-    return both.where(common >= F.least(F.lit(ENOUGH), _least_common(F.col("m"), F.col("n"), percent))).select("a", "b")
+    return both.where(common >= F.least(F.lit(ESTIMATE), _least_common(F.col("m"), F.col("n"), percent))).select("a", "b")
 
 
 def _least_common(m: Column, n: Column, percent: int) -> Column:
@@ -187,54 +204,52 @@ def near_groups(
     """
     spark, n = df.sparkSession, words_per_shingle
     scratch = Scratch(spark, "minhash")
-    rows = scratch.store(sketches(df, n, KEEP, text, doc_id), "rows")
+    rows = scratch.store(sketches(df, n, SKETCH, text, doc_id), "rows")
     filled = rows.where("size > 0")
     classes = filled.groupBy("print").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     classes = scratch.store(
-        classes.withColumns({"cls": F.monotonically_increasing_id(), "kept_values": F.size("sketch")}), "classes"
+        classes.withColumns({"cls": F.monotonically_increasing_id(), "kept_values": F.least(F.size("sketch"), F.lit(KEEP))}), "classes"
     )
 
     def confirm(pairs: DataFrame, step: str) -> DataFrame:
         return _confirmed(pairs, classes, df, n, percent, text, doc_id, scratch, step)
 
-    # Stars around the smallest class of each list.
-    entries = _entries(classes, percent, ESTIMATE)
-    smallest = entries.groupBy("value", "tier").agg(
-        F.min(F.struct("bucket", "cls", "rank", "kept_values")).alias("p"), F.count("*").alias("n")
-    )
-    smallest = smallest.where("n > 1 and p.bucket = tier")
-    stars = entries.join(smallest, ["value", "tier"]).where("cls <> p.cls")
-    stars = stars.select(
-        F.col("p.cls").alias("a"), F.col("cls").alias("b"), F.col("p.rank").alias("i"), F.col("rank").alias("j"),
-        F.least("kept_values", "p.kept_values").alias("least"),
-    )
-    links = confirm(_estimated(stars), "stars")
-
-    # Pairs of different components in lists of few components; then wide lists among mostly wide classes.
-    first = cut(components(links))
-    placed = classes.join(first.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = cut(placed.select("cls", "kept_values", "size", "sketch", F.coalesce("component", "cls").alias("component")))
-    label = placed.select("cls", "component")
-    entries = _entries(placed, percent, KEEP).join(label, "cls")
+    links = confirm(_neighbours(classes), "neighbours")
+
+    # Pairs of different components in the shortest lists of each class.
+    first = components(links).withColumnRenamed("node", "cls")
+    placed = classes.join(first, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    entries = _entries(cut(placed.select("cls", "size", "kept_values", "sketch", "component")), percent, KEEP)
     widths = entries.groupBy("value", "tier", "component").agg(F.count("*").alias("n")).groupBy("value", "tier")
-    widths = cut(widths.agg(F.count("*").alias("width")).where("width > 1"))
-    shared = entries.join(widths, ["value", "tier"]).withColumn("wide", F.col("width") > wide)
-    shared = scratch.store(shared.select("value", "tier", "cls", "component", "bucket", "wide"), "shared")
-    unseen = shared.where("wide").groupBy("cls", "tier").agg(F.count("*").cast("int").alias("unseen"))
-    sizes = placed.select("cls", "size", "kept_values")
-    marked = shared.join(unseen, ["cls", "tier"], "left").fillna(0, ["unseen"]).join(sizes, "cls")
-    rest = cut(marked.where("not wide or 3 * unseen >= kept_values").drop("kept_values"))
-    x, y = rest.alias("x"), rest.alias("y")
-    met = (F.col("x.value") == F.col("y.value")) & (F.col("x.tier") == F.col("y.tier"))
-    across = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
-    lowest = F.least("x.bucket", "y.bucket") == F.col("x.tier")
-    pairs = x.join(y, met & across & lowest).select(
-        F.col("x.cls").alias("a"),
-        F.col("y.cls").alias("b"),
-        F.least("x.unseen", "y.unseen").alias("unseen"),
-        F.least(F.lit(ENOUGH), _least_common(F.col("x.size"), F.col("y.size"), percent)).alias("least"),
+    widths = widths.agg(F.count("*").alias("width")).where("width > 1")
+    own = Window.partitionBy("cls", "tier")
+    # At least so many values a linked class shares with this one, of which `hidden` may be in wide lists.
+    least = F.least(F.lit(ENOUGH), _least_common(F.col("size"), F.col("size") * percent / 100, percent))
+    ranked = (
+        entries.join(widths, ["value", "tier"])
+        .withColumn("wide", F.col("width") > wide)
+        .withColumn("place", F.row_number().over(own.orderBy("width", "value")))
+        .withColumns({"lists": F.count("*").over(own), "hidden": F.sum(F.col("wide").cast("int")).over(own)})
+        .withColumn("mostly", F.col("hidden") > least - 2)
     )
-    links = links.unionByName(confirm(_possible(pairs, classes, percent), "rest"))
+    visible = F.col("lists") - F.col("hidden") - F.greatest(least - F.col("hidden"), F.lit(1)) + 1
+    narrow = ~F.col("wide") & (F.col("place") <= visible)
+    broad = F.col("mostly") & (F.col("place") <= F.col("lists") - least + 1)
+    rest = cut(ranked.where(narrow | broad).select("value", "tier", "cls", "component", "bucket", "wide"))
+
+    def across(lists: DataFrame) -> DataFrame:
+        x, y = lists.alias("x"), lists.alias("y")
+        met = (F.col("x.value") == F.col("y.value")) & (F.col("x.tier") == F.col("y.tier"))
+        other = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
+        lowest = F.least("x.bucket", "y.bucket") == F.col("x.tier")
+        pairs = x.join(y, met & other & lowest).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+        return _possible(pairs.distinct(), classes, percent)
+
+    one_each = rest.groupBy("value", "tier", "component", "bucket").agg(F.min("cls").alias("cls"))
+    links = cut(links.unionByName(confirm(across(one_each), "first")))
+    joined = components(links).withColumnRenamed("node", "cls").withColumnRenamed("component", "joined")
+    rest = rest.join(joined, "cls", "left").withColumn("component", F.coalesce("joined", "component"))
+    links = links.unionByName(confirm(across(cut(rest.drop("joined"))), "rest"))
 
     final = cut(components(links)).withColumnRenamed("node", "cls")
     named = classes.join(final, "cls", "left").select("cls", "print", "id", F.coalesce("component", "cls").alias("component"))
