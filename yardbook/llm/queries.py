@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, decontaminate, minhash, mixing, quality, token_counts, toxicity
+from . import content_sort, decontaminate, html_blocks, minhash, mixing, quality, token_counts, toxicity
 from .common import read_table
 
 
@@ -50,7 +50,12 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found).alias("held_out"), "score", "predicted")
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.main_text(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op9_html_extraction": html_extraction,
     "op2_toxicity": toxicity_scores,
     "op5_quality_classifier": quality_grades,
     "op10_benchmark_decontamination": decontamination,
