@@ -54,8 +54,8 @@ def test_gradient_matches_differences():
 
 
 def test_held_out_pages_and_another_way_of_writing(pages):
-    model = fit(pages[:100])
-    held = [blocks(p) for p in pages[100:]]
+    model = fit(pages[:160])
+    held = [blocks(p) for p in pages[160:]]
     got = model.labels([vectors(b) for b in held])
     assert all([t for (_, t, _), m in zip(b, marks) if m] == plain(b) for b, marks in zip(held, got))
     right = 0

@@ -30,9 +30,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 64, 32, 8, 16
+PATH_SIZE, WORD_SIZE, MEASURES, HIDDEN = 160, 32, 8, 16
 INPUT = PATH_SIZE + WORD_SIZE + MEASURES
-SAMPLE = 120
+SAMPLE = 200
 
 # Element names of the HTML standard, by their role in reading a page.
 BLOCK = frozenset(
@@ -331,7 +331,7 @@ def variants(page_blocks: list, rng: np.random.Generator, count: int) -> Iterato
         yield made, np.array(marks)
 
 
-def fit(pages: list[str], epochs: int = 12, copies: int = 8, seed: int = 5) -> Labeller | None:
+def fit(pages: list[str], epochs: int = 8, copies: int = 8, seed: int = 5) -> Labeller | None:
     rng = np.random.default_rng(seed)
     examples = []
     for page in pages:
