@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, decontaminate, html_blocks, minhash, mixing, quality, token_counts, toxicity
+from . import content_sort, decontaminate, html_blocks, minhash, mixing, paragraphs, quality, token_counts, toxicity
 from .common import read_table
 
 
@@ -54,7 +54,12 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.main_text(read_table(spark, sf_dir, "pages"))
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_substring_dedup": substring_dedup,
     "op9_html_extraction": html_extraction,
     "op2_toxicity": toxicity_scores,
     "op5_quality_classifier": quality_grades,
