@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, decontaminate, html_blocks, minhash, mixing, paragraphs, quality, token_counts, toxicity
+from . import content_sort, decontaminate, html_blocks, licences, minhash, mixing, paragraphs, quality, token_counts, toxicity
 from .common import read_table
 
 
@@ -58,7 +58,12 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"))
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.notices(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_license_scan": license_scan,
     "op4_substring_dedup": substring_dedup,
     "op9_html_extraction": html_extraction,
     "op2_toxicity": toxicity_scores,
