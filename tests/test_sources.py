@@ -82,6 +82,45 @@ def test_refresh_replaces_one_month_only(spark, stored, tmp_path):
     assert months == ["1998-06-01"]
 
 
+def test_refresh_removes_an_emptied_month(spark, stored, tmp_path):
+    path = str(tmp_path / "revenue")
+    lines = revenue_engine(stored)
+    writers.write_table(lines, path, "usage_date")
+    rest = lines.where("usage_date not between date '1998-06-01' and date '1998-06-30'")
+    writers.refresh_period(rest, path, "usage_date", "1998-06")
+    again = spark.read.parquet(path)
+    assert again.count() == rest.count() < lines.count()
+    assert not [f for f in tmp_path.joinpath("revenue").iterdir() if f.name.startswith("_refresh")]
+
+
+def test_large_keys_keep_their_digits(spark, tmp_path):
+    from yardbook.sources.testdata import finance_catalog
+
+    for name in ("region", "nation", "customer", "part", "lineitem", "events"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    orders, suppliers = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("orders", "supplier"))
+    grown = orders.withColumn("o_orderkey", F.col("o_orderkey") + F.when(F.col("o_orderkey") % 2 == 0, 10_000_000_000).otherwise(0))
+    grown.write.parquet(f"{tmp_path}/orders.parquet")
+    suppliers.withColumn("s_suppkey", F.col("s_suppkey") + F.when(F.col("s_suppkey") % 2 == 0, 100_000_000).otherwise(0)).write.parquet(
+        f"{tmp_path}/supplier.parquet"
+    )
+    tables = finance_catalog(spark, str(tmp_path))
+    assert tables["job_master"].select("job_id").distinct().count() == orders.count()
+    assert tables["fleet_register"].select("asset_id").distinct().count() == suppliers.count()
+    assert tables["job_master"].where("length(job_id) = 12").count() > 0
+
+
+def test_materialise_leaves_no_scratch(spark, stored, tmp_path):
+    import os
+
+    from yardbook.functions.numbering import _own_scratch
+
+    folder = _own_scratch(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    writers.materialise(stored, str(tmp_path))
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) <= before
+
+
 def test_month_end_export(spark, stored, tmp_path):
     target = writers.month_end_export(stored, "1998-06", str(tmp_path), "2001-12-31")
     assert target.endswith("period=1998-06-01")

@@ -9,8 +9,9 @@ executor is lost.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,12 +20,12 @@ _SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row numb
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """Shared folder for stored intermediate tables, as named by the cluster."""
+    """Shared folder for stored intermediate tables, as named by the cluster; on one machine beside the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = tempfile.mkdtemp(prefix="yardbook-")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
@@ -33,16 +34,37 @@ def _own_scratch(spark: SparkSession) -> str:
     return f"{scratch_folder(spark)}/yardbook-{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of this application; numbered frames must be written by then."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, _own_scratch(spark))
+    _stored.clear()
+
+
+_stored: list[str] = []
+
+
+@contextmanager
+def released_scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the scratch tables stored inside the block when it ends; their readers must be done by then."""
+    before = len(_stored)
+    try:
+        yield
+    finally:
+        for path in _stored[before:]:
+            _delete(spark, path)
+        del _stored[before:]
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a scratch table and read it back, which cuts its lineage."""
     path = f"{_own_scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,7 @@ from yardbook.functions.scalars import side_by_side
 from yardbook.operators.billing import wip_ageing
 from yardbook.operators.exceptions import dashboard_exceptions, exception_scan
 from yardbook.operators.forecast import forecast_variance_scenario
-from yardbook.operators.journals import journal_wide
+from yardbook.operators.journals import balance_of, journal_pack_period, journal_wide
 from yardbook.operators.profit import asset_unit_economics, job_profit, job_profit_lines
 from yardbook.operators.tax import bas_period, ftc_period, payg_register, payroll_compliance
 from yardbook.sources.catalog import Catalog
@@ -62,6 +62,7 @@ def overview_kpis(
             total(in_period(tables["costs"], "cost_date", period), "amount_cents", "cost_cents"),
             issues.agg(F.count_if(F.col("severity") == "HIGH").alias("high_exceptions")),
             bas_period(tables, period).select(F.col("Net GST").alias("net_gst_cents")),
+            balance_of(journal_pack_period(tables, period, rules)).select("balanced"),
         )
         .withColumn("profit_cents", revenue - F.col("cost_cents"))
         .select(
@@ -72,8 +73,7 @@ def overview_kpis(
             "profit_cents",
             money.margin(profit, revenue, 2).alias("margin_pct"),
             "high_exceptions",
-            # A pack always holds its four journals, so only an unbalanced one could need a check.
-            F.lit("BALANCED").alias("journal_status"),
+            F.when(F.col("balanced"), "BALANCED").otherwise("CHECK").alias("journal_status"),
             F.when(F.col("net_gst_cents") >= 0, "OK").otherwise("CHECK").alias("bas_status"),
         )
     )

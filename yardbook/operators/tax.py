@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from yardbook.config import DEFAULT_RULES, Rules
 from yardbook.functions import money
 from yardbook.functions.numbering import with_sequence_id
-from yardbook.functions.periods import as_date, in_period, month_code, month_start, observed_months, period_bounds
+from yardbook.functions.periods import MONTH_KEY, as_date, in_period, month_code, month_start, observed_months, period_bounds
 from yardbook.functions.scalars import attach, side_by_side
 from yardbook.sources.catalog import Catalog
 
@@ -35,8 +35,10 @@ def _total(df: DataFrame, **sums: str) -> DataFrame:
 
 
 def dated_withholding(tables: Catalog) -> DataFrame:
-    """Withholding entries with the date of their cost."""
-    return tables["payg_withholding"].join(tables["costs"].select("cost_id", "cost_date"), "cost_id")
+    """Withholding entries with the date of their cost, and its month where the costs are stored by month."""
+    costs = tables["costs"]
+    month = [MONTH_KEY] if MONTH_KEY in costs.columns else []
+    return tables["payg_withholding"].join(costs.select("cost_id", "cost_date", *month), "cost_id")
 
 
 # --- activity statement ---------------------------------------------------------------------------

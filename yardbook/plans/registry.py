@@ -61,7 +61,7 @@ def _missing_rate_cards(t: Catalog) -> DataFrame:
 def _coerce_table(t: Catalog) -> DataFrame:
     """Invoices as text with broken dates and amounts, read leniently."""
     invoices = t["invoice_myob"]
-    number = F.substring("job_id", 2, 9).cast("bigint")
+    number = F.expr("cast(substr(job_id, 2) as bigint)")
     text = invoices.select(*[F.col(c).cast("string").alias(c) for c in invoices.columns])
     broken = text.withColumn(
         "invoice_date", F.when(number % 17 == 0, "soon").otherwise(F.col("invoice_date"))

@@ -25,7 +25,7 @@ def finance_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
     def rate_card(_: Catalog) -> DataFrame:
         return raw("nation").selectExpr(
-            "concat('RC', lpad(cast(n_nationkey as string), 3, '0')) as rate_card_id",
+            "concat('RC', lpad(cast(n_nationkey as string), greatest(length(cast(n_nationkey as string)), 3), '0')) as rate_card_id",
             "n_name as equipment_type",
             "cast(14000 + 500 * n_nationkey as bigint) as hourly_rate_cents",
             """cast(case when n_nationkey % 6 = 5 then 0 else 50000 + 2500 * n_nationkey end as bigint)
@@ -41,7 +41,7 @@ def finance_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             .join(raw("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
             .selectExpr(
                 "s_suppkey as asset_key",
-                "concat('A', lpad(cast(s_suppkey as string), 7, '0')) as asset_id",
+                "concat('A', lpad(cast(s_suppkey as string), greatest(length(cast(s_suppkey as string)), 7), '0')) as asset_id",
                 "n_name as equipment_type",
             )
         )
@@ -62,7 +62,7 @@ def finance_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         return raw("orders").selectExpr(
             "o_orderkey as job_key",
             "o_custkey",
-            "concat('J', lpad(cast(o_orderkey as string), 9, '0')) as job_id",
+            "concat('J', lpad(cast(o_orderkey as string), greatest(length(cast(o_orderkey as string)), 9), '0')) as job_id",
             "concat('Site ', cast(o_orderkey % 8 as string)) as site_name",
             "cast(o_orderdate as date) as start_date",
             f"date_add(cast(o_orderdate as date), 2 + {job_days}) as end_date",
@@ -105,8 +105,8 @@ def finance_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             """concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string),
                          cast(l_partkey as string), cast(l_suppkey as string),
                          cast(cast(l_shipdate as date) as string)) as usage_id""",
-            "concat('J', lpad(cast(l_orderkey as string), 9, '0')) as job_id",
-            "concat('A', lpad(cast(s_suppkey as string), 7, '0')) as asset_id",
+            "concat('J', lpad(cast(l_orderkey as string), greatest(length(cast(l_orderkey as string)), 9), '0')) as job_id",
+            "concat('A', lpad(cast(s_suppkey as string), greatest(length(cast(s_suppkey as string)), 7), '0')) as asset_id",
             "n_name as equipment_type",
             "cast(l_shipdate as date) as usage_date",
             "concat('Site ', cast(l_orderkey % 8 as string)) as site_name",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yardbook.functions.numbering import released_scratch
 from yardbook.functions.periods import MONTH_KEY, in_period, month_start, period_bounds
 from yardbook.operators.exceptions import exception_scan
 from yardbook.operators.journals import journal_pack_period
@@ -59,9 +61,23 @@ def store_sources(tables: Catalog, folder: str, by_month: bool = True) -> Catalo
 
 
 def refresh_period(df: DataFrame, path: str, day: str, period: str | date) -> None:
-    """Replace one month of a table that is partitioned by month; the other months stay."""
-    rows = _by_month(in_period(df, day, period), day)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH_KEY).parquet(path)
+    """Replace one month of a table that is partitioned by month; the other months stay.
+
+    The rows are staged beside the months and take the month's place when they are complete; a month
+    without rows is removed. Only rows whose values depend on their own month can be refreshed this
+    way: the float fee of a hire term and the running revenue id depend on other months as well, so
+    ``revenue_engine`` with either of them has to be written as a whole.
+    """
+    spark = df.sparkSession
+    month = period_bounds(period)[0].isoformat()
+    stage = f"{path.rstrip('/')}/_refresh-{uuid.uuid4().hex}"
+    _by_month(in_period(df, day, period), day).write.partitionBy(MONTH_KEY).parquet(stage)
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{MONTH_KEY}={month}") for base in (stage, path.rstrip("/")))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    if files.exists(new):
+        files.rename(new, old)
+    files.delete(new.getParent(), True)
 
 
 def materialise(tables: Catalog, folder: str, numbered: bool = True, by_month: bool = True) -> Catalog:
@@ -77,7 +93,8 @@ def materialise(tables: Catalog, folder: str, numbered: bool = True, by_month: b
         day = day if by_month else None
         path = f"{folder.rstrip('/')}/{name}"
         if name == "revenue_engine" and numbered:
-            write_table(revenue_id_seq(tables), path, day)
+            with released_scratch(spark):
+                write_table(revenue_id_seq(tables), path, day)
         else:
             write_table(tables[name], path, day)
         tables = tables.with_tables(**{name: spark.read.parquet(path)})
