@@ -7,8 +7,10 @@ of the driver's machine unless the session runs on one machine and names no fold
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared folder and cut its lineage; Spark removes the files with the frame."""
+    """Store ``df`` in the shared folder and cut its lineage; Spark removes the files with the frame.
+
+    Shuffle files of the steps before are kept only as long as the driver holds their plans, so plans
+    that nothing refers to any more are collected here.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    stored = df.checkpoint()
+    release(df.sparkSession)
+    return stored
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that are no longer in use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 class Scratch:
@@ -49,6 +63,7 @@ class Scratch:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str = "") -> None:
@@ -63,6 +78,10 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Workers on this machine are told where this package is."""
+    home, known = str(Path(__file__).parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{known}:{home}".strip(":")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -366,8 +366,11 @@ def main_text(df: DataFrame, sample: int = SAMPLE, html_column: str = "html", ur
     spark = df.sparkSession
     pages = df.select(df[page_id].alias("page_id"), df[url].alias("url"), F.coalesce(df[html_column].cast("string"), F.lit("")).alias("html"))
     # Bounded by `sample` pages, of which at most the first 100,000 characters are learnt from.
-    picked = pages.orderBy(F.xxhash64("url", "page_id"), "page_id", "html").select(F.substring("html", 1, 100_000).alias("html")).limit(sample)
-    model = fit([r.html for r in picked.collect()])
+    keys = pages.select("page_id", "url").distinct().orderBy(F.xxhash64("url", "page_id"), "page_id", "url").limit(sample).alias("k")
+    same = F.col("p.page_id").eqNullSafe(F.col("k.page_id")) & F.col("p.url").eqNullSafe(F.col("k.url"))
+    picked = pages.alias("p").join(F.broadcast(keys), same, "left_semi").groupBy("page_id", "url")
+    picked = picked.agg(F.substring(F.min("html"), 1, 100_000).alias("html"))
+    model = fit([r.html for r in sorted(picked.collect(), key=repr)])
     if model is None:
         return pages.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars"))
     shared = spark.sparkContext.broadcast(model)
