@@ -58,3 +58,41 @@ def test_nulls_repeats_and_empty_tables(docs_frame):
     assert sorted([(r.doc_id, r.copies, r.kept) for r in got], key=repr) == [(3, 3, True), (3, 3, True), (None, 3, False)]
     assert paragraphs.repeated_paragraphs(docs_frame([])).count() == 0
     assert len(np.unique(paragraphs._SEEDS)) == paragraphs.BANDS * paragraphs.ROWS and lower("A") == "a"
+
+
+def test_passages_of_50_to_100_words_in_lines_of_every_length(docs_frame):
+    rng = random.Random(11)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**6)}" for _ in range(n)]
+
+    def lines(w, width):
+        return "\n".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+    widths, rows, planted = [3, 13, 30, 90, 10**6], [], {}
+    for size in (50, 55, 64, 77, 100):
+        for _ in range(4):
+            passage = fresh(size)
+            for copy in range(3):
+                before, width = rng.randrange(150), rng.choice(widths)
+                planted[len(rows)] = (before, before + size, copy == 0)
+                rows.append((len(rows), lines(fresh(before) + passage + fresh(rng.randrange(150)), width)))
+    got = paragraphs.repeated_paragraphs(docs_frame(rows)).collect()
+    for d, (first, after, stays) in planted.items():
+        found = {w for r in got if r.doc_id == d for w in range(r.first_word, r.after_word)}
+        gone = {w for r in got if r.doc_id == d and not r.kept for w in range(r.first_word, r.after_word)}
+        assert found == set(range(first, after)) and gone == (set() if stays else found), d
+
+
+def test_overlapping_runs_and_equal_rows(docs_frame):
+    x, y, z = ([f"{k}{i}" for i in range(60)] for k in "xyz")
+    rows = [(1, " ".join(x + y)), (2, " ".join(["a"] + y + z)), (3, "\n".join(x + y)), (4, "\n".join(y + z)), (4, "\n".join(y + z))]
+    rows += [(5, " ".join(["the"] * 300)), (6, "\n".join(x[:49]))]
+    got = paragraphs.repeated_paragraphs(docs_frame(rows)).collect()
+    left = {}
+    for d, text in dict(rows).items():
+        gone = {w for r in got if r.doc_id == d and not r.kept for w in range(r.first_word, r.after_word)}
+        left[d] = [w for i, w in enumerate(text.split()) if i not in gone]
+    assert left[1] == x + y and set(left[2]) == {"a", *z} and left[3] == left[4] == [] and left[6] == x[:49]
+    assert 0 < len(left[5]) < 100
+    assert len([r for r in got if r.doc_id == 4]) % 2 == 0

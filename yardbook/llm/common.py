@@ -140,6 +140,7 @@ class _Powers:
 
 
 _POWERS = _Powers()
+powers = _POWERS.get
 
 
 def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -1,6 +1,6 @@
-"""Repeated passages: paragraph MinHash banding, exact Jaccard, components.
+"""Repeated passages: paragraph MinHash banding, exact Jaccard, components; repeated runs of words.
 
-Paragraphs are the lines of a text; a line of more than ``LONG`` words is cut into blocks after words
+*Paragraphs* are the lines of a text; a line of more than ``LONG`` words is cut into blocks after words
 whose own and previous hash say so, so that a passage inside a longer line is cut alike wherever it
 stands. Paragraphs of fewer than ``least_words`` words are not looked at.
 
@@ -12,6 +12,17 @@ so a passage that very many documents share is never expanded into pairs. Pairs
 Jaccard similarity of the full sets. Of each component the first paragraph (smallest document, then
 place) stays; rows repeated with their identifier share the decision.
 
+*Runs* are repeated word for word and do not depend on lines: each word of a span of ``least_run`` words
+that stands anywhere else, in lines of any length and across their ends, is in a run. A span belongs to
+the smallest hash of the shorter spans in it; the neighbouring spans that one such place owns are a block,
+so equal spans have equal owners and nothing is sampled. Blocks whose owner stands once are left; equal
+blocks are one class; where an owner has several classes their spans are counted one by one. The first
+occurrence of a span (smallest document, then place) stays. Runs are whole; what a removed paragraph
+covers already is left out of a run, and so is what a kept one covers of a run that stays. A kept
+paragraph inside a run that goes is not kept. A run with a changed word is two runs, each found only with
+``least_run`` words of its own. Its ``passage_id`` is the smallest hash of its spans and ``copies`` the
+occurrences of its most frequent one, so copies that extend differently may have different ids.
+
 Defined results: null and empty texts have no paragraphs; null identifiers come last in the choice of
 what stays; repeats inside a document and repeated rows count; an empty table gives an empty result.
 """
@@ -22,16 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, cut, mix, shingles, small, text_of, text_slices, words
+from .common import Scratch, cut, mix, powers, shingles, small, text_of, text_slices, words
 from .components import components
 
 BANDS, ROWS, LONG = 12, 3, 100
 _SEEDS = np.random.default_rng(17).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
 _BROADCAST_ROWS = 2_000_000
+_BROADCAST_SPANS = 200_000
 
 
 def _paragraphs(column: pa.Array, least_words: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
@@ -76,6 +88,11 @@ def _bands(values: np.ndarray) -> np.ndarray:
         return out.view(np.int64)
 
 
+def _rows(df: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Identifier, text and a hash of both, which tells rows with one identifier apart."""
+    return df.select(df[doc_id].alias("id"), text_of(df, text).alias("text"), F.xxhash64(df[doc_id], F.lit("|"), text_of(df, text)).alias("row"))
+
+
 def _scan(df: DataFrame, n: int, least_words: int, text: str, doc_id: str) -> DataFrame:
     def scan(batches):
         for batch in batches:
@@ -91,17 +108,18 @@ def _scan(df: DataFrame, n: int, least_words: int, text: str, doc_id: str) -> Da
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows, pa.int64())),
+                    batch.column(2).take(pa.array(rows, pa.int64())),
                     pa.array([s[0] for s in spans], pa.int64()),
                     pa.array([s[1] for s in spans], pa.int64()),
                     pa.array(prints, pa.int64()),
                     pa.ListArray.from_arrays(offsets, pa.array(flat)),
                 ],
-                names=["id", "first", "after", "print", "bands"],
+                names=["id", "row", "first", "after", "print", "bands"],
             )
 
     fields = [T.StructField("id", df.schema[doc_id].dataType)]
-    fields += [T.StructField(c, T.LongType()) for c in ("first", "after", "print")]
-    return df.select(df[doc_id], text_of(df, text)).mapInArrow(scan, T.StructType([*fields, T.StructField("bands", T.ArrayType(T.LongType()))]))
+    fields += [T.StructField(c, T.LongType()) for c in ("row", "first", "after", "print")]
+    return _rows(df, text, doc_id).mapInArrow(scan, T.StructType([*fields, T.StructField("bands", T.ArrayType(T.LongType()))]))
 
 
 def _members(df: DataFrame, wanted: DataFrame, n: int, least_words: int, text: str) -> DataFrame:
@@ -124,12 +142,141 @@ def _members(df: DataFrame, wanted: DataFrame, n: int, least_words: int, text: s
     return sets.join(small(wanted, _BROADCAST_ROWS), "print").dropDuplicates(["print"])
 
 
+def _first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first smallest value of each ``width`` neighbours."""
+    place, span = np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        a, b = place[:-step], place[step:]
+        place, span = np.where(values[b] < values[a], b, a), span + step
+    return place
+
+
+def _blocks(df: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
+    """Every span of ``size`` words, in blocks: neighbours with the same place of the smallest short span."""
+    short = max(1, size * 2 // 5)
+
+    def scan(batches):
+        for batch in batches:
+            for row, _, data, ends in text_slices(batch.column(1)):
+                hashes, _, _, upto = words(data, ends)
+                n = len(hashes)
+                owner = np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0))[: max(0, n - size + 1)]
+                spans = np.flatnonzero(np.arange(len(owner)) + size <= upto[owner])
+                if not len(spans):
+                    continue
+                up, down = powers(n)
+                with np.errstate(over="ignore"):
+                    sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:n])])
+                    parts, full = (mix((sums[k:] - sums[: n - k + 1]) * down[: n - k + 1]) for k in (short, size))
+                    place = _first_least(parts, size - short + 1)[spans]
+                    opens = np.flatnonzero(np.diff(place, prepend=-1))
+                    counts = np.diff(opens, append=len(spans))
+                    first = spans[opens]
+                    whole = (sums[first + counts - 1 + size] - sums[first]) * down[first]
+                    prints = mix(mix(whole) + counts.astype(np.uint64))
+                full = full[spans].view(np.int64)
+                at = pa.array(row + owner[first], pa.int64())
+                starts = first - np.concatenate([[0], upto[:-1]])[owner[first]]
+                longs = starts, counts, prints.view(np.int64), parts[place[opens]].view(np.int64), np.minimum.reduceat(full, opens)
+                offsets = pa.array(np.append(opens, len(spans)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(2).take(at), *(pa.array(x, pa.int64()) for x in longs)]
+                    + [pa.ListArray.from_arrays(offsets, pa.array(full))],
+                    names=["id", "row", "start", "spans", "print", "owner", "least", "hashes"],
+                )
+
+    fields = [T.StructField("id", df.schema[doc_id].dataType)]
+    fields += [T.StructField(c, T.LongType()) for c in ("row", "start", "spans", "print", "owner", "least")]
+    return _rows(df, text, doc_id).mapInArrow(scan, T.StructType([*fields, T.StructField("hashes", T.ArrayType(T.LongType()))]))
+
+
+def _merged(spans: DataFrame, *by: str) -> DataFrame:
+    """Spans of a row that overlap or touch, as one."""
+    own = Window.partitionBy("row", *by).orderBy("first", "after")
+    before = F.max("after").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("opens", F.coalesce((F.col("first") > before).cast("int"), F.lit(1)))
+    numbered = marked.withColumn("number", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    facts = F.first("id").alias("id"), F.max("times").alias("times"), F.min("first").alias("first"), F.max("after").alias("after")
+    return numbered.groupBy("row", *by, "number").agg(*facts, F.max("copies").alias("copies"), F.min("passage").alias("passage")).drop("number")
+
+
+def _repeated_runs(df: DataFrame, size: int, scratch: Scratch, text: str, doc_id: str) -> DataFrame:
+    """(row, goes, id, times, first, after, copies, passage) of the runs of repeated spans; ``times``: equal rows."""
+    blocks = scratch.store(_blocks(df, size, text, doc_id), "blocks")
+    owners = blocks.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner")
+    shared = scratch.store(blocks.drop("hashes").join(owners, "owner", "left_semi"), "shared")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "start", "row")
+    prints = shared.groupBy("print", "owner", "spans", "least").agg(F.count("*").alias("n"), F.min(order).alias("best"))
+    prints = cut(prints.withColumn("kinds", F.count("*").over(Window.partitionBy("owner"))))
+    alike = prints.where("kinds = 1").select(
+        "print", "best", F.lit(True).alias("own"), F.lit(0).cast("long").alias("low"), (F.col("spans") - 1).alias("high"),
+        F.col("n").alias("copies"), F.col("least").alias("passage"),
+    )
+    wanted = cut(prints.where("kinds > 1").select("print", "n", "best"))
+    each = blocks.select("print", "hashes").join(small(wanted, _BROADCAST_SPANS), "print").dropDuplicates(["print"])
+    each = scratch.store(each.select("print", "n", "best", F.posexplode("hashes").alias("at", "hash")), "spans")
+    place = F.struct(F.col("best.no_id").alias("no_id"), F.col("best.id").alias("id"), (F.col("best.start") + F.col("at")).alias("start"), F.col("best.row").alias("row"))
+    counts = each.groupBy("hash").agg(F.sum("n").alias("copies"), F.min(place).alias("origin")).where("copies > 1")
+    known = each.join(counts, "hash").withColumn("own", place.eqNullSafe(F.col("origin")))
+    known = known.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("print", "own").orderBy("at")))
+    apart = known.groupBy("print", "best", "own", "run").agg(
+        F.min("at").cast("long").alias("low"), F.max("at").cast("long").alias("high"), F.max("copies").alias("copies"), F.min("hash").alias("passage")
+    )
+    runs = cut(alike.unionByName(apart.drop("run")))
+    rows = shared.groupBy("id", "row", "start", "print").agg(F.count("*").alias("times")).join(runs, "print")
+    same = F.col("own") & F.col("id").eqNullSafe(F.col("best.id")) & (F.col("start") == F.col("best.start")) & (F.col("row") == F.col("best.row"))
+    spans = rows.select(
+        "id", "row", "times", (~same).alias("goes"), (F.col("start") + F.col("low")).alias("first"),
+        (F.col("start") + F.col("high") + size).alias("after"), "copies", "passage",
+    )
+    merged = cut(_merged(spans, "goes"))
+    for name in ("blocks", "shared", "spans"):
+        scratch.drop(name)
+    return merged
+
+
+def _inside_runs(lines: DataFrame, runs: DataFrame) -> DataFrame:
+    """``lines`` with ``kept`` false for those that a run that goes covers."""
+    gone = runs.where("goes").select("row", F.col("first"), F.col("after").alias("reach"))
+    both = lines.withColumn("line", F.lit(1)).unionByName(gone.withColumn("line", F.lit(0)), allowMissingColumns=True)
+    reach = F.max("reach").over(Window.partitionBy("row").orderBy("first", "line").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.coalesce(reach >= F.col("after"), F.lit(False))
+    return both.withColumn("kept", F.col("kept") & ~inside).where("line = 1").drop("line", "reach")
+
+
+def _outside_lines(runs: DataFrame, lines: DataFrame) -> DataFrame:
+    """The parts of runs that repeated paragraphs do not state already, in the form of ``lines``."""
+    fact = F.struct("id", "times", "copies", "passage")
+    spans = runs.select("row", "first", "after", F.when(F.col("goes"), "goes").otherwise("stays").alias("kind"), fact.alias("fact"))
+    kinds = F.when(F.col("kept"), "line").otherwise("cleared")
+    spans = spans.unionByName(lines.join(runs.select("row").distinct(), "row", "left_semi").select("row", "first", "after", kinds.alias("kind")), allowMissingColumns=True)
+    ends = spans.select("row", "kind", F.explode(F.array(
+        F.struct(F.col("first").alias("at"), F.lit(1).alias("step"), "fact"), F.struct(F.col("after").alias("at"), F.lit(-1).alias("step"), F.lit(None).cast(spans.schema["fact"].dataType).alias("fact"))
+    )).alias("e")).select("row", "kind", "e.*")
+    names = "goes", "stays", "line", "cleared"
+    steps = [F.sum(F.when(F.col("kind") == k, F.col("step")).otherwise(0)).alias(k) for k in names]
+    facts = [F.max(F.when(F.col("kind") == k, F.col("fact"))).alias(f"{k}_fact") for k in names[:2]]
+    own = Window.partitionBy("row").orderBy("at")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    swept = ends.groupBy("row", "at").agg(*steps, *facts).withColumn("after", F.lead("at").over(own))
+    swept = swept.withColumns({k: F.sum(k).over(upto) for k in names} | {f"{k}_fact": F.last(f"{k}_fact", True).over(upto) for k in names[:2]})
+    goes = (F.col("goes") > 0) & (F.col("cleared") == 0)
+    stays = (F.col("goes") == 0) & (F.col("stays") > 0) & (F.col("line") == 0) & (F.col("cleared") == 0)
+    parts = swept.where(goes | stays).select(
+        "row", F.col("at").alias("first"), "after", stays.alias("kept"), F.when(stays, F.col("stays_fact")).otherwise(F.col("goes_fact")).alias("fact")
+    )
+    parts = _merged(parts.select("row", "first", "after", "kept", "fact.*"), "kept")
+    return parts.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
+
+
 def repeated_paragraphs(
-    df: DataFrame, words_per_shingle: int = 5, percent: int = 80, least_words: int = 20, text: str = "text", doc_id: str = "doc_id"
-) -> DataFrame:
-    """One row per paragraph that is repeated: ``doc_id``, ``first_word``, ``after_word``, ``passage_id``,
-    ``copies``, ``kept``. Words are counted from 0; removing the spans with ``kept`` false leaves each
-    passage once.
+    df: DataFrame, words_per_shingle: int = 5, percent: int = 80, least_words: int = 20, text: str = "text", doc_id: str = "doc_id",
+    least_run: int = 50,
+) -> DataFrame:
+    """One row per paragraph that is repeated and per part of a repeated run outside such paragraphs:
+    ``doc_id``, ``first_word``, ``after_word``, ``passage_id``, ``copies``, ``kept``. Words are counted
+    from 0; removing the spans with ``kept`` false leaves each passage once.
     """
     n = words_per_shingle
     scratch = Scratch(df.sparkSession, "paragraphs")
@@ -171,12 +318,16 @@ def repeated_paragraphs(
     placed = found.drop("bands").join(named, "print", "left").withColumn("passage", F.coalesce("component", "print"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "first", "after")
     groups = placed.groupBy("passage").agg(F.count("*").alias("copies"), F.min(order).alias("best")).where("copies > 1")
-    out = placed.join(groups, "passage")
+    same = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("first") == F.col("best.first"))
+    lines = placed.join(groups, "passage").select("id", "row", "first", "after", "passage", "copies", same.alias("kept"))
+    runs = _repeated_runs(df, least_run, scratch, text, doc_id)
+    lines = cut(_inside_runs(lines, runs))
+    out = lines.unionByName(_outside_lines(runs, lines))
     return out.select(
         F.col("id").alias("doc_id"),
         F.col("first").alias("first_word"),
         F.col("after").alias("after_word"),
         F.col("passage").alias("passage_id"),
         "copies",
-        (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("first") == F.col("best.first"))).alias("kept"),
+        "kept",
     )
