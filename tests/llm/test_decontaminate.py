@@ -58,6 +58,28 @@ def test_all_windows_are_found(spark, docs_frame):
     assert all(0 <= r.distance <= 26 for r in got) and len(got) > 40
 
 
+def test_reordered_and_two_ended_edits_are_found(spark, docs_frame):
+    rng = random.Random(4)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**6)}" for _ in range(n)]
+
+    items, docs = [], []
+    for i in range(6):
+        own = fresh(60)
+        items.append((i, " ".join(own)))
+        at = rng.randrange(20, 41)
+        swapped = own[at:] + own[:at]
+        ends = own[2:30] + fresh(rng.randrange(1, 3)) + own[30:-2]
+        for words in (swapped, own[20:40] + own[:20] + own[40:], ends, own[3:-3], own[:25] + own[26:]):
+            docs.append((len(docs), " ".join(fresh(40) + words + fresh(40))))
+            docs.append((len(docs), " ".join(words + fresh(9))))
+    got = decontaminate.leaks(docs_frame(docs), bench(spark, items)).collect()
+    want = expected(docs, items)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert (0, 0) in want and len(want) > 30
+
+
 def test_main_path_has_no_python(spark, sf_dir):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     words = docs.select(decontaminate._words(docs, "text").alias("words"))

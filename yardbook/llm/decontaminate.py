@@ -3,10 +3,11 @@
 Only DataFrame functions are used. Words are split at ASCII white space, A-Z lower-cased; a shingle is
 five words (a shorter item is one shingle).
 
-*Where windows stand.* A window of a document that shares no shingle with an item has similarity 0,
-and among windows that share some, the best is one in which a shared shingle has the same place as in
-the item. So every occurrence of an item's shingle in a document places one window of the item's size
-there. All documents are searched, whole.
+*Where windows stand.* Windows of an item's size in a document all have the same number of shingles, so
+their similarity grows only where a shingle that the item has comes in at the end. Of the best windows
+the first therefore ends with a shared shingle or stands at the start of the document, and a window is
+placed there for every occurrence of an item's shingle, in any order and at any distance. Left out are
+only windows that hold fewer shared shingles than ``similarity`` needs. All documents are searched, whole.
 
 *Fingerprints.* Windows and items get a 64-bit SimHash of their weighted shingles (weight: number of
 occurrences). Fingerprints are cut into ``radius + 1`` blocks; fingerprints that differ in at most
@@ -124,11 +125,21 @@ def _leaks_of_size(
     item_rows = items.select(
         "item", "number", "length", F.posexplode(_shingle_hashes("words", k)).alias("at", "hash")
     )
-    # Occurrences of item shingles place the windows.
+    # Occurrences of item shingles place the windows that end with them.
     places = shingled.select("doc_id", "print", "n", F.posexplode("hashes").alias("pos", "hash"))
-    met = places.join(small(item_rows, _BROADCAST_ROWS), "hash")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("length")))
-    windows = cut(met.select("doc_id", "print", "number", "length", start.alias("start")).distinct())
+    met = places.join(small(item_rows.select("number", "length", "hash").distinct(), _BROADCAST_ROWS), "hash")
+    met = met.groupBy("doc_id", "print", "n", "number", "length").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    last = F.col("length") - k
+    totals = F.least("length", "n") + F.col("length") - 2 * (k - 1)
+    least = F.greatest(F.lit(1), F.ceil(totals * (similarity / (1 + similarity)) - 1e-6)).cast("int")
+    met = met.withColumns({"last": last, "least": least}).where(F.size("places") >= F.col("least"))
+
+    def enough(pos: Column, i: Column) -> Column:
+        before = F.get("places", i - F.col("least") + 1) >= pos - F.col("last")
+        return F.when(pos >= F.col("last"), before).otherwise(F.get("places", F.col("least") - 1) <= F.col("last"))
+
+    starts = F.transform(F.filter("places", enough), lambda pos: F.greatest(F.lit(0), pos - F.col("last")))
+    windows = cut(met.select("doc_id", "print", "number", "length", F.explode(F.array_distinct(starts)).alias("start")))
     # The shingles of each window, from the documents that have one.
     wanted = small(windows.select("doc_id", "print").distinct(), _BROADCAST_ROWS).alias("w")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.print") == F.col("w.print"))
