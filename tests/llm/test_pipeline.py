@@ -46,3 +46,21 @@ def test_run_gives_the_same_documents(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "source", "target", "taken"} <= set(got.columns) and got.count() > 50
     assert corpus_pipeline.run(spark, sf_dir).agg({"taken": "sum"}).first()[0] == got.agg({"taken": "sum"}).first()[0]
+
+
+def test_near_copies_do_not_depend_on_file_splits(spark, tmp_path, docs_frame):
+    rows = [(d, " ".join(f"w{d // 3}x{i}" for i in range(20 + d % 7))) for d in range(48)]
+    docs_frame(rows).repartition(8, "doc_id").write.parquet(f"{tmp_path}/docs")
+    sets = {d: shingle_set(text, 5) for d, text in rows}
+    want = {d for d, first in smallest_reachable(sets, near_links(sets)).items() if d == first}
+    setting, cores = "spark.sql.files.minPartitionNum", (1, 64)  # as if the number of cores changed
+    try:
+        spark.conf.set(setting, cores[0])
+        docs = spark.read.parquet(f"{tmp_path}/docs")
+        few = docs.rdd.getNumPartitions()
+        kept = corpus_pipeline.without_near_copies(spark, docs, "")
+        spark.conf.set(setting, cores[1])
+        assert few < spark.read.parquet(f"{tmp_path}/docs").rdd.getNumPartitions()
+        assert {r.doc_id for r in kept.collect()} == want and len(want) < 48
+    finally:
+        spark.conf.unset(setting)

@@ -270,18 +270,14 @@ def near_groups(
     )
 
 
-def keep_one(
-    df: DataFrame, words_per_shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", from_files: bool = False
-) -> DataFrame:
+def keep_one(df: DataFrame, words_per_shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``df`` with one document of each near-duplicate group; columns stay as they are.
 
-    Rows are numbered to tell them apart, and are stored with their numbers unless the caller states
-    that ``df`` is a plain read of files, which gives the same numbers in every pass.
+    Rows are numbered to tell them apart, and are stored with their numbers: also a plain read of files
+    is split anew in every pass, by the cores that are there at that moment.
     """
     key = free_name(df, "_row")
-    numbered = df.withColumn(key, F.monotonically_increasing_id())
-    if not from_files:
-        numbered = Scratch(df.sparkSession, "minhash-keep").store(numbered, "docs")
+    numbered = Scratch(df.sparkSession, "minhash-keep").store(df.withColumn(key, F.monotonically_increasing_id()), "docs")
     texts = numbered.select(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(key).alias("at")).alias("id"), F.col(text).alias("text"))
     stay = near_groups(texts, words_per_shingle, percent, "text", "id").where("stays").select(F.col("doc_id.at").alias(key))
     return numbered.join(stay, key, "left_semi").select(*df.columns)
