@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, decontaminate, html_blocks, licences, minhash, mixing, paragraphs, quality, token_counts, toxicity
+from . import content_sort, decontaminate, html_blocks, licences, minhash, mixing, paragraphs, quality, token_counts, toxicity, vector_codes
 from .common import read_table
 
 
@@ -62,7 +62,14 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.notices(read_table(spark, sf_dir, "documents"))
 
 
+def compressed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+    found = vector_codes.with_label_error(coded).withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
+    "op12_vector_codes": compressed_vectors,
     "op7_license_scan": license_scan,
     "op4_substring_dedup": substring_dedup,
     "op9_html_extraction": html_extraction,
@@ -75,7 +82,44 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup,
 }
 
+def _vector_codes_sql(rounds: int = 2) -> str:
+    """Plain k-means on whole numbers: every part against every entry."""
+    steps = [
+        """kept AS (
+            SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS nr,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pieces AS (
+            SELECT nr, p, unnest(v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16]) AS x,
+                   generate_subscripts(v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16], 1) AS k
+            FROM kept, range(16) t(p)),
+        book0 AS (SELECT p, nr - 1 AS entry, k, x AS c FROM pieces WHERE nr <= 64)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+        away{r} AS (
+            SELECT nr, p, entry, sum((x - c) * (x - c)) AS d FROM pieces JOIN book{r} USING (p, k) GROUP BY ALL),
+        own{r} AS MATERIALIZED (
+            SELECT nr, p, min(d) AS d, arg_min(entry, d * 64 + entry) AS entry FROM away{r} GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+        mean{r} AS (
+            SELECT p, entry, k, floor(sum(x)::DECIMAL(38, 6) / count(*))::BIGINT AS c FROM pieces JOIN own{r} USING (nr, p) GROUP BY ALL),
+        book{r + 1} AS MATERIALIZED (
+            SELECT p, entry, k, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m USING (p, entry, k))""")
+    return f"""
+        WITH {",".join(steps)},
+        coded AS (
+            SELECT nr, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+            FROM own{rounds} GROUP BY nr)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, entry, k)) FROM book{rounds}) AS codebooks_sha256
+        FROM kept JOIN coded USING (nr)"""
+
+
 ORACLE_SQL = {
+    "op12_vector_codes": _vector_codes_sql(),
     "op8_exact_dedup": r"""
         WITH texts AS (
             SELECT doc_id, length(coalesce(text, '')) AS chars,
