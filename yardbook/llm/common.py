@@ -169,8 +169,8 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return hashes, starts, stops, np.searchsorted(starts, ends)
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after, bytes, ends) of runs of whole texts of about 2 MB; null is empty."""
+def text_slices(column: pa.Array, size: int = _SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after, bytes, ends) of runs of whole texts of about ``size`` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -180,7 +180,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(column):
-        after = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _SLICE_BYTES, "right")) - 1)
+        after = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         after = min(after, len(column))
         yield row, after, data[offsets[row] : offsets[after]], offsets[row + 1 : after + 1] - offsets[row]
         row = after

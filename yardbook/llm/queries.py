@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, decontaminate, html_blocks, licences, minhash, mixing, paragraphs, quality, token_counts, toxicity, vector_codes
+from . import content_sort, decontaminate, html_blocks, language, licences, minhash, mixing, paragraphs, quality, token_counts, toxicity, vector_codes
 from .common import read_table
 
 
@@ -68,7 +68,17 @@ def compressed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def detected_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def held_out(frame: DataFrame):
+        return F.crc32(F.coalesce(frame["doc_id"].cast("string"), F.lit(""))) % 4 == 2
+
+    docs = read_table(spark, sf_dir, "documents")
+    found = language.languages(docs, docs.where(~held_out(docs)).select("lang", "text"))
+    return found.select("doc_id", held_out(found).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES = {
+    "op13_language_id": detected_languages,
     "op12_vector_codes": compressed_vectors,
     "op7_license_scan": license_scan,
     "op4_substring_dedup": substring_dedup,
