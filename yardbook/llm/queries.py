@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, decontaminate, html_blocks, language, licences, minhash, mixing, paragraphs, quality, token_counts, toxicity, vector_codes
+from . import content_sort, decontaminate, html_blocks, language, lexical, licences, minhash, mixing, paragraphs, quality, token_counts, toxicity, vector_codes
 from .common import read_table
 
 
@@ -77,7 +77,12 @@ def detected_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(found).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
+    "op11_lexical_search": lexical_search,
     "op13_language_id": detected_languages,
     "op12_vector_codes": compressed_vectors,
     "op7_license_scan": license_scan,
@@ -129,6 +134,32 @@ def _vector_codes_sql(rounds: int = 2) -> str:
 
 
 ORACLE_SQL = {
+    "op11_lexical_search": r"""
+        WITH docs AS (
+            SELECT doc_id, row_number() OVER () AS d,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        items AS (
+            SELECT item_id, row_number() OVER () AS i,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM benchmark),
+        wanted AS (SELECT i, term, count(*) AS q FROM (SELECT i, unnest(terms) AS term FROM items) GROUP BY ALL),
+        counts AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM docs) GROUP BY ALL),
+        totals AS (SELECT count(*) AS docs_n, sum(len(terms))::BIGINT AS terms_n FROM docs WHERE len(terms) > 0),
+        weighed AS (
+            SELECT term, floor(1000 * ln((2 * any_value(docs_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM counts, totals GROUP BY term),
+        lengths AS (SELECT d, doc_id, 25 + (75 * len(terms) * docs_n) // terms_n AS m FROM docs, totals WHERE len(terms) > 0),
+        scores AS (
+            SELECT i, d, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM wanted JOIN counts USING (term) JOIN weighed USING (term) JOIN lengths USING (d) GROUP BY ALL),
+        placed AS (
+            SELECT item_id, doc_id, score,
+                   row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+            FROM scores JOIN items USING (i) JOIN docs USING (d) WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10""",
     "op12_vector_codes": _vector_codes_sql(),
     "op8_exact_dedup": r"""
         WITH texts AS (
