@@ -163,9 +163,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     known = labelled.where(F.col("lang").isNotNull())
     each = sample // max(1, known.select("lang").distinct().count())
     known = known.where(has_letter(F.col("text"))).withColumn("order", F.xxhash64("text"))
+    # Equal texts count once. Hashes are spread evenly, so the smallest ones of a large language are known by
+    # its size, and its rows never meet in one task to be cut there.
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("order").alias("size"))
+    share = F.col("order") / F.lit(2.0**64) + 0.5
+    few = known.select("lang", "order").join(sizes, "lang").where(share * F.col("size") <= 1.5 * max(1, each) + 100).select("lang", "order")
     first = Window.partitionBy("lang").orderBy("order")
-    # Equal texts count once. Spark limits each language within the map tasks, before the shuffle.
-    keys = known.select("lang", "order").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= max(1, each))
+    keys = few.distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= max(1, each))
     picked = known.join(F.broadcast(keys.drop("place")), ["lang", "order"]).dropDuplicates(["lang", "order"])
     # Bounded by `sample` rows of at most DIMENSIONS features.
     found = picked.select("lang", "text").mapInArrow(_sample_features, "lang string, at binary, value binary").collect()
