@@ -1,5 +1,7 @@
 """Shapes that must hold for large and skewed data."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from yardbook.functions.numbering import padded, with_position, with_rank_desc
@@ -20,22 +22,41 @@ def hot_rows(spark, n=30_000):
 
 def test_positions_match_row_number_under_a_hot_key(spark):
     df = hot_rows(spark)
-    got = with_position(df, [F.col("k"), F.col("row").desc()]).orderBy("position").collect()
+    got = with_position(df, [F.col("k"), -F.col("row")]).orderBy("position").collect()
     want = sorted(((r.k, r.row) for r in df.collect()), key=lambda r: (r[0], -r[1]))
     assert [(r.k, r.row) for r in got] == want
     assert [r.position for r in got] == list(range(1, len(want) + 1))
 
 
-def test_scratch_tables_can_be_cleared(spark):
-    import os
+def test_numbering_writes_nothing_and_counts_order_columns_only(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    hot_rows(spark).withColumn("wide", F.repeat(F.lit("x"), 50)).write.parquet(path)
+    folders = {*os.listdir("."), *os.listdir(tmp_path)}
+    numbered = with_position(spark.read.parquet(path), [F.col("k"), F.col("row")])
+    scans = [line for line in plan_of(numbered).splitlines() if "FileScan parquet" in line]
+    assert sorted("wide" in line for line in scans) == [False, True]
+    numbered.collect()
+    assert {*os.listdir("."), *os.listdir(tmp_path)} == folders
+
+
+def test_positions_are_the_same_in_every_execution(spark):
+    df = hot_rows(spark)
+    numbered = with_position(df, [F.col("k")])  # ties in the order
+    assert sorted(map(tuple, numbered.collect())) == sorted(map(tuple, numbered.repartition(5).collect()))
+
+
+def test_small_tables_are_one_range(spark):
+    df = spark.createDataFrame([(3,), (None,), (1,)], "n long")
+    assert {r.n: r.position for r in with_position(df, [F.col("n")]).collect()} == {None: 1, 1: 2, 3: 3}
+    assert with_position(df.where("false"), [F.col("n")]).collect() == []
 
-    from yardbook.functions.numbering import _own_scratch, clear_scratch
 
-    with_position(hot_rows(spark, 100), [F.col("row")]).count()
-    folder = _own_scratch(spark).removeprefix("file:")
-    assert os.path.isdir(folder)
-    clear_scratch(spark)
-    assert not os.path.exists(folder)
+def test_rank_of_a_value_that_fills_many_ranges(spark):
+    df = spark.range(4_000).select(F.col("id").cast("string").alias("name"), F.when(F.col("id") % 40 == 0, F.col("id")).when(F.col("id") % 41 != 0, 0).alias("v"))
+    got = {(r.v, r.place) for r in with_rank_desc(df, "v", ["name"], "place").collect()}
+    values = [r.v for r in df.collect()]
+    order = sorted(values, key=lambda v: (v is not None, -(v or 0)))
+    assert got == {(v, order.index(v) + 1) for v in set(values)}
 
 
 def test_rank_gives_ties_the_same_place(spark):

@@ -70,29 +70,6 @@ def test_materialised_revenue_equals_computed(stored, seeded):
     assert kept.select("revenue_id").distinct().count() == kept.count() == computed.count()
 
 
-def test_refresh_replaces_one_month_only(spark, stored, tmp_path):
-    path = str(tmp_path / "revenue")
-    lines = revenue_engine(stored)
-    writers.write_table(lines, path, "usage_date")
-    changed = lines.withColumn("tax_code", F.lit("NEW"))
-    writers.refresh_period(changed, path, "usage_date", "1998-06")
-    again = spark.read.parquet(path)
-    assert again.count() == lines.count()
-    months = [r.month_key.isoformat() for r in again.where("tax_code = 'NEW'").select("month_key").distinct().collect()]
-    assert months == ["1998-06-01"]
-
-
-def test_refresh_removes_an_emptied_month(spark, stored, tmp_path):
-    path = str(tmp_path / "revenue")
-    lines = revenue_engine(stored)
-    writers.write_table(lines, path, "usage_date")
-    rest = lines.where("usage_date not between date '1998-06-01' and date '1998-06-30'")
-    writers.refresh_period(rest, path, "usage_date", "1998-06")
-    again = spark.read.parquet(path)
-    assert again.count() == rest.count() < lines.count()
-    assert not [f for f in tmp_path.joinpath("revenue").iterdir() if f.name.startswith("_refresh")]
-
-
 def test_large_keys_keep_their_digits(spark, tmp_path):
     from yardbook.sources.testdata import finance_catalog
 
@@ -110,17 +87,6 @@ def test_large_keys_keep_their_digits(spark, tmp_path):
     assert tables["job_master"].where("length(job_id) = 12").count() > 0
 
 
-def test_materialise_leaves_no_scratch(spark, stored, tmp_path):
-    import os
-
-    from yardbook.functions.numbering import _own_scratch
-
-    folder = _own_scratch(spark).removeprefix("file:")
-    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
-    writers.materialise(stored, str(tmp_path))
-    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) <= before
-
-
 def test_month_end_export(spark, stored, tmp_path):
     target = writers.month_end_export(stored, "1998-06", str(tmp_path), "2001-12-31")
     assert target.endswith("period=1998-06-01")

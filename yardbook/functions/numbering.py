@@ -1,94 +1,82 @@
-"""Global row numbers and ranks without sending the table to one task.
+"""Global row numbers and ranks without sending the table to one task and without a copy of it.
 
-A plain ``row_number() over (order by ...)`` needs a single partition. Here the rows are range
-partitioned, each sorted partition numbers its own rows, and per-partition counts give the start of
-every partition. The ranged rows are first written to the shared scratch folder: range bounds are
-sampled per execution, so counts and numbers must come from the same stored layout, also after an
-executor is lost.
+A plain ``row_number() over (order by ...)`` needs a single partition. Here a bounded sample of the order
+columns gives range bounds once, and the bounds go into the plan as constants. So a row's range depends
+on its values alone and is the same in every execution, also after an executor is lost: one branch counts
+the rows of each range (and reads the order columns only), the other numbers the rows inside each range,
+and the counts of the ranges before are added. Nothing is written.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_SLOT_BITS = 33  # monotonically_increasing_id: partition number above, row number below
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """Shared folder for stored intermediate tables, as named by the cluster; on one machine beside the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def _own_scratch(spark: SparkSession) -> str:
-    return f"{scratch_folder(spark)}/yardbook-{spark.sparkContext.applicationId}"
+SAMPLE_PER_RANGE = 16
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def _sampled_bounds(keyed: DataFrame) -> list:
+    """Ascending keys that cut the rows into about as many ranges as a shuffle has partitions.
 
+    The sample is the rows with the smallest hash of their key, so it is the same in every run. A table
+    that is smaller than the sample is left whole.
+    """
+    ranges = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = SAMPLE_PER_RANGE * ranges
+    sample = keyed.select("_key").orderBy(F.xxhash64("_key")).limit(size)
+    keys = [r["_key"] for r in sample.orderBy("_key").collect()]  # at most `size` keys
+    if len(keys) < size:
+        return []
+    return [keys[at] for at in range(SAMPLE_PER_RANGE, size, SAMPLE_PER_RANGE)]
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of this application; numbered frames must be written by then."""
-    _delete(spark, _own_scratch(spark))
-    _stored.clear()
 
+def _range_of(key: Column, bounds: Column, count: int) -> Column:
+    """Number of bounds up to ``key``, by bisection."""
 
-_stored: list[str] = []
+    def halve(state: Column, _: Column) -> Column:
+        low, high = state["low"], state["high"]
+        middle = F.floor((low + high) / 2).cast("int")
+        above = F.get(bounds, middle) <= key
+        found = F.struct(
+            F.when(above, middle + 1).otherwise(low).alias("low"), F.when(above, high).otherwise(middle).alias("high")
+        )
+        return F.when(low < high, found).otherwise(state)
 
+    start = F.struct(F.lit(0).alias("low"), F.lit(count).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(count.bit_length())), start, halve)["low"]
 
-@contextmanager
-def released_scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete the scratch tables stored inside the block when it ends; their readers must be done by then."""
-    before = len(_stored)
-    try:
-        yield
-    finally:
-        for path in _stored[before:]:
-            _delete(spark, path)
-        del _stored[before:]
 
+def _ranged(df: DataFrame, keys: list[Column]) -> tuple[DataFrame, bool]:
+    """``df`` with the struct ``_key`` and the number of its range, and whether there are several ranges.
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a scratch table and read it back, which cuts its lineage."""
-    path = f"{_own_scratch(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _stored.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Rows that are equal in all keys are in one range, so the keys should tell rows apart.
+    """
+    keyed = df.withColumn("_key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+    bounds = _sampled_bounds(keyed)
+    if not bounds:
+        return keyed.withColumn("_range", F.lit(0)), False
+    schema = T.StructType([T.StructField("bounds", T.ArrayType(keyed.schema["_key"].dataType))])
+    constant = df.sparkSession.createDataFrame([(bounds,)], schema).scalar()
+    keyed = keyed.withColumn("_bounds", constant)
+    return keyed.withColumn("_range", _range_of(F.col("_key"), F.col("_bounds"), len(bounds))).drop("_bounds"), True
 
 
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Add the 1-based position of each row in a total order."""
-    ranged = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
-    )
-    stored = store(ranged, "positions").withColumn("_chunk", F.shiftright("_slot", _SLOT_BITS))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        stored.groupBy("_chunk")
-        .agg(F.count("*").alias("_rows"))
-        .select("_chunk", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    )
-    local = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
-    return (
-        # One row per range partition, so its size is fixed by the partition count.
-        stored.join(F.broadcast(starts), "_chunk")
-        .withColumn(name, F.col("_start") + local + 1)
-        .drop("_chunk", "_slot", "_start")
-    )
+    """Add the 1-based position of each row by ascending ``order`` columns, nulls first.
+
+    Rows that are equal in them follow by a hash of the whole row, so they too keep their places.
+    """
+    ranged, several = _ranged(df, order)
+    row = F.row_number().over(Window.partitionBy("_range").orderBy("_key", F.xxhash64(*df.columns)))
+    if not several:
+        return ranged.select(*df.columns, row.cast("long").alias(name))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
+    starts = starts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    # One row per range, so its size is fixed by the number of shuffle partitions.
+    placed = ranged.withColumn("_row", row).join(F.broadcast(starts), "_range")
+    return placed.select(*df.columns, (F.col("_start") + F.col("_row")).alias(name))
 
 
 def padded(prefix: str, number: Column, width: int) -> Column:
@@ -104,8 +92,29 @@ def with_sequence_id(df: DataFrame, name: str, prefix: str, width: int, order: l
 
 
 def with_rank_desc(df: DataFrame, value: str, tie_order: list[str], name: str) -> DataFrame:
-    """Add the competition rank of ``value``, largest first; equal values share a rank."""
-    placed = with_position(df, [F.col(value).desc_nulls_first(), *map(F.col, tie_order)], "_position")
-    first_place = placed.groupBy(value).agg(F.min("_position").alias(name))
-    joined = placed.alias("p").join(first_place.alias("f"), F.col(f"p.{value}").eqNullSafe(F.col(f"f.{value}")))
-    return joined.select(*[F.col(f"p.{c}") for c in df.columns], F.col(f"f.{name}"))
+    """Add the competition rank of a numeric ``value``, largest first, nulls before; equal values share a rank.
+
+    Ties in ``tie_order`` spread a frequent value over ranges. Inside a range Spark ranks the rows; a value
+    that a range continues from the one before has its rank from there, through one small row per range.
+    """
+    high_first = [F.col(value).isNotNull(), -F.col(value)]
+    ranged, _ = _ranged(df, [*high_first, *map(F.col, tie_order)])
+    ranged = ranged.withColumn("_value", F.struct(F.col("_key.k0").alias("k0"), F.col("_key.k1").alias("k1")))
+    by_value = ranged.groupBy("_range", "_value").agg(F.count("*").alias("_rows"))
+    spans = by_value.groupBy("_range").agg(
+        F.sum("_rows").alias("_rows"), F.min("_value").alias("_first"), F.max("_value").alias("_last"),
+        F.max_by("_rows", "_value").alias("_last_rows"),
+    )
+    by_range = Window.orderBy("_range")
+    upto = by_range.rowsBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumns({"_end": F.sum("_rows").over(upto), "_before": F.lag("_last").over(by_range)})
+    # The last value of a range begins in it, unless the range holds nothing but what the one before ends with.
+    begins = (F.col("_first") != F.col("_last")) | F.col("_before").isNull() | (F.col("_before") != F.col("_first"))
+    begun = F.last(F.when(begins, F.col("_end") - F.col("_last_rows") + 1), ignorenulls=True)
+    spans = spans.withColumn("_begun", begun.over(upto)).select(
+        "_range", "_before", F.lag("_begun").over(by_range).alias("_earlier"), (F.col("_end") - F.col("_rows")).alias("_start")
+    )
+    inside = F.col("_start") + F.rank().over(Window.partitionBy("_range").orderBy("_value"))
+    rank = F.when(F.col("_value") == F.col("_before"), F.col("_earlier")).otherwise(inside)
+    # One row per range, so its size is fixed by the number of shuffle partitions.
+    return ranged.join(F.broadcast(spans), "_range").select(*df.columns, rank.alias(name))

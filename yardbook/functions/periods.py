@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import calendar
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -49,6 +50,20 @@ def in_period(df: DataFrame, column: str, period: str | date | None) -> DataFram
     return df.where(F.col(column).between(F.lit(start), F.lit(end)))
 
 
+def in_months(df: DataFrame, column: str, months: Iterable[str | date] | None) -> DataFrame:
+    """Rows of any of some calendar months; all rows if ``months`` is None."""
+    if months is None:
+        return df
+    starts = sorted({period_bounds(month)[0] for month in months})
+    if not starts:
+        return df.where(F.lit(False))
+    if MONTH_KEY in df.columns:
+        df = df.where(F.col(MONTH_KEY).isin(starts))
+    # The range reaches the Parquet scan; the months in it are told apart row by row.
+    inside = F.col(column).between(F.lit(starts[0]), F.lit(period_bounds(starts[-1])[1]))
+    return df.where(inside & month_start(F.col(column)).isin(starts))
+
+
 def month_range(bounds: DataFrame) -> DataFrame:
     """One row ``month_start`` per month of a one-row frame (first_month, last_month)."""
     every_month = F.sequence("first_month", "last_month", F.expr("interval 1 month"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from yardbook.config import DEFAULT_RULES, Rules
 from yardbook.functions import money
 from yardbook.functions.numbering import with_sequence_id
-from yardbook.functions.periods import fixed_months, in_period, month_start, observed_months
+from yardbook.functions.periods import fixed_months, in_months, in_period, month_start, observed_months
 from yardbook.sources.catalog import Catalog
 
 TERM = ["job_id", "asset_id"]
@@ -109,14 +110,15 @@ def priced_usage(
     period: str | date | None = None,
     hour_rounding: str = "none",
     rules: Rules = DEFAULT_RULES,
+    months: Iterable[str | date] | None = None,
 ) -> DataFrame:
     """Usage rows with all revenue columns added.
 
     Only rows that charge a float fee need the hours of their term, so only those rows are shuffled
     for it; the others pass straight from the scan. The term hours always cover all dates, the
-    period applies to the rows that are priced.
+    period (or the months) applies to the rows that are priced.
     """
-    usage = in_period(tables["usage_log"], "usage_date", period)
+    usage = in_months(in_period(tables["usage_log"], "usage_date", period), "usage_date", months)
     kept = [c for c in usage.columns if c != "hours_worked"]
     hours = billable_hours_rule(F.col("hours_worked"), F.col("rain_flag"), hour_rounding, rules)
     fee = float_fee_rule(F.col("float_fee_cents"), F.col("total_term_hours"), rules)
@@ -149,16 +151,21 @@ def revenue_engine(
     period: str | date | None = None,
     hour_rounding: str = "none",
     rules: Rules = DEFAULT_RULES,
+    months: Iterable[str | date] | None = None,
 ) -> DataFrame:
     """One revenue line per usage row, keyed by ``usage_id``."""
-    return priced_usage(tables, period, hour_rounding, rules).select(*REVENUE_COLUMNS)
+    return priced_usage(tables, period, hour_rounding, rules, months).select(*REVENUE_COLUMNS)
 
 
-def revenue_id_seq(tables: Catalog, period: str | date | None = None) -> DataFrame:
-    """The revenue lines with their running id, ordered by date, job, asset and usage row."""
+def with_revenue_id(lines: DataFrame) -> DataFrame:
+    """Revenue lines with their running id, ordered by date, job, asset and usage row."""
     order = [F.col(c) for c in ("usage_date", "job_id", "asset_id", "usage_id")]
-    lines = in_period(tables["revenue_engine"], "usage_date", period).select(*REVENUE_COLUMNS)
-    return with_sequence_id(lines, "revenue_id", "REV", 5, order)
+    return with_sequence_id(lines.select(*REVENUE_COLUMNS), "revenue_id", "REV", 5, order)
+
+
+def revenue_id_seq(tables: Catalog, period: str | date | None = None) -> DataFrame:
+    """The stored or computed revenue lines with their running id."""
+    return with_revenue_id(in_period(tables["revenue_engine"], "usage_date", period))
 
 
 def float_required_by_site(tables: Catalog) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from yardbook.functions.periods import MONTH_KEY
 from yardbook.sources.catalog import Catalog
 from yardbook.sources.schemas import OPTIONAL_COLUMNS, SCHEMAS, SOURCE_TABLES
+from yardbook.sources.store import TableStore
 
 # Texts that count as true in a boolean column.
 TRUE_WORDS = ("true", "t", "1", "yes", "y")
@@ -68,8 +69,14 @@ def table_or_empty(spark: SparkSession, folder: str, name: str, fmt: str = "csv"
 def load_tables(spark: SparkSession, folder: str, fmt: str = "csv", allow_missing: bool = False) -> Catalog:
     """Catalog of the source tables in a folder, one file or folder per table.
 
-    A missing table is an error unless ``allow_missing`` is set; then it is empty.
+    A missing table is an error unless ``allow_missing`` is set; then it is empty. For a folder with
+    versions (``TableStore``) Parquet tables are those of the current version, derived ones included.
     """
+    if fmt == "parquet" and (store := TableStore(spark, folder)).version():
+        kept = store.catalog()
+        missing = [name for name in SOURCE_TABLES if not kept.stored(name)]
+        empty = {name: empty_table(spark, name) for name in missing if allow_missing}
+        return kept.with_tables(**empty)
 
     def loader(name: str):
         def read(_: Catalog) -> DataFrame:

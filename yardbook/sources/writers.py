@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yardbook.functions.numbering import released_scratch
-from yardbook.functions.periods import MONTH_KEY, in_period, month_start, period_bounds
+from yardbook.functions.periods import MONTH_KEY, in_period, period_bounds
 from yardbook.operators.exceptions import exception_scan
 from yardbook.operators.journals import journal_pack_period
 from yardbook.operators.profit import asset_profit, job_profit
 from yardbook.operators.revenue import revenue_id_seq
 from yardbook.operators.tax import bas_period
 from yardbook.sources.catalog import Catalog
+from yardbook.sources.store import Change, TableStore, by_month
 
 # Large source tables, their date column for monthly partitions.
 FACT_DATES = {"usage_log": "usage_date", "costs": "cost_date", "invoice_myob": "invoice_date"}
@@ -31,74 +31,50 @@ DERIVED_TABLES = {
 }
 
 
-def _by_month(df: DataFrame, day: str) -> DataFrame:
-    """Rows with their month, laid out so that one writer holds few months.
+def write_table(df: DataFrame, path: str, day: str | None = None) -> None:
+    """Write a table for other readers; with a date column it is partitioned by month.
 
-    The rebalance hint lets Spark split a month that is much larger than the others.
+    An existing table is written over in place. Tables that are read meanwhile belong in a ``TableStore``.
     """
-    return df.withColumn(MONTH_KEY, month_start(F.col(day))).hint("rebalance", MONTH_KEY)
-
-
-def write_table(df: DataFrame, path: str, day: str | None = None) -> None:
-    """Replace a table; with a date column it is partitioned by month."""
     if day is None:
         df.write.mode("overwrite").parquet(path)
     else:
-        _by_month(df, day).write.mode("overwrite").partitionBy(MONTH_KEY).parquet(path)
+        by_month(df, day).write.mode("overwrite").partitionBy(MONTH_KEY).parquet(path)
 
 
-def store_sources(tables: Catalog, folder: str, by_month: bool = True) -> Catalog:
-    """Write the source tables of a catalog as Parquet and return a catalog that reads them.
+def store_sources(tables: Catalog, folder: str, monthly: bool = True) -> Catalog:
+    """Store the source tables of a catalog as one version and return a catalog that reads them.
 
-    Each table replaces its source before the next one is written, so tables that are derived from
-    others read the stored form. Facts are partitioned by month unless ``by_month`` is off.
+    Each table is written before the next one, so tables that are derived from others read the stored
+    form. Facts are stored by month unless ``monthly`` is off.
     """
-    for name in tables.sources():
-        path = f"{folder.rstrip('/')}/{name}.parquet"
-        write_table(tables[name], path, FACT_DATES.get(name) if by_month else None)
-        tables = tables.with_tables(**{name: tables.spark.read.parquet(path)})
+    with TableStore(tables.spark, folder).change() as change:
+        for name in tables.sources():
+            stored = change.replace(name, tables[name], FACT_DATES.get(name) if monthly else None)
+            tables = tables.with_tables(**{name: stored})
     return tables
 
 
-def refresh_period(df: DataFrame, path: str, day: str, period: str | date) -> None:
-    """Replace one month of a table that is partitioned by month; the other months stay.
+def build_derived(
+    change: Change, tables: Catalog, names: Iterable[str], numbered: bool = True, monthly: bool = True
+) -> Catalog:
+    """Write derived tables in order of dependency; each fact is computed once."""
+    for name in names:
+        built = revenue_id_seq(tables) if name == "revenue_engine" and numbered else tables[name]
+        stored = change.replace(name, built, DERIVED_TABLES[name] if monthly else None)
+        tables = tables.with_tables(**{name: stored})
+    return tables
 
-    The rows are staged beside the months and take the month's place when they are complete; a month
-    without rows is removed. Only rows whose values depend on their own month can be refreshed this
-    way: the float fee of a hire term and the running revenue id depend on other months as well, so
-    ``revenue_engine`` with either of them has to be written as a whole.
-    """
-    spark = df.sparkSession
-    month = period_bounds(period)[0].isoformat()
-    stage = f"{path.rstrip('/')}/_refresh-{uuid.uuid4().hex}"
-    _by_month(in_period(df, day, period), day).write.partitionBy(MONTH_KEY).parquet(stage)
-    new, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{MONTH_KEY}={month}") for base in (stage, path.rstrip("/")))
-    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    if files.exists(new):
-        files.rename(new, old)
-    files.delete(new.getParent(), True)
-
-
-def materialise(tables: Catalog, folder: str, numbered: bool = True, by_month: bool = True) -> Catalog:
-    """Write the derived tables in order of dependency and return a catalog that reads them.
-
-    Every table is stored before the next one is built, so each fact is computed once. A table the
-    catalog already stores is left alone. With ``numbered`` the revenue rows carry their running id.
+
+def materialise(tables: Catalog, folder: str, numbered: bool = True, monthly: bool = True) -> Catalog:
+    """Store the derived tables as one version and return a catalog that reads them.
+
+    Readers of the folder see all of them or none. A table the catalog already stores is left alone. With
+    ``numbered`` the revenue rows carry their running id.
     """
-    spark = tables.spark
-    for name, day in DERIVED_TABLES.items():
-        if tables.stored(name):
-            continue
-        day = day if by_month else None
-        path = f"{folder.rstrip('/')}/{name}"
-        if name == "revenue_engine" and numbered:
-            with released_scratch(spark):
-                write_table(revenue_id_seq(tables), path, day)
-        else:
-            write_table(tables[name], path, day)
-        tables = tables.with_tables(**{name: spark.read.parquet(path)})
-    return tables
+    with TableStore(tables.spark, folder).change() as change:
+        missing = [name for name in DERIVED_TABLES if not tables.stored(name)]
+        return build_derived(change, tables, missing, numbered, monthly)
 
 
 def month_end_datasets(tables: Catalog, period: str | date, as_of: str | date) -> dict[str, DataFrame]:
