@@ -55,7 +55,7 @@ def test_passage_inside_long_lines_is_found(docs_frame):
 def test_nulls_repeats_and_empty_tables(docs_frame):
     line = " ".join(f"w{i}" for i in range(30))
     got = paragraphs.repeated_paragraphs(docs_frame([(None, line), (3, line), (3, line)])).collect()
-    assert sorted([(r.doc_id, r.copies, r.kept) for r in got], key=repr) == [(3, 3, True), (3, 3, True), (None, 3, False)]
+    assert sorted([(r.doc_id, r.copies, r.kept) for r in got], key=repr) == [(3, 3, False), (3, 3, True), (None, 3, False)]
     assert paragraphs.repeated_paragraphs(docs_frame([])).count() == 0
     assert len(np.unique(paragraphs._SEEDS)) == paragraphs.BANDS * paragraphs.ROWS and lower("A") == "a"
 
@@ -96,3 +96,67 @@ def test_overlapping_runs_and_equal_rows(docs_frame):
     assert left[1] == x + y and set(left[2]) == {"a", *z} and left[3] == left[4] == [] and left[6] == x[:49]
     assert 0 < len(left[5]) < 100
     assert len([r for r in got if r.doc_id == 4]) % 2 == 0
+
+
+def test_rows_without_or_with_one_identifier_are_told_apart(docs_frame):
+    rng = random.Random(8)
+    line = " ".join(f"w{i}" for i in range(30))
+    run = " ".join(f"r{i}" for i in range(60))
+    for ids in ((None, None, None), (5, 5, 5)):
+        rows = [(i, f"{' '.join(f'x{rng.randrange(10**6)}' for _ in range(7))} {k}\n{line}\na {k} b {run} c") for k, i in enumerate(ids)]
+        got = paragraphs.repeated_paragraphs(docs_frame(rows)).collect()
+        assert len([r for r in got if r.kept and r.after_word - r.first_word == 30]) == 1
+        assert len([r for r in got if r.after_word - r.first_word == 30]) == 3
+        assert len([r for r in got if r.kept]) == 2 and len(got) == 6
+
+
+def test_wrapped_edited_paragraphs_meet_whatever_their_lines(docs_frame):
+    rng = random.Random(4)
+
+    def wrapped(w, width):
+        return "\n".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+    rows = []
+    for k in range(6):
+        w = [f"u{k}_{rng.randrange(10**6)}" for _ in range(95)]
+        changed = list(w)
+        changed[40] = "other"
+        rows += [(2 * k, wrapped(w, 13)), (2 * k + 1, wrapped(changed, 9))]
+    got = paragraphs.repeated_paragraphs(docs_frame(rows), least_run=10**6, join_lines=True).collect()
+    assert sorted((r.doc_id, r.first_word, r.after_word, r.kept) for r in got) == [(d, 0, 95, d % 2 == 0) for d in range(12)]
+
+
+def test_very_long_and_constant_texts(docs_frame):
+    rng = random.Random(5)
+    long = [f"u{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(["x"] * 40_000)), (3, " ".join(long[20_000:20_200])), (4, "y" * 300_000)]
+    got = paragraphs.repeated_paragraphs(docs_frame(rows)).collect()
+    gone = sum(r.after_word - r.first_word for r in got if r.doc_id == 3 and not r.kept)
+    assert gone == 200 and not [r for r in got if r.doc_id == 1 and not r.kept]
+
+
+def test_extra_columns_with_clashing_names(docs_frame):
+    from pyspark.sql import functions as F
+
+    line = " ".join(f"w{i}" for i in range(30))
+    docs = docs_frame([(1, line), (2, line)]).withColumns({c: F.lit("x") for c in ("id", "row", "print", "at", "asked", "first", "bands")})
+    assert sorted((r.doc_id, r.kept) for r in paragraphs.repeated_paragraphs(docs).collect()) == [(1, True), (2, False)]
+
+
+def test_bands_are_those_of_single_paragraphs():
+    import pyarrow as pa
+
+    from yardbook.llm.common import text_slices
+
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(f"w{rng.randrange(200)}" for _ in range(rng.randrange(1, 160))) for _ in range(6)) for _ in range(20)]
+    for _, _, data, ends in text_slices(pa.array(texts)):
+        found = paragraphs._Slice(data, ends, 20)
+        bands, prints = found.bands(5), found.prints()
+    assert len(found.text) > 40 and (found.after - found.first >= 20).all()
+    for k in range(len(found.text)):
+        own = texts[found.text[k]].split()[found.first[k] - found.begins[found.text[k]] : found.after[k] - found.begins[found.text[k]]]
+        for _, _, data, ends in text_slices(pa.array([" ".join(own)])):
+            alone = paragraphs._Slice(data, ends, 20)
+            alone.first, alone.after, alone.text = np.array([0]), np.array([len(own)]), np.array([0])
+        assert (alone.bands(5)[0] == bands[k]).all() and alone.prints()[0] == prints[k]

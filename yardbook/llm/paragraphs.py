@@ -1,16 +1,18 @@
 """Repeated passages: paragraph MinHash banding, exact Jaccard, components; repeated runs of words.
 
-*Paragraphs* are the lines of a text; a line of more than ``LONG`` words is cut into blocks after words
-whose own and previous hash say so, so that a passage inside a longer line is cut alike wherever it
-stands. Paragraphs of fewer than ``least_words`` words are not looked at.
+*Paragraphs* are the lines of a text; with ``join_lines`` lines of fewer than ``least_words`` words that follow
+one another are one, so that wrapped text counts however it is wrapped. One of more than ``LONG`` words is cut before words
+where the two words before have the smallest hash for ``REACH`` words either way, so that a passage inside a
+longer line is cut alike wherever it stands and no part is short. What has fewer than ``least_words`` words even so is no paragraph.
 
 A paragraph is the set of its five-word shingles. ``BANDS`` bands of ``ROWS`` MinHash values each put
 it into buckets: a pair at the threshold of 0.8 misses all of them with a probability of 2e-4, one at
 0.9 with 2e-7. Equal paragraphs are one class. In each bucket first one class of every component meets
 the others, components are joined, and then all classes of components that are still different meet,
 so a passage that very many documents share is never expanded into pairs. Pairs are confirmed by exact
-Jaccard similarity of the full sets. Of each component the first paragraph (smallest document, then
-place) stays; rows repeated with their identifier share the decision.
+Jaccard similarity of the full sets, which are computed again from the texts of one occurrence of each class.
+Of each component the first paragraph (smallest document, then place) stays, and only that one: rows with
+the same or no identifier are told apart by their texts, and of rows that are repeated whole one is chosen.
 
 *Runs* are repeated word for word and do not depend on lines: each word of a span of ``least_run`` words
 that stands anywhere else, in lines of any length and across their ends, is in a run. A span belongs to
@@ -40,52 +42,81 @@ from pyspark.sql import types as T
 from .common import Scratch, cut, mix, powers, shingles, small, text_of, text_slices, words
 from .components import components
 
-BANDS, ROWS, LONG = 12, 3, 100
-_SEEDS = np.random.default_rng(17).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
+BANDS, ROWS, LONG, REACH = 12, 3, 100, 20
+# Odd multipliers: each permutes the 64-bit numbers, and shingle hashes are spread evenly already.
+_SEEDS = np.random.default_rng(17).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _BROADCAST_ROWS = 2_000_000
-_BROADCAST_SPANS = 200_000
+_SLICE = 1 << 18
 
 
-def _paragraphs(column: pa.Array, least_words: int) -> Iterator[tuple[int, np.ndarray, int, int]]:
-    """(row, word hashes, first word, word after) of each paragraph looked at."""
-    for row, _, data, ends in text_slices(column):
-        hashes, starts, stops, upto = words(data, ends)
-        if not len(hashes):
-            continue
+class _Slice:
+    """The paragraphs of a run of whole texts: text, first word and word after of each, as arrays."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, least_words: int, join_lines: bool = False):
+        self.hashes, starts, stops, upto = words(data, ends)
+        n = len(self.hashes)
+        self.begins = np.concatenate([[0], upto[:-1]])
+        if n == 0:
+            self.text = self.first = self.after = np.zeros(0, np.int64)
+            return
         lines = np.concatenate([[0], np.cumsum(data == 10)])
-        new_line = np.ones(len(hashes), bool)
+        new_line = np.ones(n, bool)
         new_line[1:] = lines[starts[1:]] != lines[stops[:-1]]
-        first = np.concatenate([[0], upto[:-1]])
-        new_line[first[first < len(hashes)]] = True
+        new_line[self.begins[self.begins < n]] = True
         opens = np.flatnonzero(new_line)
-        sizes = np.diff(np.append(opens, len(hashes)))
-        long_line = np.repeat(sizes > LONG, sizes)
-        anchor = np.zeros(len(hashes), bool)
-        anchor[2:] = (mix(hashes[:-2] ^ mix(hashes[1:-1])) % np.uint64(24) == 0) & long_line[2:]
-        opens = np.flatnonzero(new_line | anchor)
-        closes = np.append(opens[1:], len(hashes))
+        short = (np.diff(opens, append=n) < least_words) & join_lines
         owner = np.searchsorted(upto, opens, "right")
-        for text, begin, end in zip(owner, opens, closes):
-            if end - begin >= least_words:
-                yield row + text, hashes[begin:end], begin - first[text], end - first[text]
-
-
-def _set(hashes: np.ndarray, n: int) -> np.ndarray:
-    return np.unique(shingles(hashes, n).view(np.int64))
+        follows = np.zeros(len(opens), bool)
+        follows[1:] = short[1:] & short[:-1] & (owner[1:] == owner[:-1])
+        opens = np.unique(np.concatenate([opens[~follows], _anchors(self.hashes, opens[~follows], least_words)]))
+        closes = np.append(opens[1:], n)
+        whole = closes - opens >= least_words
+        self.first, self.after = opens[whole], closes[whole]
+        self.text = np.searchsorted(upto, self.first, "right")
+
+    def prints(self) -> np.ndarray:
+        """A hash of the word sequence of each paragraph."""
+        up, down = powers(len(self.hashes))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * up[: len(self.hashes)])])
+            whole = (sums[self.after] - sums[self.first]) * down[self.first]
+            return mix(mix(whole) + (self.after - self.first).astype(np.uint64)).view(np.int64)
+
+    def shingles(self, n: int, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of the paragraphs (or of ``some``), one after another, and where each begins."""
+        first, after = (self.first, self.after) if some is None else (self.first[some], self.after[some])
+        counts = after - first - n + 1
+        opens = np.cumsum(counts) - counts
+        at = np.arange(counts.sum()) + np.repeat(first - opens, counts)
+        return shingles(self.hashes, n)[at] if len(at) else np.zeros(0, np.uint64), opens
+
+    def bands(self, n: int) -> np.ndarray:
+        """(paragraphs, BANDS): hashes of ROWS MinHash values each."""
+        values, opens = self.shingles(n)
+        out = np.zeros((len(opens), BANDS), np.uint64)
+        with np.errstate(over="ignore"):
+            for k, seed in enumerate(_SEEDS if len(opens) else ()):
+                band = k // ROWS
+                before = out[:, band] if k % ROWS else np.uint64(band)
+                out[:, band] = mix(before + np.minimum.reduceat(values * seed, opens))
+        return out.view(np.int64)
 
 
-def _print(values: np.ndarray) -> int:
+def _anchors(hashes: np.ndarray, opens: np.ndarray, least_words: int) -> np.ndarray:
+    """Where lines of more than ``LONG`` words are cut: at words before which stands the smallest hash of two
+    neighbours for ``REACH`` words either way. So cuts are as far apart at least, and hang on the words around."""
+    n = len(hashes)
+    sizes = np.diff(opens, append=n)
+    if not (sizes > LONG).any():
+        return np.zeros(0, np.int64)
+    pair = np.full(n + 2 * REACH, np.iinfo(np.uint64).max)
     with np.errstate(over="ignore"):
-        return int(mix(mix(values.view(np.uint64)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(values)))[0].astype(np.int64))
-
-
-def _bands(values: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        least = np.array([mix(values.view(np.uint64) ^ s).min() for s in _SEEDS]).reshape(BANDS, ROWS)
-        out = np.arange(BANDS, dtype=np.uint64)
-        for k in range(ROWS):
-            out = mix(out + least[:, k])
-        return out.view(np.int64)
+        pair[REACH + 2 : REACH + n] = mix(hashes[:-2] ^ mix(hashes[1:-1]))
+    least = _first_least(pair, 2 * REACH + 1) == np.arange(n) + REACH
+    at = np.flatnonzero(least)
+    line = np.searchsorted(opens, at, "right") - 1
+    far = (at - opens[line] >= least_words) & (opens[line] + sizes[line] - at >= least_words)
+    return at[(sizes[line] > LONG) & far]
 
 
 def _rows(df: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -93,53 +124,61 @@ def _rows(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     return df.select(df[doc_id].alias("id"), text_of(df, text).alias("text"), F.xxhash64(df[doc_id], F.lit("|"), text_of(df, text)).alias("row"))
 
 
-def _scan(df: DataFrame, n: int, least_words: int, text: str, doc_id: str) -> DataFrame:
+def _scan(df: DataFrame, n: int, least_words: int, join_lines: bool, text: str, doc_id: str) -> DataFrame:
+    """(id, row, first, after, print, bands, at) of every paragraph; ``at`` is a number of its own."""
+
     def scan(batches):
         for batch in batches:
-            rows, spans, prints, bands = [], [], [], []
-            for row, hashes, begin, end in _paragraphs(batch.column(1), least_words):
-                own = _set(hashes, n)
-                rows.append(row)
-                spans.append((begin, end))
-                prints.append(_print(own))
-                bands.append(_bands(own))
-            offsets = pa.array(np.arange(0, BANDS * (len(rows) + 1), BANDS, dtype=np.int32))
-            flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    batch.column(2).take(pa.array(rows, pa.int64())),
-                    pa.array([s[0] for s in spans], pa.int64()),
-                    pa.array([s[1] for s in spans], pa.int64()),
-                    pa.array(prints, pa.int64()),
-                    pa.ListArray.from_arrays(offsets, pa.array(flat)),
-                ],
-                names=["id", "row", "first", "after", "print", "bands"],
-            )
+            for row, _, data, ends in text_slices(batch.column(1), _SLICE):
+                found = _Slice(data, ends, least_words, join_lines)
+                at = pa.array(row + found.text)
+                begins = found.begins[found.text]
+                offsets = pa.array(np.arange(0, BANDS * (len(found.text) + 1), BANDS, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(at),
+                        batch.column(2).take(at),
+                        pa.array(found.first - begins),
+                        pa.array(found.after - begins),
+                        pa.array(found.prints()),
+                        pa.ListArray.from_arrays(offsets, pa.array(found.bands(n).ravel())),
+                    ],
+                    names=["id", "row", "first", "after", "print", "bands"],
+                )
 
     fields = [T.StructField("id", df.schema[doc_id].dataType)]
     fields += [T.StructField(c, T.LongType()) for c in ("row", "first", "after", "print")]
-    return _rows(df, text, doc_id).mapInArrow(scan, T.StructType([*fields, T.StructField("bands", T.ArrayType(T.LongType()))]))
+    schema = T.StructType([*fields, T.StructField("bands", T.ArrayType(T.LongType()))])
+    return _rows(df, text, doc_id).mapInArrow(scan, schema).withColumn("at", F.monotonically_increasing_id())
+
+
+def _asked(df: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(text, asked): the texts of the rows in ``wanted`` (row, value) with their values."""
+    lists = wanted.groupBy("row").agg(F.collect_list("value").alias("asked"))  # at most a row's own paragraphs
+    return _rows(df, text, doc_id).join(small(lists, _BROADCAST_ROWS), "row").select("text", "asked")
 
 
-def _members(df: DataFrame, wanted: DataFrame, n: int, least_words: int, text: str) -> DataFrame:
-    """(print, members) of the paragraphs in ``wanted``."""
+def _members(df: DataFrame, wanted: DataFrame, n: int, least_words: int, join_lines: bool, text: str, doc_id: str) -> DataFrame:
+    """(print, members): the full shingle sets of the paragraphs in ``wanted`` (row, print)."""
 
     def build(batches):
         for batch in batches:
-            found = {}
-            for _, hashes, _, _ in _paragraphs(batch.column(0), least_words):
-                own = _set(hashes, n)
-                found[_print(own)] = own
-            sets = list(found.values())
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found.keys(), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["print", "members"]
-            )
+            asked = batch.column(1)
+            for row, after, data, ends in text_slices(batch.column(0), _SLICE):
+                found = _Slice(data, ends, least_words, join_lines)
+                own = asked.slice(row, after - row).flatten().to_numpy()
+                prints = found.prints() if len(found.text) else np.zeros(0, np.int64)
+                some = np.flatnonzero(np.isin(prints, own))
+                values, opens = found.shingles(n, some)
+                sets = [np.unique(v.view(np.int64)) for v in np.split(values, opens[1:])] if len(some) else []
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(prints[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["print", "members"]
+                )
 
-    sets = df.select(text_of(df, text)).mapInArrow(build, "print long, members array<long>")
-    return sets.join(small(wanted, _BROADCAST_ROWS), "print").dropDuplicates(["print"])
+    asked = _asked(df, wanted.select("row", F.col("print").alias("value")), text, doc_id)
+    return asked.mapInArrow(build, "print long, members array<long>").dropDuplicates(["print"])
 
 
 def _first_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -152,43 +191,76 @@ def _first_least(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
+class _Spans:
+    """Every span of ``size`` words of a run of whole texts, in blocks: neighbours with the same place of the
+    smallest shorter span."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, size: int):
+        short = max(1, size * 2 // 5)
+        hashes, _, _, upto = words(data, ends)
+        n = len(hashes)
+        owner = np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0))[: max(0, n - size + 1)]
+        spans = np.flatnonzero(np.arange(len(owner)) + size <= upto[owner])
+        if not len(spans):
+            none = np.zeros(0, np.int64)
+            self.text = self.start = self.counts = self.prints = self.owners = self.least = self.opens = self.full = none
+            return
+        up, down = powers(n)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:n])])
+            parts, full = (mix((sums[k:] - sums[: n - k + 1]) * down[: n - k + 1]) for k in (short, size))
+            place = _first_least(parts, size - short + 1)[spans]
+            # Spans of two texts are never in one block.
+            self.opens = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(owner[spans], prepend=-1) != 0))
+            self.counts = np.diff(self.opens, append=len(spans))
+            first = spans[self.opens]
+            whole = (sums[first + self.counts - 1 + size] - sums[first]) * down[first]
+            self.prints = mix(mix(whole) + self.counts.astype(np.uint64)).view(np.int64)
+        self.full = full[spans].view(np.int64)
+        self.text = owner[first]
+        self.start = first - np.concatenate([[0], upto[:-1]])[self.text]
+        self.owners = parts[place[self.opens]].view(np.int64)
+        self.least = np.minimum.reduceat(self.full, self.opens)
+
+
 def _blocks(df: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
-    """Every span of ``size`` words, in blocks: neighbours with the same place of the smallest short span."""
-    short = max(1, size * 2 // 5)
+    """(id, row, start, spans, print, owner, least) of every block of spans."""
 
     def scan(batches):
         for batch in batches:
-            for row, _, data, ends in text_slices(batch.column(1)):
-                hashes, _, _, upto = words(data, ends)
-                n = len(hashes)
-                owner = np.repeat(np.arange(len(upto)), np.diff(upto, prepend=0))[: max(0, n - size + 1)]
-                spans = np.flatnonzero(np.arange(len(owner)) + size <= upto[owner])
-                if not len(spans):
-                    continue
-                up, down = powers(n)
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:n])])
-                    parts, full = (mix((sums[k:] - sums[: n - k + 1]) * down[: n - k + 1]) for k in (short, size))
-                    place = _first_least(parts, size - short + 1)[spans]
-                    opens = np.flatnonzero(np.diff(place, prepend=-1))
-                    counts = np.diff(opens, append=len(spans))
-                    first = spans[opens]
-                    whole = (sums[first + counts - 1 + size] - sums[first]) * down[first]
-                    prints = mix(mix(whole) + counts.astype(np.uint64))
-                full = full[spans].view(np.int64)
-                at = pa.array(row + owner[first], pa.int64())
-                starts = first - np.concatenate([[0], upto[:-1]])[owner[first]]
-                longs = starts, counts, prints.view(np.int64), parts[place[opens]].view(np.int64), np.minimum.reduceat(full, opens)
-                offsets = pa.array(np.append(opens, len(spans)).astype(np.int32))
+            for row, _, data, ends in text_slices(batch.column(1), _SLICE):
+                found = _Spans(data, ends, size)
+                at = pa.array(row + found.text)
+                longs = found.start, found.counts, found.prints, found.owners, found.least
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(2).take(at), *(pa.array(x, pa.int64()) for x in longs)]
-                    + [pa.ListArray.from_arrays(offsets, pa.array(full))],
-                    names=["id", "row", "start", "spans", "print", "owner", "least", "hashes"],
+                    [batch.column(0).take(at), batch.column(2).take(at), *(pa.array(x, pa.int64()) for x in longs)],
+                    names=["id", "row", "start", "spans", "print", "owner", "least"],
                 )
 
     fields = [T.StructField("id", df.schema[doc_id].dataType)]
     fields += [T.StructField(c, T.LongType()) for c in ("row", "start", "spans", "print", "owner", "least")]
-    return _rows(df, text, doc_id).mapInArrow(scan, T.StructType([*fields, T.StructField("hashes", T.ArrayType(T.LongType()))]))
+    return _rows(df, text, doc_id).mapInArrow(scan, T.StructType(fields))
+
+
+def _span_hashes(df: DataFrame, wanted: DataFrame, size: int, text: str, doc_id: str) -> DataFrame:
+    """(print, hashes): the spans of the blocks in ``wanted`` (row, print)."""
+
+    def build(batches):
+        for batch in batches:
+            asked = batch.column(1)
+            for row, after, data, ends in text_slices(batch.column(0), _SLICE):
+                found = _Spans(data, ends, size)
+                some = np.flatnonzero(np.isin(found.prints, asked.slice(row, after - row).flatten().to_numpy()))
+                counts = found.counts[some]
+                offsets = np.concatenate([[0], np.cumsum(counts)])
+                at = np.arange(offsets[-1]) + np.repeat(found.opens[some] - offsets[:-1], counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.prints[some]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.full[at]))],
+                    names=["print", "hashes"],
+                )
+
+    asked = _asked(df, wanted.select("row", F.col("print").alias("value")), text, doc_id)
+    return asked.mapInArrow(build, "print long, hashes array<long>").dropDuplicates(["print"])
 
 
 def _merged(spans: DataFrame, *by: str) -> DataFrame:
@@ -205,7 +277,8 @@ def _repeated_runs(df: DataFrame, size: int, scratch: Scratch, text: str, doc_id
     """(row, goes, id, times, first, after, copies, passage) of the runs of repeated spans; ``times``: equal rows."""
     blocks = scratch.store(_blocks(df, size, text, doc_id), "blocks")
     owners = blocks.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner")
-    shared = scratch.store(blocks.drop("hashes").join(owners, "owner", "left_semi"), "shared")
+    shared = scratch.store(blocks.join(owners, "owner", "left_semi"), "shared")
+    scratch.drop("blocks")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "start", "row")
     prints = shared.groupBy("print", "owner", "spans", "least").agg(F.count("*").alias("n"), F.min(order).alias("best"))
     prints = cut(prints.withColumn("kinds", F.count("*").over(Window.partitionBy("owner"))))
@@ -214,7 +287,7 @@ def _repeated_runs(df: DataFrame, size: int, scratch: Scratch, text: str, doc_id
         F.col("n").alias("copies"), F.col("least").alias("passage"),
     )
     wanted = cut(prints.where("kinds > 1").select("print", "n", "best"))
-    each = blocks.select("print", "hashes").join(small(wanted, _BROADCAST_SPANS), "print").dropDuplicates(["print"])
+    each = _span_hashes(df, wanted.select("best.row", "print"), size, text, doc_id).join(wanted, "print")
     each = scratch.store(each.select("print", "n", "best", F.posexplode("hashes").alias("at", "hash")), "spans")
     place = F.struct(F.col("best.no_id").alias("no_id"), F.col("best.id").alias("id"), (F.col("best.start") + F.col("at")).alias("start"), F.col("best.row").alias("row"))
     counts = each.groupBy("hash").agg(F.sum("n").alias("copies"), F.min(place).alias("origin")).where("copies > 1")
@@ -231,7 +304,7 @@ def _repeated_runs(df: DataFrame, size: int, scratch: Scratch, text: str, doc_id
         (F.col("start") + F.col("high") + size).alias("after"), "copies", "passage",
     )
     merged = cut(_merged(spans, "goes"))
-    for name in ("blocks", "shared", "spans"):
+    for name in ("shared", "spans"):
         scratch.drop(name)
     return merged
 
@@ -267,29 +340,32 @@ def _outside_lines(runs: DataFrame, lines: DataFrame) -> DataFrame:
         "row", F.col("at").alias("first"), "after", stays.alias("kept"), F.when(stays, F.col("stays_fact")).otherwise(F.col("goes_fact")).alias("fact")
     )
     parts = _merged(parts.select("row", "first", "after", "kept", "fact.*"), "kept")
-    return parts.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
+    # Of rows repeated with their identifier the first one keeps what stays.
+    parts = parts.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return parts.withColumn("kept", F.col("kept") & (F.col("time") == 1)).drop("times", "time")
 
 
 def repeated_paragraphs(
     df: DataFrame, words_per_shingle: int = 5, percent: int = 80, least_words: int = 20, text: str = "text", doc_id: str = "doc_id",
-    least_run: int = 50,
+    least_run: int = 50, join_lines: bool = False,
 ) -> DataFrame:
     """One row per paragraph that is repeated and per part of a repeated run outside such paragraphs:
     ``doc_id``, ``first_word``, ``after_word``, ``passage_id``, ``copies``, ``kept``. Words are counted
     from 0; removing the spans with ``kept`` false leaves each passage once.
     """
-    n = words_per_shingle
+    n, least_words = words_per_shingle, max(least_words, words_per_shingle)
     scratch = Scratch(df.sparkSession, "paragraphs")
-    found = scratch.store(_scan(df, n, least_words, text, doc_id), "found")
-    classes = found.groupBy("print").agg(F.first("bands").alias("bands"))
+    found = scratch.store(_scan(df, n, least_words, join_lines, text, doc_id), "found")
+    classes = found.groupBy("print").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
     buckets = classes.select("print", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").select("bucket")
     lists = cut(buckets.join(shared, "bucket"))
 
     def confirm(pairs: DataFrame, step: str) -> DataFrame:
         pairs = cut(pairs.distinct())
-        wanted = cut(pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct())
-        full = scratch.store(_members(df, wanted, n, least_words, text), step)
+        wanted = pairs.select(F.col("a").alias("print")).union(pairs.select("b")).distinct()
+        wanted = cut(wanted.join(classes.select("print", "row"), "print"))
+        full = scratch.store(_members(df, wanted, n, least_words, join_lines, text, doc_id), step)
         both = pairs.join(full.select(F.col("print").alias("a"), F.col("members").alias("x")), "a")
         both = both.join(full.select(F.col("print").alias("b"), F.col("members").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y")).cast("long")
@@ -316,9 +392,9 @@ def repeated_paragraphs(
     links = cut(links.unionByName(confirm(meet(marked, marked), "rest")))
     named = components(links).withColumnRenamed("node", "print")
     placed = found.drop("bands").join(named, "print", "left").withColumn("passage", F.coalesce("component", "print"))
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "first", "after")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "first", "after", "row", "at")
     groups = placed.groupBy("passage").agg(F.count("*").alias("copies"), F.min(order).alias("best")).where("copies > 1")
-    same = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("first") == F.col("best.first"))
+    same = F.col("at") == F.col("best.at")
     lines = placed.join(groups, "passage").select("id", "row", "first", "after", "passage", "copies", same.alias("kept"))
     runs = _repeated_runs(df, least_run, scratch, text, doc_id)
     lines = cut(_inside_runs(lines, runs))

@@ -55,7 +55,7 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"))
+    return paragraphs.repeated_paragraphs(read_table(spark, sf_dir, "documents"), join_lines=True)
 
 
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
