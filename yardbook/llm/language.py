@@ -167,7 +167,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     # its size, and its rows never meet in one task to be cut there.
     sizes = known.groupBy("lang").agg(F.approx_count_distinct("order").alias("size"))
     share = F.col("order") / F.lit(2.0**64) + 0.5
-    few = known.select("lang", "order").join(sizes, "lang").where(share * F.col("size") <= 1.5 * max(1, each) + 100).select("lang", "order")
+    # One row a language, fewer than the model has that is broadcast below.
+    few = known.select("lang", "order").join(F.broadcast(sizes), "lang").where(share * F.col("size") <= 1.5 * max(1, each) + 100).select("lang", "order")
     first = Window.partitionBy("lang").orderBy("order")
     keys = few.distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= max(1, each))
     picked = known.join(F.broadcast(keys.drop("place")), ["lang", "order"]).dropDuplicates(["lang", "order"])
