@@ -69,3 +69,44 @@ def test_query_matches_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = queries.near_dedup(spark, sf_dir).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected(rows, 2)
+
+
+def test_signatures_estimate_similarity(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    random = np.random.default_rng(6)
+    rows, true = [], []
+    for _ in range(400):
+        size = int(random.integers(1, 900))
+        pool = np.unique(random.integers(-(2**63), 2**63 - 1, size))
+        keep = random.random(len(pool)) < random.uniform(0.3, 1.0)
+        other = np.unique(np.concatenate([pool[keep], random.integers(-(2**63), 2**63 - 1, int(random.integers(0, size // 2 + 1)))]))
+        if len(other):
+            common = len(np.intersect1d(pool, other))
+            true.append(common / (len(pool) + len(other) - common))
+            rows.append((len(true) - 1, minhash._signature(pool).tolist(), minhash._signature(other).tolist()))
+    frame = spark.createDataFrame(rows, "n long, a array<long>, b array<long>")
+    passed = {r.n: r.ok for r in frame.select("n", minhash._alike("a", "b", 80).alias("ok")).collect()}
+    assert all(passed[n] for n, j in enumerate(true) if j >= 0.8)
+    sized = [n for n, j in enumerate(true) if j < 0.5 and len(rows[n][1]) and sum(v != 0 for v in rows[n][1]) == 16]
+    assert sized and not any(passed[n] for n in sized if true[n] < 0.3)
+    # Bins one by one.
+    values = np.unique(random.integers(-(2**63), 2**63 - 1, 300))
+    bins = [(int(w) >> (4 * k)) & 15 for w in minhash._signature(values).view(np.uint64) for k in range(16)]
+    for at in range(minhash.BINS):
+        own = [int(v) % 2**64 for v in values if int(v) % minhash.BINS == at]
+        assert bins[at] == ((own[0] >> 16) % 15 + 1 if own else 0)
+
+
+def test_thresholds_follow_from_the_binomial_distribution(docs_frame):
+    import math
+
+    import pytest
+
+    for k, percent in ((24, 80), (48, 80), (24, 60), (48, 95)):
+        least, p = minhash.least_shared(k, percent), percent / 100
+        chance = sum(math.comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(least))
+        assert chance <= minhash.RARE < chance + math.comb(k, least) * p**least * (1 - p) ** (k - least)
+    with pytest.raises(ValueError, match="too few"):
+        minhash.near_groups(docs_frame([(1, "a")]), percent=40)

@@ -12,15 +12,21 @@ size (linked sets differ by at most the threshold's ratio). First one class of e
 is paired with those of the others, and components are joined; then all classes of components that are
 still different.
 
-Linked sets share at least ``ENOUGH`` of their ``KEEP`` smallest union values, so it is enough that
-each class stands in its shortest lists, all but ``ENOUGH - 1`` of those it shares with anyone (prefix filtering, shortest list
+Linked sets share at least some (see below) of their ``KEEP`` smallest union values, so it is enough that
+each class stands in its shortest lists, all but that number less one of those it shares with anyone (prefix filtering, shortest list
 first). Lists of more than ``wide`` components - common phrases and lines - are left out, and counted
 as shared wherever a class has one; classes that stand mostly in such lists are paired through them as
 well, among themselves.
 
-*Estimate.* A pair passes if it shares 23 of the 48 smallest values of the union (or the smallest
-possible intersection, where that is smaller). A pair at the threshold of 0.8 fails that, or shares
-fewer than ``ENOUGH`` retained values, with a probability below 1e-6; nothing else is missed.
+*Estimates.* Each list entry carries a signature cut from the same hash function: the low bits of a value choose
+one of ``BINS`` bins, and four bits of the smallest value in a bin stand for it. The share of equal bins among
+those that either set fills estimates the similarity, and the join that pairs a list asks for it, so pairs
+far below the threshold are never written. Pairs that pass have to share enough of the 48 smallest values of
+the union of their sketches (or the smallest possible intersection, where that is smaller).
+
+How many values have to be shared follows from the threshold and the binomial distribution (9 of 24 and 24 of
+48 at 0.8): a pair at the threshold fails the lists, the signature or the estimate with a probability of about 1e-6
+each; nothing else is missed. Thresholds too low for lists of this length are refused.
 
 *Exact.* Pairs that pass are confirmed on the full sets: ``100 * |A n B| >= percent * |A u B|``.
 
@@ -32,7 +38,9 @@ minima; repeated rows are linked; an empty table gives an empty result; texts ar
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +52,52 @@ from .common import Scratch, cut, free_name, shingles, small, text_of, text_slic
 from .components import components
 
 KEEP = 24
-ENOUGH = 8
 SKETCH = 48
-ESTIMATE = 23
+BINS = 256
+RARE = 1e-6
 TURNS = 3
 WIDE = 24
 _BROADCAST_ROWS = 2_000_000
 
 
+def least_shared(k: int, percent: int) -> int:
+    """How many of the ``k`` smallest union values a pair at the threshold shares, but for a chance of ``RARE``."""
+    p, below = percent / 100, 0.0
+    for shared in range(k + 1):
+        below += math.comb(k, shared) * p**shared * (1 - p) ** (k - shared)
+        if below > RARE:
+            return shared
+    return k
+
+
+def _signature(values: np.ndarray) -> np.ndarray:
+    """A number of 1 to 15 for each of the BINS bins, 0 for an empty one, packed into 64-bit numbers.
+
+    ``values`` ascend; the smallest of each bin is assigned last and stays.
+    """
+    bins = np.zeros(BINS, np.uint64)
+    down = values[::-1].view(np.uint64)
+    bins[(down % np.uint64(BINS)).astype(np.int64)] = (down >> np.uint64(16)) % np.uint64(15) + np.uint64(1)
+    packed = bins.reshape(-1, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))
+    return np.bitwise_or.reduce(packed, axis=1).view(np.int64)
+
+
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Whether the signatures ``x`` and ``y`` have as many equal bins as sets at the threshold have, less 4.75 deviations."""
+    ones = F.lit(0x1111111111111111)
+
+    def filled(word: Column) -> Column:
+        """How many of a number's sixteen 4-bit parts are not 0."""
+        half = word.bitwiseOR(F.shiftrightunsigned(word, 1))
+        return F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(ones))
+
+    pairs = [(F.get(F.col(x), F.lit(k)), F.get(F.col(y), F.lit(k))) for k in range(BINS // 16)]
+    known = reduce(Column.__add__, [filled(a.bitwiseOR(b)) for a, b in pairs])
+    other = reduce(Column.__add__, [filled(a.bitwiseXOR(b)) for a, b in pairs])
+    p = percent / 100
+    return known - other >= known * p - F.sqrt(known * (p * (1 - p))) * 4.75
+
+
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted set of shingle hashes of each text."""
     for _, _, data, ends in text_slices(column):
@@ -73,7 +119,7 @@ def _fingerprint(values: np.ndarray) -> bytes:
 
 
 def sketches(df: DataFrame, n: int, keep: int, text: str, doc_id: str) -> DataFrame:
-    """(id, at, size, print, sketch) of each row; ``print`` names the full set."""
+    """(id, at, size, print, sketch, sign) of each row; ``print`` names the full set."""
 
     def sketch(batches):
         for batch in batches:
@@ -85,8 +131,9 @@ def sketches(df: DataFrame, n: int, keep: int, text: str, doc_id: str) -> DataFr
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_fingerprint(s) for s in sets], pa.binary()),
                     _list_array([s[:keep] for s in sets]),
+                    _list_array([_signature(s) for s in sets]),
                 ],
-                names=["id", "at", "size", "print", "sketch"],
+                names=["id", "at", "size", "print", "sketch", "sign"],
             )
 
     rows = df.select(df[doc_id].alias("id"), F.monotonically_increasing_id().alias("at"), text_of(df, text).alias("text"))
@@ -97,6 +144,7 @@ def sketches(df: DataFrame, n: int, keep: int, text: str, doc_id: str) -> DataFr
             T.StructField("size", T.LongType()),
             T.StructField("print", T.BinaryType()),
             T.StructField("sketch", T.ArrayType(T.LongType())),
+            T.StructField("sign", T.ArrayType(T.LongType())),
         ]
     )
     return rows.mapInArrow(sketch, schema)
@@ -128,7 +176,7 @@ def _entries(classes: DataFrame, percent: int, keep: int) -> DataFrame:
     )
 
 
-def _close_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _close_neighbours(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[pa.RecordBatch]:
     """(a, b) of sorted sketches that share enough values with one of the two before them."""
     ids, table = np.zeros(0, np.int64), np.zeros((0, KEEP), np.int64)
     lengths = np.zeros(0, np.int64)
@@ -146,18 +194,18 @@ def _close_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             if len(ids) <= back:
                 continue
             same = (table[later, :, None] == table[earlier, None, :]) & valid[later, :, None] & valid[earlier, None, :]
-            close = same.any(axis=2).sum(axis=1) >= np.minimum(ENOUGH, np.minimum(lengths[later], lengths[earlier]))
+            close = same.any(axis=2).sum(axis=1) >= np.minimum(enough, np.minimum(lengths[later], lengths[earlier]))
             a.append(ids[earlier][close])
             b.append(ids[later][close])
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def _neighbours(classes: DataFrame) -> DataFrame:
+def _neighbours(classes: DataFrame, enough: int) -> DataFrame:
     turn = F.explode(F.sequence(F.lit(1), F.least("kept_values", F.lit(TURNS))))
     turned = classes.select("cls", "sketch", turn.alias("turn")).select("cls", F.slice("sketch", F.col("turn"), KEEP).alias("part"))
     ordered = turned.repartitionByRange("part", "cls").sortWithinPartitions("part", "cls")
-    close = ordered.mapInArrow(_close_neighbours, "a long, b long")
+    close = ordered.mapInArrow(partial(_close_neighbours, enough=enough), "a long, b long")
     return close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
@@ -170,7 +218,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     # The smallest values of both sketches are the smallest of the union.
     union = F.slice(F.sort_array(F.array_union("x", "y")), 1, SKETCH)
     common = F.size(F.array_intersect(union, F.array_intersect("x", "y")))
-    return both.where(common >= F.least(F.lit(ESTIMATE), _least_common(F.col("m"), F.col("n"), percent))).select("a", "b")
+    return both.where(common >= F.least(F.lit(least_shared(SKETCH, percent)), _least_common(F.col("m"), F.col("n"), percent))).select("a", "b")
 
 
 def _least_common(m: Column, n: Column, percent: int) -> Column:
@@ -184,7 +232,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, df: DataFrame, n: int, perc
     nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     needed = cut(classes.join(nodes, "cls").select("cls", "id", "print"))
     full = _full_sets(df, needed.select("id").distinct(), n, text, doc_id)
-    full = scratch.store(full.join(needed.select("cls", "print"), "print").select("cls", "members"), f"sets-{step}")
+    full = full.dropDuplicates(["print"]).join(needed.select("cls", "print"), "print").select("cls", "members")
+    full = scratch.store(full, f"sets-{step}")
     left = pairs.join(full.select(F.col("cls").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(full.select(F.col("cls").alias("b"), F.col("members").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
@@ -203,10 +252,13 @@ def near_groups(
     group has ``stays`` set, also where identifiers repeat or are null; a text without words stays.
     """
     spark, n = df.sparkSession, words_per_shingle
+    enough = least_shared(KEEP, percent)
+    if enough < 2:
+        raise ValueError(f"{KEEP} retained values are too few for a threshold of {percent} percent")
     scratch = Scratch(spark, "minhash")
     rows = scratch.store(sketches(df, n, SKETCH, text, doc_id), "rows")
     filled = rows.where("size > 0")
-    classes = filled.groupBy("print").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    classes = filled.groupBy("print").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("sign").alias("sign"))
     classes = scratch.store(
         classes.withColumns({"cls": F.monotonically_increasing_id(), "kept_values": F.least(F.size("sketch"), F.lit(KEEP))}), "classes"
     )
@@ -214,7 +266,7 @@ def near_groups(
     def confirm(pairs: DataFrame, step: str) -> DataFrame:
         return _confirmed(pairs, classes, df, n, percent, text, doc_id, scratch, step)
 
-    links = confirm(_neighbours(classes), "neighbours")
+    links = confirm(_neighbours(classes, enough), "neighbours")
 
     # Pairs of different components in the shortest lists of each class.
     first = components(links).withColumnRenamed("node", "cls")
@@ -224,7 +276,7 @@ def near_groups(
     widths = widths.agg(F.count("*").alias("width")).where("width > 1")
     own = Window.partitionBy("cls", "tier")
     # At least so many values a linked class shares with this one, of which `hidden` may be in wide lists.
-    least = F.least(F.lit(ENOUGH), _least_common(F.col("size"), F.col("size") * percent / 100, percent))
+    least = F.least(F.lit(enough), _least_common(F.col("size"), F.col("size") * percent / 100, percent))
     ranked = (
         entries.join(widths, ["value", "tier"])
         .withColumn("wide", F.col("width") > wide)
@@ -237,12 +289,15 @@ def near_groups(
     broad = F.col("mostly") & (F.col("place") <= F.col("lists") - least + 1)
     rest = cut(ranked.where(narrow | broad).select("value", "tier", "cls", "component", "bucket", "wide"))
 
+    signs = classes.select("cls", "sign")
+
     def across(lists: DataFrame) -> DataFrame:
+        lists = lists.join(signs, "cls")
         x, y = lists.alias("x"), lists.alias("y")
         met = (F.col("x.value") == F.col("y.value")) & (F.col("x.tier") == F.col("y.tier"))
         other = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
         lowest = F.least("x.bucket", "y.bucket") == F.col("x.tier")
-        pairs = x.join(y, met & other & lowest).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+        pairs = x.join(y, met & other & lowest & _alike("x.sign", "y.sign", percent)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
         return _possible(pairs.distinct(), classes, percent)
 
     one_each = rest.groupBy("value", "tier", "component", "bucket").agg(F.min("cls").alias("cls"))
@@ -255,7 +310,7 @@ def near_groups(
     named = classes.join(final, "cls", "left").select("cls", "print", "id", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = cut(named.join(least, "component").select("print", "component", "component_id"))
-    out = rows.drop("sketch").join(named, "print", "left")
+    out = rows.drop("sketch", "sign").join(named, "print", "left")
     first_row = out.where("component is not null").groupBy("component").agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "at")).alias("best")
     )
