@@ -131,7 +131,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) <= n:
-            size = max(n + 1, _SLICE_BYTES + 1)
+            size = max(n + 1, 2 * len(self.up))
             with np.errstate(over="ignore"):
                 self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _BASE, np.uint64))])
                 inverse = np.uint64(pow(_BASE, -1, 2**64))

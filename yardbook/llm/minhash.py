@@ -57,6 +57,7 @@ BINS = 256
 RARE = 1e-6
 TURNS = 3
 WIDE = 24
+_SLICE = 1 << 18
 _BROADCAST_ROWS = 2_000_000
 
 
@@ -100,7 +101,7 @@ def _alike(x: str, y: str, percent: int) -> Column:
 
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted set of shingle hashes of each text."""
-    for _, _, data, ends in text_slices(column):
+    for _, _, data, ends in text_slices(column, _SLICE):
         hashes, _, _, upto = words(data, ends)
         begin = 0
         for end in upto:

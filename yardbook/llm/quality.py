@@ -29,17 +29,23 @@ from .common import free_name, mix, text_of, text_slices, words
 DIMENSIONS = 1 << 14
 SAMPLE = 3000
 _SCALE = 10.0
+_SLICE = 1 << 18
 
 
 def _features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, 4) feature numbers, and the words up to each text's end."""
     hashes, starts, stops, upto = words(data, ends)
     lengths = stops - starts
-    upper = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
-    digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
-    letter = ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 128)
-    letters = np.concatenate([[0], np.cumsum(letter)])
-    n_upper, n_digit, n_letter = (c[stops] - c[starts] for c in (upper, digit, letters))
+
+    def inside(kind: np.ndarray) -> np.ndarray:
+        """How many bytes of a kind are in each word."""
+        sums = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(kind, out=sums[1:])
+        return (sums[stops] - sums[starts]).astype(np.int64)
+
+    capital = (data >= 65) & (data <= 90)
+    n_upper, n_digit = inside(capital), inside((data >= 48) & (data <= 57))
+    n_letter = inside(capital | ((data >= 97) & (data <= 122)) | (data >= 128))
     signs = lengths - n_letter - n_digit
     shape = np.minimum(n_upper, 3) + 4 * np.minimum(n_digit, 2) + 12 * np.minimum(signs, 4) + 60 * np.minimum(lengths // 4, 4)
     tail = np.zeros(len(starts), np.uint64)
@@ -57,7 +63,7 @@ def _features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, value = [], []
-        for _, _, data, ends in text_slices(batch.column(1)):
+        for _, _, data, ends in text_slices(batch.column(1), _SLICE):
             numbers, upto = _features(data, ends)
             begin = 0
             for end in upto:
@@ -135,7 +141,7 @@ def _graded(docs: DataFrame, labels: DataFrame, name: str, select: int, sample:
     def grade(texts: pd.Series) -> pd.DataFrame:
         weights, thresholds = shared.value
         out = np.zeros(len(texts))
-        for row, after, data, ends in text_slices(pa.array(texts, pa.large_string(), from_pandas=True)):
+        for row, after, data, ends in text_slices(pa.array(texts, pa.large_string(), from_pandas=True), _SLICE):
             numbers, upto = _features(data, ends)
             sums = np.concatenate([[0.0], np.cumsum(weights[numbers].sum(axis=1))])
             first = np.concatenate([[0], upto[:-1]])
