@@ -2,13 +2,14 @@
 
 Each class gets an interpolated bigram model. Its highest order are discounted bigram counts, below it
 discounted continuation counts (in how many different contexts a word follows), and below that one
-distribution that both classes share: in how many documents of the whole corpus a word stands. Counts
-of one and two are discounted entirely, so a rare expression is worth what the shared counts say.
+distribution that both classes share: in how many documents of the whole corpus a word stands. Counts of
+one, two and more have discounts of their own, estimated from how many counts there are of one to four; a
+bigram that was seen once is left to the lower orders.
 
-A text's score compares the length-normalised log-likelihoods of the two models: the mean difference
-per word over the whole text, and over its most toxic words (the first, the first two and the first
-three), so that a few expressions in a long text are seen. A logistic calibration, fitted on labelled
-rows that gave no counts, turns these into a score.
+A text's score compares the length-normalised log-likelihoods of the two models: the mean difference per
+word with its context and without, over the whole text, and without context over its most toxic words (the
+first, the first two and the first three), so that a few expressions in a long text are seen. A logistic
+calibration, fitted on labelled rows that gave no counts, turns these into a score.
 
 At most ``sample`` labelled rows of each class give counts (smallest hash of the identifier first); the
 class tables are bounded by them. The shared counts come from all documents, and all documents are
@@ -26,14 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mix, text_of, text_slices, words
 
 SAMPLE = 4000
 PEAKS = 3
-DISCOUNT = 2.0
+_SLICE = 1 << 18
 CALIBRATION = 4  # every fourth sampled row gives no counts
 
 
@@ -61,7 +62,7 @@ def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         classes, contexts, followers = [], [], []
         row_class = batch.column(0).to_numpy()
-        for row, _, data, ends in text_slices(batch.column(1)):
+        for row, _, data, ends in text_slices(batch.column(1), _SLICE):
             hashes, upto = _tokens(data, ends)
             begin = 0
             for i, end in enumerate(upto):
@@ -87,7 +88,7 @@ def shared_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray,
         table = known.value
         found, total = np.zeros(len(table), np.int64), 0
         for batch in batches:
-            for _, _, data, ends in text_slices(batch.column(0)):
+            for _, _, data, ends in text_slices(batch.column(0), _SLICE):
                 hashes, upto = _tokens(data, ends)
                 begin = 0
                 for end in upto:
@@ -123,13 +124,14 @@ class Model:
         self.seen = np.zeros(1 << 22, bool)
         self.seen[keys & ((1 << 22) - 1)] = True
 
-    def evidence(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log P(word | context, toxic) - log P(word | context, ordinary); ``first``: no context."""
+    def evidence(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(word | toxic) - log P(word | ordinary), given the context and without; ``first``: no context."""
         if len(self.vocabulary) == 0 or len(hashes) == 0:
-            return np.full(len(hashes), self.unknown)
+            return (np.full(len(hashes), self.unknown),) * 2
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         hit = self.vocabulary[at] == hashes
-        out = np.where(hit, self.difference[at], self.unknown)
+        alone = np.where(hit, self.difference[at], self.unknown)
+        out = alone.copy()
         shift = np.where(hit, self.shift[at], 0.0)[:-1]
         shift[first[1:]] = 0.0
         out[1:] += shift
@@ -139,71 +141,93 @@ class Model:
             place = np.minimum(np.searchsorted(self.keys, pairs[some]), len(self.keys) - 1)
             right = self.keys[place] == pairs[some]
             out[some[right] + 1] = self.pair_difference[place[right]]
-        return out
+        return out, alone
 
     def measures(self, column: pa.Array) -> np.ndarray:
-        """(texts, 1 + PEAKS): mean difference of the whole text and of its 1, 2, ... most toxic words."""
-        out = np.zeros((len(column), 1 + PEAKS))
-        for row, _, data, ends in text_slices(column):
+        """(texts, 2 + PEAKS): mean differences of the whole text and of its 1, 2, ... most toxic words."""
+        out = np.zeros((len(column), 2 + PEAKS))
+        for row, _, data, ends in text_slices(column, _SLICE):
             hashes, upto = _tokens(data, ends)
             begins = np.concatenate([[0], upto[:-1]])
             first = np.zeros(len(hashes), bool)
             first[begins[begins < len(hashes)]] = True
-            evidence = self.evidence(hashes, first)
+            joint, alone = self.evidence(hashes, first)
             for i, (begin, end) in enumerate(zip(begins, upto)):
                 if end > begin:
-                    own = evidence[begin:end]
+                    own = alone[begin:end]
                     top = np.zeros(PEAKS)
                     size = min(PEAKS, end - begin)
                     top[:size] = np.sort(np.partition(own, end - begin - size)[end - begin - size :])[::-1]
-                    out[row + i] = own.mean(), *(np.cumsum(top) / np.arange(1, PEAKS + 1))
+                    out[row + i] = joint[begin:end].mean(), own.mean(), *(np.cumsum(top) / np.arange(1, PEAKS + 1))
         return out
 
 
-def _lower_order(continuations: pd.Series, totals: tuple[float, float], shared: np.ndarray) -> np.ndarray:
-    held, kept = totals
-    return np.maximum(continuations - DISCOUNT, 0.0) / held + (1.0 - kept / held) * shared
+def discounts(ones: int, twos: int, threes: int, fours: int) -> tuple[float, float, float]:
+    """What is taken off counts of one, two and more, from how many counts are one, two, three and four."""
+    if not (ones and twos and threes):
+        return 0.5, 0.75, 0.75  # too few counts to estimate from
+    y = ones / (ones + 2 * twos)
+    found = 1 - 2 * y * twos / ones, 2 - 3 * y * threes / twos, 3 - 4 * y * fours / threes
+    return tuple(min(max(d, 0.1), k + 0.9) for k, d in enumerate(found))
+
+
+def _estimated(counts: DataFrame) -> dict[int, tuple[float, float, float]]:
+    """Discounts of each class from rows (toxic, n)."""
+    rows = counts.where("n <= 4").groupBy("toxic", "n").count().collect()  # at most four a class
+    found = {(r["toxic"], r["n"]): r["count"] for r in rows}
+    return {c: discounts(*(found.get((c, k), 0) for k in (1, 2, 3, 4))) for c in (0, 1)}
+
+
+def _kept(n, taken: tuple[float, float, float]):
+    """Counts less their discounts, for numbers."""
+    n = np.asarray(n, float)
+    return np.maximum(n - np.select([n <= 1, n <= 2], taken[:2], taken[2]), 0.0)
+
+
+def _kept_column(taken: dict[int, tuple[float, float, float]]) -> Column:
+    """The same for the columns ``toxic`` and ``n``."""
+    n, out = F.col("n"), F.lit(0.0)
+    for c, (one, two, more) in taken.items():
+        off = F.when(n <= 1, one).when(n <= 2, two).otherwise(more)
+        out = F.when(F.col("toxic") == c, F.greatest(n - off, F.lit(0.0))).otherwise(out)
+    return F.sum(out)
 
 
 def build(docs: DataFrame, sampled: DataFrame) -> Model | None:
     """The model from sampled rows (toxic, text) and the shared counts of ``docs`` (text)."""
-    spark = docs.sparkSession
     bigrams = sampled.mapInArrow(_count_bigrams, "toxic long, context long, word long")
     counted = cut(bigrams.groupBy("toxic", "context", "word").agg(F.count("*").alias("n")))
-    over = F.sum(F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)))
-    by_word = counted.groupBy("toxic", "word").agg(F.count("*").alias("n"), F.max("n").alias("most"))
-    totals = {r.toxic: (r.held, r.kept) for r in by_word.groupBy("toxic").agg(F.sum("n").cast("double").alias("held"), over.alias("kept")).collect()}
+    by_word = cut(counted.groupBy("toxic", "word").agg(F.count("*").alias("n")))
+    word_off, pair_off = _estimated(by_word), {c: (1.0, *d[1:]) for c, d in _estimated(counted).items()}
+    sums = by_word.groupBy("toxic").agg(F.sum("n").cast("double").alias("held"), _kept_column(word_off).alias("kept"))
+    totals = {r.toxic: (r.held, r.kept) for r in sums.collect()}
     if set(totals) != {0, 1}:
         return None
-    # All tables below are bounded by the sample: what occurs in more than DISCOUNT of its rows or contexts.
+    # All tables below are bounded by the sample: its words, and the bigrams that are in more than one of its rows.
     sides = [F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col("n"))), F.lit(0)).alias(str(c)) for c in (0, 1)]
-    wide = by_word.groupBy("word").agg(*sides, F.max("most").alias("most"))
-    frame = wide.where(F.greatest("0", "1", "most") > DISCOUNT).drop("most").toPandas().sort_values("word").reset_index(drop=True)
+    frame = by_word.groupBy("word").agg(*sides).toPandas().sort_values("word").reset_index(drop=True)
     vocabulary = frame["word"].to_numpy(np.int64)
     holders, all_holders = shared_counts(docs, vocabulary)
     shared = (holders + 1.0) / (all_holders + len(vocabulary) + 1.0)
-    lower = {c: _lower_order(frame[str(c)].to_numpy(float), totals[c], shared) for c in (0, 1)}
     floor = {c: 1.0 - totals[c][1] / totals[c][0] for c in (0, 1)}
-    by_context = counted.groupBy("toxic", "context").agg(F.sum("n").cast("double").alias("held"), over.alias("kept")).where("kept > 0")
-    contexts = by_context.toPandas()
-    weight = {c: np.ones(len(vocabulary)) for c in (0, 1)}
-    held = {c: np.zeros(len(vocabulary)) for c in (0, 1)}
-    place = np.minimum(np.searchsorted(vocabulary, contexts["context"].to_numpy(np.int64)), max(len(vocabulary) - 1, 0))
-    for at, r in zip(place, contexts.itertuples()):
-        if len(vocabulary) and vocabulary[at] == r.context:
-            weight[r.toxic][at], held[r.toxic][at] = 1.0 - r.kept / r.held, r.held
+    lower = {c: _kept(frame[str(c)], word_off[c]) / totals[c][0] + floor[c] * shared for c in (0, 1)}
+    by_context = counted.groupBy("toxic", "context").agg(F.sum("n").cast("double").alias("held"), _kept_column(pair_off).alias("kept"))
+    contexts = by_context.where("kept > 0").toPandas()
+    weight, held = ({c: np.full(len(vocabulary), x) for c in (0, 1)} for x in (1.0, 0.0))
+    for c in (0, 1):
+        own = contexts[(contexts["toxic"] == c) & contexts["context"].isin(vocabulary)]
+        place = np.searchsorted(vocabulary, own["context"].to_numpy(np.int64))
+        weight[c][place], held[c][place] = 1.0 - own["kept"] / own["held"], own["held"]
     both = counted.where(F.col("context") != 0).groupBy("context", "word").pivot("toxic", [0, 1]).agg(F.first("n")).fillna(0)
-    pairs = both.where(F.greatest("0", "1") > DISCOUNT).toPandas()
-    size = max(len(vocabulary) - 1, 0)
-    left, right = (np.minimum(np.searchsorted(vocabulary, pairs[c].to_numpy(np.int64)), size) for c in ("context", "word"))
-    inside = (vocabulary[left] == pairs["context"].to_numpy()) & (vocabulary[right] == pairs["word"].to_numpy()) if len(vocabulary) else np.zeros(len(pairs), bool)
-    pairs, left, right = pairs[inside], left[inside], right[inside]
+    pairs = both.where(F.greatest("0", "1") > 1).toPandas()
+    pairs = pairs[pairs["context"].isin(vocabulary)]
+    left, right = (np.searchsorted(vocabulary, pairs[c].to_numpy(np.int64)) for c in ("context", "word"))
     logs = []
     for c in (1, 0):
-        own = np.maximum(pairs[str(c)].to_numpy(float) - DISCOUNT, 0.0) / np.maximum(held[c][left], 1.0)
+        own = _kept(pairs[str(c)], pair_off[c]) / np.maximum(held[c][left], 1.0)
         logs.append(np.log(own + weight[c][left] * lower[c][right]))
-    hashes = np.stack([pairs["context"].to_numpy(np.int64), pairs["word"].to_numpy(np.int64)], axis=1)
-    keys = np.array([_pairs(np.ascontiguousarray(h))[0] for h in hashes], np.int64)
+    with np.errstate(over="ignore"):
+        keys = mix(mix(pairs["context"].to_numpy(np.int64).view(np.uint64)) + pairs["word"].to_numpy(np.int64).view(np.uint64)).view(np.int64)
     order = np.argsort(keys)
     return Model(
         vocabulary,
@@ -249,7 +273,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str
         return plain.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     shared = spark.sparkContext.broadcast(model)
 
-    names = ["mean", *(f"peak{k}" for k in range(1, PEAKS + 1))]
+    names = ["mean", "alone", *(f"peak{k}" for k in range(1, PEAKS + 1))]
 
     @F.pandas_udf(", ".join(f"{name} double" for name in names))
     def measure(texts: pd.Series) -> pd.DataFrame:
