@@ -75,28 +75,30 @@ def test_signatures_estimate_similarity(spark):
     import numpy as np
     from pyspark.sql import functions as F
 
-    random = np.random.default_rng(6)
+    from yardbook.llm.common import signatures, signatures_alike
+
+    random, bins = np.random.default_rng(6), minhash.BINS
     rows, true = [], []
-    for _ in range(400):
-        size = int(random.integers(1, 900))
-        pool = np.unique(random.integers(-(2**63), 2**63 - 1, size))
+    for _ in range(600):
+        pool = np.unique(random.integers(-(2**63), 2**63 - 1, int(random.integers(1, 900))))
         keep = random.random(len(pool)) < random.uniform(0.3, 1.0)
-        other = np.unique(np.concatenate([pool[keep], random.integers(-(2**63), 2**63 - 1, int(random.integers(0, size // 2 + 1)))]))
+        other = np.unique(np.concatenate([pool[keep], random.integers(-(2**63), 2**63 - 1, int(random.integers(0, len(pool) // 4 + 1)))]))
         if len(other):
             common = len(np.intersect1d(pool, other))
             true.append(common / (len(pool) + len(other) - common))
-            rows.append((len(true) - 1, minhash._signature(pool).tolist(), minhash._signature(other).tolist()))
-    frame = spark.createDataFrame(rows, "n long, a array<long>, b array<long>")
-    passed = {r.n: r.ok for r in frame.select("n", minhash._alike("a", "b", 80).alias("ok")).collect()}
-    assert all(passed[n] for n, j in enumerate(true) if j >= 0.8)
-    sized = [n for n, j in enumerate(true) if j < 0.5 and len(rows[n][1]) and sum(v != 0 for v in rows[n][1]) == 16]
-    assert sized and not any(passed[n] for n in sized if true[n] < 0.3)
+            both = signatures(np.concatenate([pool, other]), np.array([0, len(pool)]), bins)
+            rows.append((len(true) - 1, both[0].tolist(), both[1].tolist(), len(pool), len(other)))
+    frame = spark.createDataFrame(rows, "k long, a array<long>, b array<long>, m long, n long")
+    passed = {r.k: r.ok for r in frame.select("k", signatures_alike(F.col("a"), F.col("b"), F.col("m"), F.col("n"), bins, 80).alias("ok")).collect()}
+    assert sum(j >= 0.8 for j in true) > 50 and all(passed[k] for k, j in enumerate(true) if j >= 0.8)
+    far = [k for k, j in enumerate(true) if j < 0.5 and rows[k][3] > 20]
+    assert len(far) > 50 and sum(passed[k] for k in far) < 0.05 * len(far)
     # Bins one by one.
     values = np.unique(random.integers(-(2**63), 2**63 - 1, 300))
-    bins = [(int(w) >> (4 * k)) & 15 for w in minhash._signature(values).view(np.uint64) for k in range(16)]
-    for at in range(minhash.BINS):
-        own = [int(v) % 2**64 for v in values if int(v) % minhash.BINS == at]
-        assert bins[at] == ((own[0] >> 16) % 15 + 1 if own else 0)
+    found = [(int(w) >> (4 * k)) & 15 for w in signatures(values, np.array([0]), bins)[0].view(np.uint64) for k in range(16)]
+    for at in range(bins):
+        own = sorted(int(v) % 2**64 for v in values if int(v) % bins == at)
+        assert found[at] == ((own[0] >> 16) % 15 + 1 if own else 0)
 
 
 def test_thresholds_follow_from_the_binomial_distribution(docs_frame):

@@ -40,7 +40,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, cut, free_name, shingles, small, text_of, text_slices, words
+from .common import Scratch, cut, free_name, shingles, signatures, signatures_alike, small, text_of, text_slices, words
 from .components import components
 
 KEEP = 24
@@ -71,34 +71,6 @@ def least_shared(k: int, percent: int) -> int:
     return k
 
 
-def _signature(values: np.ndarray) -> np.ndarray:
-    """A number of 1 to 15 for each of the BINS bins, 0 for an empty one, packed into 64-bit numbers.
-
-    ``values`` ascend; the smallest of each bin is assigned last and stays.
-    """
-    bins = np.zeros(BINS, np.uint64)
-    down = values[::-1].view(np.uint64)
-    bins[(down % np.uint64(BINS)).astype(np.int64)] = (down >> np.uint64(16)) % np.uint64(15) + np.uint64(1)
-    packed = bins.reshape(-1, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))
-    return np.bitwise_or.reduce(packed, axis=1).view(np.int64)
-
-
-def _alike(x: str, y: str, percent: int) -> Column:
-    """Whether the signatures ``x`` and ``y`` have as many equal bins as sets at the threshold have, less 4.75 deviations."""
-    ones = F.lit(0x1111111111111111)
-
-    def filled(word: Column) -> Column:
-        """How many of a number's sixteen 4-bit parts are not 0."""
-        half = word.bitwiseOR(F.shiftrightunsigned(word, 1))
-        return F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(ones))
-
-    pairs = [(F.get(F.col(x), F.lit(k)), F.get(F.col(y), F.lit(k))) for k in range(BINS // 16)]
-    known = reduce(Column.__add__, [filled(a.bitwiseOR(b)) for a, b in pairs])
-    other = reduce(Column.__add__, [filled(a.bitwiseXOR(b)) for a, b in pairs])
-    p = percent / 100
-    return known - other >= known * p - F.sqrt(known * (p * (1 - p))) * 4.75
-
-
 def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted set of shingle hashes of each text."""
     for _, _, data, ends in text_slices(column, _SLICE):
@@ -132,7 +104,7 @@ def sketches(df: DataFrame, n: int, keep: int, text: str, doc_id: str) -> DataFr
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_fingerprint(s) for s in sets], pa.binary()),
                     _list_array([s[:keep] for s in sets]),
-                    _list_array([_signature(s) for s in sets]),
+                    _list_array([signatures(s, np.zeros(1, np.int64), BINS)[0] for s in sets]),
                 ],
                 names=["id", "at", "size", "print", "sketch", "sign"],
             )
@@ -290,7 +262,7 @@ def near_groups(
     broad = F.col("mostly") & (F.col("place") <= F.col("lists") - least + 1)
     rest = cut(ranked.where(narrow | broad).select("value", "tier", "cls", "component", "bucket", "wide"))
 
-    signs = classes.select("cls", "sign")
+    signs = classes.select("cls", "sign", "size")
 
     def across(lists: DataFrame) -> DataFrame:
         lists = lists.join(signs, "cls")
@@ -298,7 +270,8 @@ def near_groups(
         met = (F.col("x.value") == F.col("y.value")) & (F.col("x.tier") == F.col("y.tier"))
         other = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
         lowest = F.least("x.bucket", "y.bucket") == F.col("x.tier")
-        pairs = x.join(y, met & other & lowest & _alike("x.sign", "y.sign", percent)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+        alike = signatures_alike(*(F.col(c) for c in ("x.sign", "y.sign", "x.size", "y.size")), BINS, percent)
+        pairs = x.join(y, met & other & lowest & alike).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
         return _possible(pairs.distinct(), classes, percent)
 
     one_each = rest.groupBy("value", "tier", "component", "bucket").agg(F.min("cls").alias("cls"))

@@ -9,7 +9,9 @@ A paragraph is the set of its five-word shingles. ``BANDS`` bands of ``ROWS`` Mi
 it into buckets: a pair at the threshold of 0.8 misses all of them with a probability of 2e-4, one at
 0.9 with 2e-7. Equal paragraphs are one class. In each bucket first one class of every component meets
 the others, components are joined, and then all classes of components that are still different meet,
-so a passage that very many documents share is never expanded into pairs. Pairs are confirmed by exact
+so a passage that very many documents share is never expanded into pairs. The join of a bucket asks for
+similar signatures, so that pairs far below the threshold are never written (one at it is lost with a chance of
+about 1e-6). Pairs are confirmed by exact
 Jaccard similarity of the full sets, which are computed again from the texts of one occurrence of each class.
 Of each component the first paragraph (smallest document, then place) stays, and only that one: rows with
 the same or no identifier are told apart by their texts, and of rows that are repeated whole one is chosen.
@@ -35,16 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, cut, mix, powers, shingles, small, text_of, text_slices, words
+from .common import Scratch, cut, mix, powers, shingles, signatures, signatures_alike, small, text_of, text_slices, words
 from .components import components
 
 BANDS, ROWS, LONG, REACH = 12, 3, 100, 20
 # Odd multipliers: each permutes the 64-bit numbers, and shingle hashes are spread evenly already.
 _SEEDS = np.random.default_rng(17).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+BINS = 128
 _BROADCAST_ROWS = 2_000_000
 _SLICE = 1 << 18
 
@@ -90,8 +93,8 @@ class _Slice:
         at = np.arange(counts.sum()) + np.repeat(first - opens, counts)
         return shingles(self.hashes, n)[at] if len(at) else np.zeros(0, np.uint64), opens
 
-    def bands(self, n: int) -> np.ndarray:
-        """(paragraphs, BANDS): hashes of ROWS MinHash values each."""
+    def bands(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(paragraphs, BANDS) hashes of ROWS MinHash values each, and the signatures."""
         values, opens = self.shingles(n)
         out = np.zeros((len(opens), BANDS), np.uint64)
         with np.errstate(over="ignore"):
@@ -99,7 +102,7 @@ class _Slice:
                 band = k // ROWS
                 before = out[:, band] if k % ROWS else np.uint64(band)
                 out[:, band] = mix(before + np.minimum.reduceat(values * seed, opens))
-        return out.view(np.int64)
+        return out.view(np.int64), signatures(values, opens, BINS)
 
 
 def _anchors(hashes: np.ndarray, opens: np.ndarray, least_words: int) -> np.ndarray:
@@ -119,13 +122,19 @@ def _anchors(hashes: np.ndarray, opens: np.ndarray, least_words: int) -> np.ndar
     return at[(sizes[line] > LONG) & far]
 
 
+def _lists(table: np.ndarray) -> pa.Array:
+    """The rows of a table as lists."""
+    offsets = np.arange(0, table.size + 1, table.shape[1], dtype=np.int32) if table.size else np.zeros(1, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(table.ravel()))
+
+
 def _rows(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     """Identifier, text and a hash of both, which tells rows with one identifier apart."""
     return df.select(df[doc_id].alias("id"), text_of(df, text).alias("text"), F.xxhash64(df[doc_id], F.lit("|"), text_of(df, text)).alias("row"))
 
 
 def _scan(df: DataFrame, n: int, least_words: int, join_lines: bool, text: str, doc_id: str) -> DataFrame:
-    """(id, row, first, after, print, bands, at) of every paragraph; ``at`` is a number of its own."""
+    """(id, row, first, after, print, bands, sign, at) of every paragraph; ``at`` is a number of its own."""
 
     def scan(batches):
         for batch in batches:
@@ -133,7 +142,7 @@ def _scan(df: DataFrame, n: int, least_words: int, join_lines: bool, text: str,
                 found = _Slice(data, ends, least_words, join_lines)
                 at = pa.array(row + found.text)
                 begins = found.begins[found.text]
-                offsets = pa.array(np.arange(0, BANDS * (len(found.text) + 1), BANDS, dtype=np.int32))
+                bands, signs = found.bands(n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(at),
@@ -141,14 +150,14 @@ def _scan(df: DataFrame, n: int, least_words: int, join_lines: bool, text: str,
                         pa.array(found.first - begins),
                         pa.array(found.after - begins),
                         pa.array(found.prints()),
-                        pa.ListArray.from_arrays(offsets, pa.array(found.bands(n).ravel())),
+                        *(_lists(x) for x in (bands, signs)),
                     ],
-                    names=["id", "row", "first", "after", "print", "bands"],
+                    names=["id", "row", "first", "after", "print", "bands", "sign"],
                 )
 
     fields = [T.StructField("id", df.schema[doc_id].dataType)]
     fields += [T.StructField(c, T.LongType()) for c in ("row", "first", "after", "print")]
-    schema = T.StructType([*fields, T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "sign"))])
     return _rows(df, text, doc_id).mapInArrow(scan, schema).withColumn("at", F.monotonically_increasing_id())
 
 
@@ -356,7 +365,10 @@ def repeated_paragraphs(
     n, least_words = words_per_shingle, max(least_words, words_per_shingle)
     scratch = Scratch(df.sparkSession, "paragraphs")
     found = scratch.store(_scan(df, n, least_words, join_lines, text, doc_id), "found")
-    classes = found.groupBy("print").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
+    size = F.first(F.col("after") - F.col("first") - (n - 1)).alias("size")  # at most, as shingles may repeat
+    classes = found.groupBy("print").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("sign").alias("sign"), size)
+    classes = scratch.store(classes, "classes")
+    signs = classes.select("print", "sign", "size")
     buckets = classes.select("print", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").select("bucket")
     lists = cut(buckets.join(shared, "bucket"))
@@ -373,13 +385,18 @@ def repeated_paragraphs(
         scratch.drop(step)
         return close
 
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        x, y = left.alias("x"), right.alias("y")
-        apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.print") < F.col("y.print")) & (F.col("x.label") != F.col("y.label"))
-        return x.join(y, apart).select(F.col("x.print").alias("a"), F.col("y.print").alias("b"))
+    def alike(x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
+        """Pairs of a bucket that may be similar by their signatures; the others are never written."""
+        x, y = x.join(signs, "print").alias("x"), y.join(signs, "print").alias("y")
+        near = signatures_alike(*(F.col(c) for c in ("x.sign", "y.sign", "x.size", "y.size")), BINS, percent)
+        met = (F.col("x.bucket") == F.col("y.bucket")) & apart & near
+        return x.join(y, met).select(F.col("x.print").alias("a"), F.col("y.print").alias("b"))
+
+    def meet(rows: DataFrame) -> DataFrame:
+        return alike(rows, rows, (F.col("x.print") < F.col("y.print")) & (F.col("x.label") != F.col("y.label")))
 
-    least = lists.groupBy("bucket").agg(F.min("print").alias("a"))
-    links = confirm(lists.join(least, "bucket").where("a <> print").select("a", F.col("print").alias("b")), "stars")
+    least = lists.groupBy("bucket").agg(F.min("print").alias("print"))
+    links = confirm(alike(least, lists, F.col("x.print") < F.col("y.print")), "stars")
 
     def labelled(rows: DataFrame) -> DataFrame:
         nodes = components(links).withColumnRenamed("node", "print").withColumnRenamed("component", "label")
@@ -387,11 +404,11 @@ def repeated_paragraphs(
 
     marked = labelled(lists)
     one_each = marked.groupBy("bucket", "label").agg(F.min("print").alias("print"))
-    links = cut(links.unionByName(confirm(meet(one_each, one_each), "first")))
+    links = cut(links.unionByName(confirm(meet(one_each), "first")))
     marked = labelled(lists)
-    links = cut(links.unionByName(confirm(meet(marked, marked), "rest")))
+    links = cut(links.unionByName(confirm(meet(marked), "rest")))
     named = components(links).withColumnRenamed("node", "print")
-    placed = found.drop("bands").join(named, "print", "left").withColumn("passage", F.coalesce("component", "print"))
+    placed = found.drop("bands", "sign").join(named, "print", "left").withColumn("passage", F.coalesce("component", "print"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "first", "after", "row", "at")
     groups = placed.groupBy("passage").agg(F.count("*").alias("copies"), F.min(order).alias("best")).where("copies > 1")
     same = F.col("at") == F.col("best.at")

@@ -43,7 +43,7 @@ def quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     def held_out(frame: DataFrame):
-        return F.crc32(frame["doc_id"].cast("string")) % 5 == 0
+        return F.crc32(F.coalesce(frame["doc_id"].cast("string"), F.lit(""))) % 5 == 0
 
     labels = read_table(spark, sf_dir, "labels")
     found = toxicity.toxicity(read_table(spark, sf_dir, "documents"), labels.where(~held_out(labels)).select("doc_id", "toxic"))
