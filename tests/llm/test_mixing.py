@@ -85,3 +85,44 @@ def test_query(spark, sf_dir):
         entry[0], entry[1], entry[2] = entry[0] + r.taken, r.target, max(entry[2], r.size)
         assert r.taken <= 2 * r.size
     assert all(abs(t - target) <= most for t, target, most in sums.values())
+
+
+def best_possible(sizes, target):
+    """Nearest sum of words that whole copies, at most two of each document, can give."""
+    sums = 1
+    for size in sizes:
+        sums |= sums << size | sums << 2 * size
+    top = sum(sizes) * 2
+    return min(abs(k - target) for k in range(max(0, int(target) - top), min(top, int(target) + top) + 1) if sums >> k & 1)
+
+
+def test_every_source_of_the_query_comes_near_its_target(spark, sf_dir):
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    sums, sizes = defaultdict(lambda: [0, 0.0]), defaultdict(list)
+    for r in queries.mix_sources(spark, sf_dir).collect():
+        entry = sums[source[r.doc_id]]
+        entry[0], entry[1] = entry[0] + r.taken, r.target
+        sizes[source[r.doc_id]].append(r.size)
+    for s, (taken, target) in sums.items():
+        assert abs(taken - target) <= max(0.01 * target, best_possible(sizes[s], target) + 1), (s, taken, target)
+
+
+def test_a_heavy_document_is_levelled_by_light_ones(docs_frame):
+    rows = [(0, "w " * 4000, "a")] + [(1 + i, "w " * (20 + i % 50), "a") for i in range(160)] + [(900, "w " * 90_000, "b"), (901, "w", "b")]
+    got = mixing.mix(docs_frame(rows), total=0.7, cap=0.9).collect()
+    mine = [r for r in got if r.source == "a"]
+    assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.01 * mine[0].target
+
+
+def test_heaviest_first_and_landing_keep_the_words():
+    rng = np.random.default_rng(5)
+    sizes, chances = np.concatenate([[9000.0, 4000.0], rng.integers(1, 300, 400).astype(float)]), np.full(402, 0.4)
+    decided = mixing.decide_heaviest(sizes, chances)
+    assert set(decided[:2]) <= {0.0, 1.0} and abs(decided @ sizes - chances @ sizes) < 1e-6
+    assert (decided >= 0).all() and (decided <= 1).all()
+    kept = mixing.last_ones(sizes, decided)
+    assert len(set(kept)) == mixing.LAST and ((decided[kept] > 0) & (decided[kept] < 1)).all()
+    few = np.array([5.0, 3.0, 9.0, 2.0])
+    best = min(abs(sum(few[list(pick)]) - 11.2) for pick in ((0, 1), (2, 3), (0, 1, 3), (2,), (0, 1, 2)))
+    assert abs(mixing.land(few, np.full(4, 0.5), 11.2, 0.0) @ few - 11.2) == best
+    assert list(mixing.land(np.zeros(3), np.full(3, 0.5), 0.0)).count(1.0) in (1, 2)

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, cut, free_name, text_of
 
 BLOCK = 4096
+HEAVY = 16
+LAST = 14
 
 
 def words_in(df: DataFrame, text: str = "text") -> Column:
@@ -100,15 +102,47 @@ def fly(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
     return np.array(chances)
 
 
-def land(sizes: np.ndarray, chances: np.ndarray, missing: float) -> np.ndarray:
-    """Decide the open documents so that the words taken differ least from what they were to give."""
+def decide_heaviest(sizes: np.ndarray, chances: np.ndarray, most: int = HEAVY) -> np.ndarray:
+    """Move the heaviest open documents to 0 or 1 along null vectors of the words alone.
+
+    What a document gains in words all lighter open ones lose in equal shares of their sizes, as far as the
+    shorter way allows; one that the lighter ones cannot level stays open.
+    """
+    chances = chances.astype(float)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[(chances[order] > 0) & (chances[order] < 1)]
+    for place, i in enumerate(order[:most]):
+        lighter = order[place + 1 :]
+        weight = sizes[lighter].sum()
+        if not weight:
+            break
+        room_up, room_down = chances[lighter].min(), 1.0 - chances[lighter].max()
+        ways = [(1.0 - chances[i], 1.0, room_up), (chances[i], -1.0, room_down)]
+        for way, sign, room in sorted(ways, key=lambda w: w[0]):
+            shift = way * sizes[i] / weight
+            if shift < room:
+                chances[lighter] -= sign * shift
+                chances[i] = 1.0 if sign > 0 else 0.0
+                break
+    return chances
+
+
+def last_ones(sizes: np.ndarray, chances: np.ndarray, most: int = LAST) -> np.ndarray:
+    """Places of at most ``most`` open documents, spread evenly over the order of sizes."""
     open_ = np.flatnonzero((chances > 0) & (chances < 1))
-    best = min(
-        itertools.product((0.0, 1.0), repeat=len(open_)),
-        key=lambda pick: (abs(float(np.dot(pick, sizes[open_])) - missing), pick),
-    )
-    out = chances.copy()
-    out[open_] = best
+    ordered = open_[np.argsort(sizes[open_], kind="stable")]
+    return ordered if len(ordered) <= most else ordered[np.arange(most) * len(ordered) // most]
+
+
+def land(sizes: np.ndarray, chances: np.ndarray, missing: float, near: float = 1.0) -> np.ndarray:
+    """Decide the open documents so that their words differ least from ``missing``, or by ``near`` at most; of
+    these choices one with the expected number of documents."""
+    open_ = np.flatnonzero((chances > 0) & (chances < 1))
+    picks = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    off = np.maximum(np.abs(picks @ sizes[open_] - missing), near)
+    count = np.abs(picks.sum(axis=1) - chances[open_].sum())
+    out = chances.astype(float)
+    out[open_] = picks[np.lexsort((count, off))[0]]
     return out
 
 
@@ -124,8 +158,15 @@ def _fly_block(frame: pd.DataFrame) -> pd.DataFrame:
 def _land_source(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("place", kind="mergesort")
     sizes, start = frame["size"].to_numpy(float), frame["chance"].to_numpy(float)
-    flown = fly(sizes, start)
-    frame["chance"] = land(sizes, flown, float(np.dot(sizes, start) - np.dot(sizes, flown == 1.0)))
+    open_ = int(((start > 0) & (start < 1)).sum())
+    levelled = decide_heaviest(sizes, start, min(HEAVY, max(0, open_ - LAST)))
+    kept = last_ones(sizes, levelled)
+    moving = levelled.copy()
+    moving[kept] = 0.0
+    flown = fly(sizes, moving)
+    flown[kept] = levelled[kept]
+    wanted = float(np.dot(sizes, start))
+    frame["chance"] = land(sizes, flown, wanted - float(np.dot(sizes, flown == 1.0)), max(1.0, wanted / 2000))
     return frame[["key", "source", "size", "place", "chance"]]
 
 
