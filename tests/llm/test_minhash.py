@@ -71,13 +71,13 @@ def test_query_matches_brute_force(spark, sf_dir):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected(rows, 2)
 
 
-def test_signatures_estimate_similarity(spark):
+def test_signatures_refuse_no_similar_pair(spark):
     import numpy as np
     from pyspark.sql import functions as F
 
-    from yardbook.llm.common import signatures, signatures_alike
+    from yardbook.llm.common import differ_little, parities
 
-    random, bins = np.random.default_rng(6), minhash.BINS
+    random, words = np.random.default_rng(6), minhash.BITS // 64
     rows, true = [], []
     for _ in range(600):
         pool = np.unique(random.integers(-(2**63), 2**63 - 1, int(random.integers(1, 900))))
@@ -86,19 +86,22 @@ def test_signatures_estimate_similarity(spark):
         if len(other):
             common = len(np.intersect1d(pool, other))
             true.append(common / (len(pool) + len(other) - common))
-            both = signatures(np.concatenate([pool, other]), np.array([0, len(pool)]), bins)
-            rows.append((len(true) - 1, both[0].tolist(), both[1].tolist(), len(pool), len(other)))
-    frame = spark.createDataFrame(rows, "k long, a array<long>, b array<long>, m long, n long")
-    passed = {r.k: r.ok for r in frame.select("k", signatures_alike(F.col("a"), F.col("b"), F.col("m"), F.col("n"), bins, 80).alias("ok")).collect()}
+            both = parities(np.concatenate([pool, other]), np.array([0, len(pool)]), minhash.BITS)
+            rows.append((len(true) - 1, len(pool), len(other), *both[0].tolist(), *both[1].tolist()))
+    names = ["k", "m", "n", *(f"a{k}" for k in range(words)), *(f"b{k}" for k in range(words))]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    near = differ_little("a", "b", F.col("m"), F.col("n"), words, 80)
+    passed = {r.k: r.ok for r in frame.select("k", near.alias("ok")).collect()}
     assert sum(j >= 0.8 for j in true) > 50 and all(passed[k] for k, j in enumerate(true) if j >= 0.8)
-    far = [k for k, j in enumerate(true) if j < 0.5 and rows[k][3] > 20]
-    assert len(far) > 50 and sum(passed[k] for k in far) < 0.05 * len(far)
-    # Bins one by one.
+    far = [k for k, j in enumerate(true) if j < 0.7]
+    assert len(far) > 50 and sum(passed[k] for k in far) < 0.1 * len(far)
+    # Bits one by one, and sets without values.
     values = np.unique(random.integers(-(2**63), 2**63 - 1, 300))
-    found = [(int(w) >> (4 * k)) & 15 for w in signatures(values, np.array([0]), bins)[0].view(np.uint64) for k in range(16)]
-    for at in range(bins):
-        own = sorted(int(v) % 2**64 for v in values if int(v) % bins == at)
-        assert found[at] == ((own[0] >> 16) % 15 + 1 if own else 0)
+    found = parities(values, np.array([0, 0, 300]), minhash.BITS).view(np.uint64)
+    assert found.shape == (3, words) and not found[0].any() and not found[2].any()
+    bits = [(int(w) >> k) & 1 for w in found[1] for k in range(64)]
+    for at in range(minhash.BITS):
+        assert bits[at] == sum((int(v) % 2**64 >> 16) % minhash.BITS == at for v in values) % 2
 
 
 def test_thresholds_follow_from_the_binomial_distribution(docs_frame):

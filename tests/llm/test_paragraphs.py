@@ -152,7 +152,7 @@ def test_bands_are_those_of_single_paragraphs():
     texts = ["\n".join(" ".join(f"w{rng.randrange(200)}" for _ in range(rng.randrange(1, 160))) for _ in range(6)) for _ in range(20)]
     for _, _, data, ends in text_slices(pa.array(texts)):
         found = paragraphs._Slice(data, ends, 20)
-        (bands, _), prints = found.bands(5), found.prints()
+        (bands, _, _), prints = found.bands(5), found.prints()
     assert len(found.text) > 40 and (found.after - found.first >= 20).all()
     for k in range(len(found.text)):
         own = texts[found.text[k]].split()[found.first[k] - found.begins[found.text[k]] : found.after[k] - found.begins[found.text[k]]]

@@ -200,43 +200,22 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 # ---------------------------------------------------------------------------------------------------
-# Signatures of sets of 64-bit hashes: 4 bits of the smallest value of each bin, 0 for an empty bin.
+# Parity signatures of sets: a bit for each bin, set if an odd number of values is in it.
 
 
-def signatures(values: np.ndarray, opens: np.ndarray, bins: int) -> np.ndarray:
-    """(sets, bins / 16) packed numbers; ``values`` of the sets one after another, each beginning at ``opens``.
+def parities(values: np.ndarray, opens: np.ndarray, bits: int) -> np.ndarray:
+    """(sets, bits / 64) packed numbers; the distinct ``values`` of the sets, each set beginning at ``opens``."""
+    owner = np.repeat(np.arange(len(opens)), np.diff(opens, append=len(values)))
+    at = owner * bits + ((values.view(np.uint64) >> np.uint64(16)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(opens) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8").reshape(len(opens), -1).view(np.int64)
 
-    The bin is taken from the low bits, the 1 to 15 that stand for a value from other ones.
-    """
-    values = values.view(np.uint64)
-    table = np.zeros((len(opens), bins), np.uint64)
-    if len(values):
-        owner = np.repeat(np.arange(len(opens)), np.diff(opens, append=len(values)))
-        down = np.argsort(values, kind="stable")[::-1]  # the smallest value is assigned last and stays
-        code = (values >> np.uint64(16)) % np.uint64(15) + np.uint64(1)
-        table[owner[down], (values[down] % np.uint64(bins)).astype(np.int64)] = code[down]
-    packed = table.reshape(len(opens), -1, 16) << (np.uint64(4) * np.arange(16, dtype=np.uint64))
-    return np.bitwise_or.reduce(packed, axis=2).view(np.int64)
-
-
-def signatures_alike(x: Column, y: Column, m: Column, n: Column, bins: int, percent: int) -> Column:
-    """Whether two signatures have as many equal bins as sets of ``m`` and ``n`` values at the threshold have.
-
-    The values that fill the bins are a sample without replacement of the union, so the equal ones among
-    them are hypergeometric: their mean less 4.75 deviations (a chance of about 1e-6) and one is asked for. Sizes
-    may be stated too high, which asks for less.
+
+def differ_little(x: str, y: str, m: Column, n: Column, words_: int, percent: int) -> Column:
+    """Whether sets of ``m`` and ``n`` values can be similar by their signatures, the columns ``x0``, ``x1``, ... and ``y0``, ...
+
+    Every value that only one set has turns one bit, so no more bits differ than values do. Sets at the
+    threshold differ in at most ``(m + n) * (1 - p) / (1 + p)`` values: a similar pair is never refused.
     """
-    ones = F.lit(0x1111111111111111)
-
-    def filled(word: Column) -> Column:
-        """How many of a number's sixteen 4-bit parts are not 0."""
-        half = word.bitwiseOR(F.shiftrightunsigned(word, 1))
-        return F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 2)).bitwiseAND(ones))
-
-    pairs = [(F.get(x, F.lit(k)), F.get(y, F.lit(k))) for k in range(bins // 16)]
-    known = reduce(Column.__add__, [filled(a.bitwiseOR(b)) for a, b in pairs])
-    other = reduce(Column.__add__, [filled(a.bitwiseXOR(b)) for a, b in pairs])
-    p = percent / 100
-    union = (m + n) / (1 + p)
-    left_out = F.greatest(union - known, F.lit(0.0)) / F.greatest(union - 1, F.lit(1.0))
-    return known - other >= known * p - F.sqrt(known * left_out * (p * (1 - p))) * 4.75 - 1
+    other = reduce(Column.__add__, [F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in range(words_)])
+    return other * (100 + percent) <= (m + n) * (100 - percent)

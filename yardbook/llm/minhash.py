@@ -18,15 +18,15 @@ first). Lists of more than ``wide`` components - common phrases and lines - are
 as shared wherever a class has one; classes that stand mostly in such lists are paired through them as
 well, among themselves.
 
-*Estimates.* Each list entry carries a signature cut from the same hash function: the low bits of a value choose
-one of ``BINS`` bins, and four bits of the smallest value in a bin stand for it. The share of equal bins among
-those that either set fills estimates the similarity, and the join that pairs a list asks for it, so pairs
-far below the threshold are never written. Pairs that pass have to share enough of the 48 smallest values of
-the union of their sketches (or the smallest possible intersection, where that is smaller).
+*Estimates.* Each list entry carries a parity signature cut from the same hash function: some bits of a value choose
+one of ``BITS`` bits, which it turns. Two sets differ in no fewer values than their signatures in bits, and the
+join that pairs a list asks that this leaves room for the threshold: pairs far below it are never written, and
+none that reaches it is lost. Pairs that pass have to share enough of the 48 smallest values of the union of their
+sketches (or the smallest possible intersection, where that is smaller).
 
 How many values have to be shared follows from the threshold and the binomial distribution (9 of 24 and 24 of
-48 at 0.8): a pair at the threshold fails the lists, the signature or the estimate with a probability of about 1e-6
-each; nothing else is missed. Thresholds too low for lists of this length are refused.
+48 at 0.8): a pair at the threshold fails the lists or the estimate with a probability of about 1e-6 each; nothing
+else is missed. Thresholds too low for lists of this length are refused.
 
 *Exact.* Pairs that pass are confirmed on the full sets: ``100 * |A n B| >= percent * |A u B|``.
 
@@ -48,12 +48,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, cut, free_name, shingles, signatures, signatures_alike, small, text_of, text_slices, words
+from .common import Scratch, cut, differ_little, free_name, parities, shingles, small, text_of, text_slices, words
 from .components import components
 
 KEEP = 24
 SKETCH = 48
-BINS = 256
+BITS = 1024
 RARE = 1e-6
 TURNS = 3
 WIDE = 24
@@ -87,6 +87,11 @@ def _list_array(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int64)))
 
 
+def _opens(parts: list[np.ndarray]) -> np.ndarray:
+    """Where each part begins when they lie one after another."""
+    return np.concatenate([[0], np.cumsum([len(p) for p in parts])])[: len(parts)].astype(np.int64)
+
+
 def _fingerprint(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
@@ -104,7 +109,7 @@ def sketches(df: DataFrame, n: int, keep: int, text: str, doc_id: str) -> DataFr
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_fingerprint(s) for s in sets], pa.binary()),
                     _list_array([s[:keep] for s in sets]),
-                    _list_array([signatures(s, np.zeros(1, np.int64), BINS)[0] for s in sets]),
+                    _list_array(list(parities(np.concatenate([*sets, np.zeros(0, np.int64)]), _opens(sets), BITS))),
                 ],
                 names=["id", "at", "size", "print", "sketch", "sign"],
             )
@@ -262,7 +267,7 @@ def near_groups(
     broad = F.col("mostly") & (F.col("place") <= F.col("lists") - least + 1)
     rest = cut(ranked.where(narrow | broad).select("value", "tier", "cls", "component", "bucket", "wide"))
 
-    signs = classes.select("cls", "sign", "size")
+    signs = classes.select("cls", "size", *(F.get("sign", F.lit(k)).alias(f"s{k}") for k in range(BITS // 64)))
 
     def across(lists: DataFrame) -> DataFrame:
         lists = lists.join(signs, "cls")
@@ -270,8 +275,8 @@ def near_groups(
         met = (F.col("x.value") == F.col("y.value")) & (F.col("x.tier") == F.col("y.tier"))
         other = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.component") != F.col("y.component"))
         lowest = F.least("x.bucket", "y.bucket") == F.col("x.tier")
-        alike = signatures_alike(*(F.col(c) for c in ("x.sign", "y.sign", "x.size", "y.size")), BINS, percent)
-        pairs = x.join(y, met & other & lowest & alike).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+        near = differ_little("x.s", "y.s", F.col("x.size"), F.col("y.size"), BITS // 64, percent)
+        pairs = x.join(y, met & other & lowest & near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
         return _possible(pairs.distinct(), classes, percent)
 
     one_each = rest.groupBy("value", "tier", "component", "bucket").agg(F.min("cls").alias("cls"))

@@ -9,9 +9,9 @@ A paragraph is the set of its five-word shingles. ``BANDS`` bands of ``ROWS`` Mi
 it into buckets: a pair at the threshold of 0.8 misses all of them with a probability of 2e-4, one at
 0.9 with 2e-7. Equal paragraphs are one class. In each bucket first one class of every component meets
 the others, components are joined, and then all classes of components that are still different meet,
-so a passage that very many documents share is never expanded into pairs. The join of a bucket asks for
-similar signatures, so that pairs far below the threshold are never written (one at it is lost with a chance of
-about 1e-6). Pairs are confirmed by exact
+so a passage that very many documents share is never expanded into pairs. Each class has a signature of
+parities, and the join of a bucket refuses pairs whose signatures differ in more bits than similar sets do in
+shingles, so that pairs below the threshold are hardly ever written and none at it is lost. Pairs are confirmed by exact
 Jaccard similarity of the full sets, which are computed again from the texts of one occurrence of each class.
 Of each component the first paragraph (smallest document, then place) stays, and only that one: rows with
 the same or no identifier are told apart by their texts, and of rows that are repeated whole one is chosen.
@@ -41,13 +41,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, cut, mix, powers, shingles, signatures, signatures_alike, small, text_of, text_slices, words
+from .common import Scratch, cut, differ_little, mix, parities, powers, shingles, small, text_of, text_slices, words
 from .components import components
 
 BANDS, ROWS, LONG, REACH = 12, 3, 100, 20
 # Odd multipliers: each permutes the 64-bit numbers, and shingle hashes are spread evenly already.
 _SEEDS = np.random.default_rng(17).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-BINS = 128
+BITS = 256
 _BROADCAST_ROWS = 2_000_000
 _SLICE = 1 << 18
 
@@ -93,8 +93,8 @@ class _Slice:
         at = np.arange(counts.sum()) + np.repeat(first - opens, counts)
         return shingles(self.hashes, n)[at] if len(at) else np.zeros(0, np.uint64), opens
 
-    def bands(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(paragraphs, BANDS) hashes of ROWS MinHash values each, and the signatures."""
+    def bands(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(paragraphs, BANDS) hashes of ROWS MinHash values each, the signatures, and the sizes of the sets."""
         values, opens = self.shingles(n)
         out = np.zeros((len(opens), BANDS), np.uint64)
         with np.errstate(over="ignore"):
@@ -102,7 +102,14 @@ class _Slice:
                 band = k // ROWS
                 before = out[:, band] if k % ROWS else np.uint64(band)
                 out[:, band] = mix(before + np.minimum.reduceat(values * seed, opens))
-        return out.view(np.int64), signatures(values, opens, BINS)
+        # Shingles that a paragraph repeats count once.
+        owner = np.repeat(np.arange(len(opens)), np.diff(opens, append=len(values)))
+        order = np.lexsort((values, owner))
+        values, owner = values[order], owner[order]
+        once = np.ones(len(values), bool)
+        once[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+        sizes = np.bincount(owner[once], minlength=len(opens))
+        return out.view(np.int64), parities(values[once], np.cumsum(sizes) - sizes, BITS), sizes
 
 
 def _anchors(hashes: np.ndarray, opens: np.ndarray, least_words: int) -> np.ndarray:
@@ -134,7 +141,7 @@ def _rows(df: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _scan(df: DataFrame, n: int, least_words: int, join_lines: bool, text: str, doc_id: str) -> DataFrame:
-    """(id, row, first, after, print, bands, sign, at) of every paragraph; ``at`` is a number of its own."""
+    """(id, row, first, after, print, size, bands, sign, at) of every paragraph; ``at`` is a number of its own."""
 
     def scan(batches):
         for batch in batches:
@@ -142,7 +149,7 @@ def _scan(df: DataFrame, n: int, least_words: int, join_lines: bool, text: str,
                 found = _Slice(data, ends, least_words, join_lines)
                 at = pa.array(row + found.text)
                 begins = found.begins[found.text]
-                bands, signs = found.bands(n)
+                bands, signs, sizes = found.bands(n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(at),
@@ -150,13 +157,14 @@ def _scan(df: DataFrame, n: int, least_words: int, join_lines: bool, text: str,
                         pa.array(found.first - begins),
                         pa.array(found.after - begins),
                         pa.array(found.prints()),
+                        pa.array(sizes),
                         *(_lists(x) for x in (bands, signs)),
                     ],
-                    names=["id", "row", "first", "after", "print", "bands", "sign"],
+                    names=["id", "row", "first", "after", "print", "size", "bands", "sign"],
                 )
 
     fields = [T.StructField("id", df.schema[doc_id].dataType)]
-    fields += [T.StructField(c, T.LongType()) for c in ("row", "first", "after", "print")]
+    fields += [T.StructField(c, T.LongType()) for c in ("row", "first", "after", "print", "size")]
     schema = T.StructType([*fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "sign"))])
     return _rows(df, text, doc_id).mapInArrow(scan, schema).withColumn("at", F.monotonically_increasing_id())
 
@@ -365,10 +373,9 @@ def repeated_paragraphs(
     n, least_words = words_per_shingle, max(least_words, words_per_shingle)
     scratch = Scratch(df.sparkSession, "paragraphs")
     found = scratch.store(_scan(df, n, least_words, join_lines, text, doc_id), "found")
-    size = F.first(F.col("after") - F.col("first") - (n - 1)).alias("size")  # at most, as shingles may repeat
-    classes = found.groupBy("print").agg(F.min("row").alias("row"), F.first("bands").alias("bands"), F.first("sign").alias("sign"), size)
+    classes = found.groupBy("print").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("bands", "sign", "size")))
     classes = scratch.store(classes, "classes")
-    signs = classes.select("print", "sign", "size")
+    signs = classes.select("print", "size", *(F.get("sign", F.lit(k)).alias(f"s{k}") for k in range(BITS // 64)))
     buckets = classes.select("print", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").select("bucket")
     lists = cut(buckets.join(shared, "bucket"))
@@ -388,7 +395,7 @@ def repeated_paragraphs(
     def alike(x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
         """Pairs of a bucket that may be similar by their signatures; the others are never written."""
         x, y = x.join(signs, "print").alias("x"), y.join(signs, "print").alias("y")
-        near = signatures_alike(*(F.col(c) for c in ("x.sign", "y.sign", "x.size", "y.size")), BINS, percent)
+        near = differ_little("x.s", "y.s", F.col("x.size"), F.col("y.size"), BITS // 64, percent)
         met = (F.col("x.bucket") == F.col("y.bucket")) & apart & near
         return x.join(y, met).select(F.col("x.print").alias("a"), F.col("y.print").alias("b"))
 
@@ -408,7 +415,7 @@ def repeated_paragraphs(
     marked = labelled(lists)
     links = cut(links.unionByName(confirm(meet(marked), "rest")))
     named = components(links).withColumnRenamed("node", "print")
-    placed = found.drop("bands", "sign").join(named, "print", "left").withColumn("passage", F.coalesce("component", "print"))
+    placed = found.drop("bands", "sign", "size").join(named, "print", "left").withColumn("passage", F.coalesce("component", "print"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "first", "after", "row", "at")
     groups = placed.groupBy("passage").agg(F.count("*").alias("copies"), F.min(order).alias("best")).where("copies > 1")
     same = F.col("at") == F.col("best.at")
