@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yardbook.functions.periods import in_period
+from yardbook.functions.periods import MONTH_KEY, in_months, in_period, month_start
+from yardbook.functions.scratch import session_folder
 from yardbook.operators import billing, exceptions, forecast, journals, overview, profit, quality, revenue, tax
 from yardbook.sources.catalog import Catalog
 from yardbook.sources.readers import coerce_table
+from yardbook.sources.refresh import Refreshed, refresh_usage
+from yardbook.sources.store import TableStore
 from yardbook.sources.testdata import finance_catalog
+from yardbook.sources.writers import build_derived, store_sources
 
 PERIOD = date(1998, 6, 1)
 AS_OF = date(2001, 12, 31)
@@ -58,6 +62,32 @@ def _missing_rate_cards(t: Catalog) -> DataFrame:
     return quality.missing_rate_cards(t.with_tables(rate_card=t["rate_card"].where("hourly_rate_cents >= 20000")))
 
 
+def _refreshed(t: Catalog) -> tuple[TableStore, Refreshed]:
+    """A store of usage and revenue in which the usage of one month is replaced: eight hours more on each row."""
+    store = TableStore(t.spark, session_folder(t.spark, "refresh"))
+    names = ("usage_log", "rate_card", "job_rates")
+    tables = store_sources(Catalog(t.spark, {name: t[name].drop(MONTH_KEY) for name in names}), store.folder)
+    with store.change() as change:
+        build_derived(change, tables, ["revenue_engine"], numbered=False)
+    longer = in_period(tables["usage_log"], "usage_date", PERIOD)
+    longer = longer.withColumn("hours_worked", (F.col("hours_worked") + 8).cast("decimal(5,1)")).drop(MONTH_KEY)
+    return store, refresh_usage(store, longer, [PERIOD])
+
+
+def _revenue_after_refresh(t: Catalog) -> DataFrame:
+    store, _ = _refreshed(t)
+    return store.read("revenue_engine").select(*revenue.REVENUE_COLUMNS)
+
+
+def _refreshed_months(t: Catalog) -> DataFrame:
+    """Months with the rows and the revenue that the refresh wrote anew."""
+    store, done = _refreshed(t)
+    rows = in_months(store.read("revenue_engine"), "usage_date", done.revenue_months)
+    return rows.groupBy(month_start(F.col("usage_date")).alias("month_start")).agg(
+        F.count("*").alias("rows"), F.sum("total_revenue_cents").alias("revenue_cents")
+    )
+
+
 def _coerce_table(t: Catalog) -> DataFrame:
     """Invoices as text with broken dates and amounts, read leniently."""
     invoices = t["invoice_myob"]
@@ -173,6 +203,9 @@ QUERIES: dict[str, Query] = {
     "open_exceptions": exceptions.open_exceptions,
     "exception_counts": lambda t: exceptions.exception_counts(exceptions.exception_scan(t, None, AS_OF)),
     "apply_resolutions": _resolutions,
+    # stored tables
+    "revenue_after_refresh": _revenue_after_refresh,
+    "refreshed_months": _refreshed_months,
     # data quality
     "dq_constraints": quality.dq_constraints,
     "missing_rate_cards": _missing_rate_cards,
