@@ -88,7 +88,7 @@ def test_balanced_journal_passes_and_other_raises(spark):
     with pytest.raises(ValueError):
         journals.assert_balanced(unbalanced.drop("cr"))
     rows = exceptions.journal_issues(unbalanced).collect()
-    assert [r.description for r in rows] == ["Journal pack is not balanced: DR 100000 != CR 99999"]
+    assert [r.description for r in rows] == ["Debits of 100000 do not equal credits of 99999"]
 
 
 def test_working_days(spark):

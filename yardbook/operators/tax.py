@@ -57,7 +57,7 @@ def bas_check_lines(
     # Field, amount column, source and note.
     sales = [
         ("G1", "g1", "revenue_engine", "GST sales"),
-        ("1A", "one_a", "revenue_engine", "GST payable on sales"),
+        ("1A", "one_a", "revenue_engine", "Tax on sales"),
     ]
     purchases = [
         ("G11", "g11", "costs", "GST-creditable non-capital purchases"),
@@ -207,8 +207,8 @@ def gl_extract(tables: Catalog) -> DataFrame:
     collected = _monthly(tables["revenue_engine"], "usage_date", gst="gst_output_cents")
     paid = _monthly(tables["costs"], "cost_date", gst="gst_input_cents")
     return rows(
-        collected, "GSTOUT", "2-2200", "GST Collected", True, "Synthetic MYOB Advanced GST output extract"
-    ).unionByName(rows(paid, "GSTIN", "2-2210", "GST Paid", False, "Synthetic MYOB Advanced GST input extract"))
+        collected, "GSTOUT", "2-2200", "GST Collected", True, "GST on sales as in the ledger"
+    ).unionByName(rows(paid, "GSTIN", "2-2210", "GST Paid", False, "GST on costs as in the ledger"))
 
 
 def gst_recon(tables: Catalog) -> DataFrame:
@@ -524,7 +524,7 @@ def fuel_tax_credit(tables: Catalog, rules: Rules = DEFAULT_RULES, numbered: boo
             .alias("litres"),
             F.lit(rules.fuel_credit_rate).cast("decimal(8,2)").alias("ato_eligible_rate_cents_per_litre"),
             money.round_div(fuel * num, price * den).alias("fuel_tax_credit_cents"),
-            F.lit("Placeholder rate; update from ATO every 6 months").alias("note"),
+            F.lit("Estimate; renew the rate twice a year").alias("note"),
         )
     )
     order = [F.col("asset_id"), F.col("month_start")]
