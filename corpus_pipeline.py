@@ -2,7 +2,7 @@
 
 Stages, in order: the quality classifier rejects poor documents; exact copies go; one document of each
 near-duplicate group stays (five-word shingles, similarity 0.8); documents that hold a benchmark item
-go; the sources are mixed to target shares. Each stage works on all rows that the one before it kept,
+go; the sources are mixed to target shares, and what the mix does not take goes. Each stage works on all rows that the one before it kept,
 and each result is stored in the shared folder before the next stage reads it. Null texts and
 identifiers, repeated rows, empty tables and extra columns are handled as each operator states.
 """
@@ -34,9 +34,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the words the mix takes of each; their texts stay where they are."""
-    sized = docs.select("doc_id", "lang", "source", "n_chars", mixing.words_in(docs).alias("words"))
-    return mixing.mix(sized, size=sized["words"]).drop("words")
+    """The documents of the mix: all columns, the number of copies it takes (at least 1) and their words."""
+    return mixing.mix(docs).where("copies > 0")
 
 
 STAGES = [
