@@ -3,7 +3,7 @@ import re
 from brute import near_links, shingle_set, smallest_reachable
 
 import corpus_pipeline
-from yardbook.llm import quality
+from yardbook.llm import mixing, quality
 
 from test_decontaminate import expected
 
@@ -14,7 +14,7 @@ def test_every_stage_against_plain_code(spark, sf_dir, tmp_path):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     sizes = []
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = {r.doc_id: r.text for r in docs.collect()}
+        stage_input, before = docs, {r.doc_id: r.text for r in docs.collect()}
         stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         after = {r.doc_id for r in docs.collect()}
@@ -38,7 +38,9 @@ def test_every_stage_against_plain_code(spark, sf_dir, tmp_path):
         elif name == "benchmark_decontamination":
             assert after == set(before) - {d for d, _ in expected(before.items(), items)}
         else:
-            assert after == set(before) and all(0 <= r.taken <= 2 * r.size for r in docs.collect())
+            mixed = {r.doc_id: r for r in mixing.mix(stage_input).collect()}
+            assert after == {i for i, r in mixed.items() if r.copies > 0} < set(before) | {None}
+            assert all(r.text == before[r.doc_id] and 0 <= r.taken == r.copies * r.size <= 2 * r.size for r in docs.collect())
     assert sizes[0] < 200 and sizes == sorted(sizes, reverse=True)
 
 
@@ -64,3 +66,19 @@ def test_near_copies_do_not_depend_on_file_splits(spark, tmp_path, docs_frame):
         assert {r.doc_id for r in kept.collect()} == want and len(want) < 48
     finally:
         spark.conf.unset(setting)
+
+
+def test_odd_rows_pass_all_stages(spark, tmp_path, sf_dir, docs_frame):
+    """Nulls in any column, repeated rows, extra columns and an empty table."""
+    from pyspark.sql import functions as F
+
+    first = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    odd = docs_frame([(None, None), (None, "a b c"), (9001, None), (9002, ""), (9002, ""), (9003, "word " * 50_000)])
+    docs = first.unionByName(odd).unionByName(odd).withColumns({c: F.lit("x") for c in ("size", "_row", "at", "copies")})
+    for name, rows in (("some", docs), ("none", docs.where("false"))):
+        folder = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{folder}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").write.parquet(f"{folder}/{table}.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert bool(got) == (name == "some") and all(r.copies > 0 for r in got)
