@@ -289,6 +289,7 @@ def near_groups(
     named = classes.join(final, "cls", "left").select("cls", "print", "id", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = cut(named.join(least, "component").select("print", "component", "component_id"))
+    scratch.drop("classes")
     out = rows.drop("sketch", "sign").join(named, "print", "left")
     first_row = out.where("component is not null").groupBy("component").agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "at")).alias("best")

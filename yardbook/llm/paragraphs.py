@@ -415,6 +415,7 @@ def repeated_paragraphs(
     marked = labelled(lists)
     links = cut(links.unionByName(confirm(meet(marked), "rest")))
     named = components(links).withColumnRenamed("node", "print")
+    scratch.drop("classes")
     placed = found.drop("bands", "sign", "size").join(named, "print", "left").withColumn("passage", F.coalesce("component", "print"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "first", "after", "row", "at")
     groups = placed.groupBy("passage").agg(F.count("*").alias("copies"), F.min(order).alias("best")).where("copies > 1")
@@ -422,6 +423,7 @@ def repeated_paragraphs(
     lines = placed.join(groups, "passage").select("id", "row", "first", "after", "passage", "copies", same.alias("kept"))
     runs = _repeated_runs(df, least_run, scratch, text, doc_id)
     lines = cut(_inside_runs(lines, runs))
+    scratch.drop("found")
     out = lines.unionByName(_outside_lines(runs, lines))
     return out.select(
         F.col("id").alias("doc_id"),
