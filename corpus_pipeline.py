@@ -51,6 +51,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
     scratch = Scratch(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for place, (name, stage) in enumerate(STAGES[:-1]):
         docs = scratch.store(stage(spark, docs, sf_dir), name)
+        if place:  # the result before has been read for the last time
+            scratch.drop(STAGES[place - 1][0])
     return STAGES[-1][1](spark, docs, sf_dir)
