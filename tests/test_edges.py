@@ -203,3 +203,26 @@ def test_period_bundle(stored):
     assert len(bundle) == 12
     assert bundle["journals"].count() == 4 and bundle["bas"].count() == 1
     assert bundle["revenue"].agg(F.sum("total_revenue_cents")).first()[0] == bundle["bas"].first()["G1"]
+
+
+def test_constraints_of_single_tables_count_what_they_should(mini):
+    jobs = [{"job_id": j, "duration_days": d, "status": "Open", "start_date": date(2026, 1, 1), "end_date": date(2026, 1, 2)} for j, d in (("J1", 1), ("J1", 0), ("J2", 3), (None, 1))]
+    rates = [{"rate_card_id": f"R{i}", "equipment_type": t, "hourly_rate_cents": h} for i, (t, h) in enumerate((("Dozer", 1), ("Dozer", -1), ("Crane", None)))]
+    own = [{"job_rate_id": f"O{i}", "job_id": j, "equipment_type": t, "override_rate_cents": 1} for i, (j, t) in enumerate((("J1", "Dozer"), ("J1", "Dozer"), ("J9", "Crane"), ("J9", None), ("J8", "Pump")))]
+    tables = mini(job_master=jobs, rate_card=rates, job_rates=own)
+    got = {(r.table_name, r.kind, r.rule): r.violations for r in quality.dq_constraints(tables, ["job_master", "rate_card", "job_rates"]).collect()}
+    assert got["job_master", "not null", "job_id"] == 1 and got["job_master", "unique", "job_id"] == 1
+    assert got["job_master", "check", "duration_days > 0"] == 1 and got["job_master", "check", "end_date >= start_date"] == 0
+    assert got["rate_card", "unique", "equipment_type"] == 1 and got["rate_card", "unique", "rate_card_id"] == 0
+    assert got["rate_card", "check", "hourly_rate_cents >= 0"] == 1 and got["rate_card", "not null", "hourly_rate_cents"] == 1
+    assert got["job_rates", "unique", "job_id, equipment_type"] == 1
+    assert got["job_rates", "reference", "job_id -> job_master"] == 3 and got["job_rates", "reference", "equipment_type -> rate_card"] == 1
+    # A parent outside the report is read for its keys only.
+    alone = {(r.kind, r.rule): r.violations for r in quality.dq_constraints(tables, ["job_rates"]).collect()}
+    assert {("job_rates", *k): v for k, v in alone.items()} == {k: v for k, v in got.items() if k[0] == "job_rates"}
+
+
+def test_constraints_read_each_stored_table_once(seeded):
+    plan = quality.dq_constraints(seeded)._jdf.queryExecution().executedPlan().toString()
+    for table in ("usage_log", "costs", "invoice_myob", "revenue_engine", "job_profit"):
+        assert plan.count(f"/data/{table}/") == 1, table

@@ -25,7 +25,12 @@ UNIQUE_KEYS = {
     "payg_withholding": [["payg_withholding_id"]],
     "fuel_tax_credit": [["fuel_tax_credit_id"], ["asset_id", "month_start"]],
     "exception_log": [["exception_id"]],
-    "revenue_engine": [["usage_id"]],
+    "revenue_engine": [["revenue_id"], ["usage_id"]],
+    "forecast_assumptions": [["forecast_assumption_id"]],
+    "myob_gl_extract": [["gl_extract_id"]],
+    "job_profit": [["job_id"]],
+    "asset_profit": [["asset_id"]],
+    "bas_check": [["bas_check_id"]],
 }
 
 # Row conditions of each table beyond required columns.
@@ -98,70 +103,112 @@ REFERENCES = {
         ("equipment_type", "rate_card"),
     ],
     "forecast_assumptions": [("asset_id", "fleet_register"), ("equipment_type", "rate_card")],
+    "job_profit": [("job_id", "job_master")],
+    "asset_profit": [("asset_id", "fleet_register")],
 }
 
 
+# Columns of the stored profit tables, all required.
+_PROFIT = ["revenue_cents", "fuel_direct_cents", "labour_direct_cents", "maintenance_cents", "transport_cents",
+           "other_costs_cents", "total_cost_cents", "profit_cents", "margin_pct"]
+_REQUIRED = {"job_profit": ["job_id", *_PROFIT], "asset_profit": ["asset_id", *_PROFIT]}
+
+
 def required_columns(table: str) -> list[str]:
     """Columns of a table that must not be NULL."""
-    return [f.name for f in SCHEMAS[table].fields if not f.nullable]
+    return _REQUIRED.get(table) or [f.name for f in SCHEMAS[table].fields if not f.nullable]
 
 
-def _rows(counts: DataFrame, table: str, kind: str, rules: list[str]) -> DataFrame:
-    """A one-row frame of counts v0, v1, ... as one report row per rule."""
-    entries = [
-        F.struct(
-            F.lit(table).alias("table_name"),
-            F.lit(kind).alias("kind"),
-            F.lit(rule).alias("rule"),
-            F.coalesce(F.col(f"v{i}"), F.lit(0)).cast("bigint").alias("violations"),
-        )
-        for i, rule in enumerate(rules)
-    ]
-    return counts.select(F.inline(F.array(*entries)))
+class _Rules:
+    """The rules of some tables, each with the domain its keys are compared in and a slot there.
 
+    A domain is one column of a parent table, or belongs to one rule. Slot -1 holds the rows that own a key, the
+    others the rows that name it; a row that breaks a row rule names a key that nothing owns.
+    """
 
-def _row_rules(df: DataFrame, table: str) -> list[DataFrame]:
-    """Required columns and row conditions of a table, all counted in one pass.
+    def __init__(self):
+        self.rules: list[tuple[str, str, str, int, int]] = []
+        self._domains: dict[tuple, int] = {}
+        self._slots: dict[int, int] = {}
 
-    A condition on a NULL value is not violated.
-    """
-    required = [c for c in required_columns(table) if c in df.columns]
-    checks = CHECKS.get(table, [])
-    tests: list[Column] = [F.col(c).isNull() for c in required] + [F.expr(f"not ({c})") for c in checks]
-    counts = df.agg(*[F.count_if(test).alias(f"v{i}") for i, test in enumerate(tests)])
-    shifted = counts.select(*[F.col(f"v{i + len(required)}").alias(f"v{i}") for i in range(len(checks))])
-    parts = [_rows(counts, table, "not null", required)] if required else []
-    return parts + ([_rows(shifted, table, "check", checks)] if checks else [])
+    def domain(self, *name: str) -> int:
+        return self._domains.setdefault(name, len(self._domains))
+
+    def add(self, table: str, kind: str, text: str, domain: int, owns: bool = False) -> int:
+        slot = -1 if owns else self._slots.get(domain, 0)
+        if not owns:
+            self._slots[domain] = slot + 1
+        self.rules.append((table, kind, text, domain, slot))
+        return slot
 
+    def slots(self) -> int:
+        return max(self._slots.values(), default=0)
 
-def _unique_rule(df: DataFrame, table: str, key: list[str]) -> DataFrame:
-    """Surplus rows per key, where all key columns are present."""
-    repeated = df.dropna(subset=key).groupBy(*key).agg((F.count("*") - 1).alias("surplus"))
-    return _rows(repeated.agg(F.sum("surplus").alias("v0")), table, "unique", [", ".join(key)])
 
+def _entry(when: Column, domain: int, slot: int, key: Column) -> Column:
+    return F.when(when, F.struct(F.lit(domain).alias("domain"), F.lit(slot).alias("slot"), key.cast("string").alias("key")))
 
-def _reference_rule(df: DataFrame, parent: DataFrame, table: str, column: str, parent_name: str) -> DataFrame:
-    """Rows whose reference has no parent. Keys are counted first, so a frequent key is one row."""
-    used = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    lost = used.join(parent.select(column), column, "left_anti").agg(F.sum("n").alias("v0"))
-    return _rows(lost, table, "reference", [f"{column} -> {parent_name}"])
+
+def _entries(df: DataFrame, table: str, rules: _Rules, owned: list[str], whole: bool) -> DataFrame | None:
+    """(domain, slot, key) of every key and broken row rule of a table, in one pass over it.
+
+    ``owned``: columns whose values others refer to. Without ``whole`` only these count.
+    """
+    nothing, parts = F.lit(None).cast("string"), []
+    if whole:
+        for column in [c for c in required_columns(table) if c in df.columns]:
+            domain = rules.domain(table, "not null", column)
+            parts.append(_entry(F.col(column).isNull(), domain, rules.add(table, "not null", column, domain), nothing))
+        for check in CHECKS.get(table, []):
+            domain = rules.domain(table, "check", check)
+            # A condition on a NULL value is not violated.
+            broken = F.coalesce(F.expr(f"not ({check})"), F.lit(False))
+            parts.append(_entry(broken, domain, rules.add(table, "check", check, domain), nothing))
+    for key in [k for k in UNIQUE_KEYS.get(table, []) if set(k) <= set(df.columns)]:
+        single = len(key) == 1 and key[0] in owned
+        if whole or single:
+            domain = rules.domain(table, key[0]) if single else rules.domain(table, "unique", *key)
+            if whole:
+                rules.add(table, "unique", ", ".join(key), domain, owns=True)
+            present = reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
+            parts.append(_entry(present, domain, -1, F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key])))
+    for column, parent in REFERENCES.get(table, []) if whole else []:
+        domain = rules.domain(parent, column)
+        slot = rules.add(table, "reference", f"{column} -> {parent}", domain)
+        parts.append(_entry(F.col(column).isNotNull(), domain, slot, F.col(column)))
+    if not parts:
+        return None
+    found = F.filter(F.array(*parts), lambda entry: entry.isNotNull())
+    return df.select(F.inline(found))
 
 
 def dq_constraints(tables: Catalog, names: list[str] | None = None) -> DataFrame:
     """Violations of every key, required-column, condition and reference rule.
 
-    ``names`` limits the report to some tables.
+    Each table is read once: its rows give the keys they own, the keys they name and the row rules they break, and one
+    grouping by key over all tables tells repeated keys and keys that nothing owns. Counts are summed within
+    the tasks first, so a frequent key is a few rows. ``names`` limits the report to some tables.
     """
-    parts: list[DataFrame] = []
-    for table in names or [*UNIQUE_KEYS, "forecast_assumptions"]:
-        df = tables[table]
-        parts += _row_rules(df, table)
-        parts += [_unique_rule(df, table, key) for key in UNIQUE_KEYS.get(table, [])]
-        parts += [
-            _reference_rule(df, tables[parent], table, column, parent)
-            for column, parent in REFERENCES.get(table, [])
-        ]
-    return reduce(DataFrame.unionByName, parts)
+    chosen = names or list(UNIQUE_KEYS)
+    needed = {(parent, column) for table in chosen for column, parent in REFERENCES.get(table, [])}
+    rules, found = _Rules(), []
+    for table in [*chosen, *sorted({parent for parent, _ in needed} - set(chosen))]:
+        owned = [column for parent, column in needed if parent == table]
+        found.append(_entries(tables[table], table, rules, owned, table in chosen))
+    entries = reduce(DataFrame.unionByName, [f for f in found if f is not None])
+    slots = range(rules.slots())
+    by_key = entries.groupBy("domain", "key").agg(
+        F.count_if(F.col("slot") == -1).alias("owners"), *[F.count_if(F.col("slot") == k).alias(f"n{k}") for k in slots]
+    )
+    lost = [F.sum(F.when(F.col("owners") == 0, F.col(f"n{k}")).otherwise(0)).alias(f"n{k}") for k in slots]
+    sums = by_key.groupBy("domain").agg(F.sum(F.greatest(F.col("owners") - 1, F.lit(0))).alias("surplus"), *lost)
+    counts = [F.struct(F.lit(-1).alias("slot"), F.col("surplus").alias("n"))]
+    counts += [F.struct(F.lit(k).alias("slot"), F.col(f"n{k}").alias("n")) for k in slots]
+    broken = sums.select("domain", F.inline(F.array(*counts)))
+    schema = "table_name string, kind string, rule string, domain int, slot int"
+    listed = tables.spark.createDataFrame(rules.rules, schema)
+    violations = F.coalesce("n", F.lit(0)).cast("bigint").alias("violations")
+    return listed.join(broken, ["domain", "slot"], "left").select("table_name", "kind", "rule", violations)
 
 
 def missing_rate_cards(tables: Catalog) -> DataFrame:
