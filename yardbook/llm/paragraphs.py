@@ -377,7 +377,8 @@ def repeated_paragraphs(
     classes = scratch.store(classes, "classes")
     signs = classes.select("print", "size", *(F.get("sign", F.lit(k)).alias(f"s{k}") for k in range(BITS // 64)))
     buckets = classes.select("print", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").select("bucket")
+    # A class is in a bucket once, as the number of the band is part of it.
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     lists = cut(buckets.join(shared, "bucket"))
 
     def confirm(pairs: DataFrame, step: str) -> DataFrame:
