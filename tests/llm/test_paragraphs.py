@@ -160,3 +160,10 @@ def test_bands_are_those_of_single_paragraphs():
             alone = paragraphs._Slice(data, ends, 20)
             alone.first, alone.after, alone.text = np.array([0]), np.array([len(own)]), np.array([0])
         assert (alone.bands(5)[0][0] == bands[k]).all() and alone.prints()[0] == prints[k]
+
+
+def test_no_sets_have_no_signatures():
+    from yardbook.llm.common import parities
+
+    none = np.zeros(0, np.int64)
+    assert parities(none, none, paragraphs.BITS).shape == (0, paragraphs.BITS // 64)

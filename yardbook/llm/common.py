@@ -208,7 +208,7 @@ def parities(values: np.ndarray, opens: np.ndarray, bits: int) -> np.ndarray:
     owner = np.repeat(np.arange(len(opens)), np.diff(opens, append=len(values)))
     at = owner * bits + ((values.view(np.uint64) >> np.uint64(16)) % np.uint64(bits)).astype(np.int64)
     odd = (np.bincount(at, minlength=len(opens) * bits) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view("<u8").reshape(len(opens), -1).view(np.int64)
+    return np.packbits(odd, bitorder="little").view("<u8").reshape(len(opens), bits // 64).view(np.int64)
 
 
 def differ_little(x: str, y: str, m: Column, n: Column, words_: int, percent: int) -> Column:
