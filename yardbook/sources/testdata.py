@@ -229,9 +229,7 @@ def finance_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         )
 
     def invoice_myob(tables: Catalog) -> DataFrame:
-        earned = (
-            tables["revenue_engine"].groupBy("job_id", "asset_id").agg(F.sum("total_revenue_cents").alias("earned"))
-        )
+        earned = tables["earned_terms"].selectExpr("job_id", "asset_id", "earned_revenue_cents as earned")
         finished = (
             jobs().where("status in ('Completed', 'Invoiced') and job_key % 11 <> 0").select("job_id", "job_key", "end_date")
         )
