@@ -4,8 +4,9 @@ import os
 
 from pyspark.sql import functions as F
 
-from yardbook.functions.numbering import padded, with_position, with_rank_desc
-from yardbook.operators import exceptions, revenue
+from yardbook.functions.numbering import padded, with_position, with_rank_desc, with_sequence_id
+from yardbook.functions.scratch import kept
+from yardbook.operators import exceptions, quality, revenue
 from yardbook.plans.registry import QUERIES
 
 
@@ -127,3 +128,30 @@ def test_unflagged_usage_is_not_shuffled_for_float_fees(stored):
     """Only rows that charge a float fee meet the term hours."""
     plan = plan_of(revenue.revenue_engine(stored))
     assert plan.count("total_term_hours") and "Union" in plan
+
+
+def test_sequence_ids_compute_their_rows_once(spark):
+    numbered = with_sequence_id(hot_rows(spark), "row_id", "R", 5, [F.col("k"), F.col("row")])
+    plan = plan_of(numbered)
+    assert "FileScan parquet" in plan and "Range (" not in plan
+    want = sorted((r.k, r.row) for r in hot_rows(spark).collect())
+    assert [(r.k, r.row) for r in numbered.orderBy("row_id").collect()] == want
+
+
+def test_shuffled_rows_hold_their_order_columns_once(spark):
+    numbered = with_position(hot_rows(spark), [F.col("k"), F.col("row")])
+    sorts = [line for line in plan_of(numbered).splitlines() if " Sort [_range" in line]
+    assert sorts and not any("_key" in line for line in sorts)
+
+
+def test_billing_reads_computed_terms_once(raw):
+    """Earned and invoiced amounts come from the hire terms, neither prices the usage again."""
+    assert not any("lineitem" in file for file in raw["billing_terms"].inputFiles())
+    assert not any("lineitem" in file for file in raw["invoice_myob"].inputFiles())
+
+
+def test_quality_rules_compute_revenue_once(raw, monkeypatch):
+    labels = []
+    monkeypatch.setattr(quality, "kept", lambda df, label: labels.append(label) or kept(df, label))
+    quality.dq_constraints(raw)
+    assert labels == ["revenue_engine", "earned_terms"]

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from yardbook.functions.scratch import kept
 from yardbook.operators.revenue import REVENUE_COLUMNS
 from yardbook.sources.catalog import Catalog
 from yardbook.sources.schemas import SCHEMAS
@@ -187,9 +188,13 @@ def dq_constraints(tables: Catalog, names: list[str] | None = None) -> DataFrame
 
     Each table is read once: its rows give the keys they own, the keys they name and the row rules they break, and one
     grouping by key over all tables tells repeated keys and keys that nothing owns. Counts are summed within
-    the tasks first, so a frequent key is a few rows. ``names`` limits the report to some tables.
+    the tasks first, so a frequent key is a few rows. ``names`` limits the report to some tables. Revenue lines that
+    are not stored are computed once, as other tables derive from them.
     """
     chosen = names or list(UNIQUE_KEYS)
+    if "revenue_engine" in chosen and not tables.stored("revenue_engine"):
+        tables = tables.with_tables(revenue_engine=kept(tables["revenue_engine"], "revenue_engine"))
+        tables = tables.with_tables(earned_terms=kept(tables["earned_terms"], "earned_terms"))
     needed = {(parent, column) for table in chosen for column, parent in REFERENCES.get(table, [])}
     rules, found = _Rules(), []
     for table in [*chosen, *sorted({parent for parent, _ in needed} - set(chosen))]:
