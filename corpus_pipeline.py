@@ -4,7 +4,8 @@ Stages, in order: the quality classifier rejects poor documents; exact copies go
 near-duplicate group stays (five-word shingles, similarity 0.8); documents that hold a benchmark item
 go; the sources are mixed to target shares, and what the mix does not take goes. Each stage works on all rows that the one before it kept,
 and each result is stored in the shared folder before the next stage reads it. Null texts and
-identifiers, repeated rows, empty tables and extra columns are handled as each operator states.
+identifiers, repeated rows, empty tables and extra columns are handled as each operator states. Stages get the
+documents as a plain read of stored files, whose rows are told apart by file and place, so no stage stores a copy of the texts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from yardbook.llm import content_sort, decontaminate, minhash, mixing, quality
-from yardbook.llm.common import Scratch, read_table
+from yardbook.llm.common import Scratch, file_rows, read_table
 
 ORACLE_SQL = None
 
@@ -22,11 +23,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return content_sort.keep_first(docs)
+    rows, key = file_rows(docs)
+    return content_sort.keep_first(rows, row_key=key)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs, words_per_shingle=5, percent=80)
+    rows, key = file_rows(docs)
+    return minhash.keep_one(rows, words_per_shingle=5, percent=80, row_key=key)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix: all columns, the number of copies it takes (at least 1) and their words."""
-    return mixing.mix(docs).where("copies > 0")
+    rows, key = file_rows(docs)
+    return mixing.mix(rows, row_key=key).where("copies > 0")
 
 
 STAGES = [

@@ -115,3 +115,15 @@ def test_thresholds_follow_from_the_binomial_distribution(docs_frame):
         assert chance <= minhash.RARE < chance + math.comb(k, least) * p**least * (1 - p) ** (k - least)
     with pytest.raises(ValueError, match="too few"):
         minhash.near_groups(docs_frame([(1, "a")]), percent=40)
+
+
+def test_sketches_go_once_the_classes_are_stored(docs_frame, monkeypatch):
+    """Sketches of all rows stayed on disk beside those of the classes until the end."""
+    from yardbook.llm.common import Scratch
+
+    held, store, drop = {}, Scratch.store, Scratch.drop
+    monkeypatch.setattr(Scratch, "store", lambda self, df, name: held.update({name: df.columns}) or store(self, df, name))
+    monkeypatch.setattr(Scratch, "drop", lambda self, name="": held.pop(name) and drop(self, name))
+    got = minhash.near_groups(docs_frame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x y")]), words_per_shingle=2).collect()
+    assert sorted((r.doc_id, r.kept) for r in got) == [(1, True), (2, False), (3, True)]
+    assert held and not [name for name, columns in held.items() if "sketch" in columns]

@@ -82,3 +82,34 @@ def test_odd_rows_pass_all_stages(spark, tmp_path, sf_dir, docs_frame):
             spark.read.parquet(f"{sf_dir}/{table}.parquet").write.parquet(f"{folder}/{table}.parquet")
         got = corpus_pipeline.run(spark, folder).collect()
         assert bool(got) == (name == "some") and all(r.copies > 0 for r in got)
+
+
+def test_no_stage_stores_the_texts_beside_its_input(spark, sf_dir, tmp_path, monkeypatch):
+    """Stored copies of all texts stayed on disk through the later stages."""
+    from yardbook.llm.common import Scratch
+
+    stored, store = [], Scratch.store
+    monkeypatch.setattr(Scratch, "store", lambda self, df, name: stored.append((name, df.columns)) or store(self, df, name))
+    for k in (1, 2, 4):
+        name, stage = corpus_pipeline.STAGES[k]
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        assert spark.read.parquet(f"{tmp_path}/{name}").columns[: len(docs.columns)] == docs.columns
+    assert stored and not [name for name, columns in stored if "text" in columns]
+
+
+def test_rows_of_files_keep_their_numbers(spark, tmp_path, docs_frame):
+    from yardbook.llm.common import file_rows
+
+    docs_frame([(1, "same")] * 500 + [(d, f"t{d}") for d in range(500)]).repartition(5).write.parquet(f"{tmp_path}/docs")
+    setting, passes = "spark.sql.files.minPartitionNum", []
+    try:
+        for cores in (1, 64):  # as if the files were split in another way
+            spark.conf.set(setting, cores)
+            rows, key = file_rows(spark.read.parquet(f"{tmp_path}/docs"))
+            passes.append(sorted((r[key], r.doc_id, r.text) for r in rows.collect()))
+    finally:
+        spark.conf.unset(setting)
+    assert passes[0] == passes[1] and len({k for k, *_ in passes[0]}) == 1000
+    rows, key = file_rows(docs_frame([(1, "same")] * 20, 3))  # not from files: stored with numbers
+    assert len({r[key] for r in rows.collect()}) == 20

@@ -15,7 +15,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The white space that separates words.
@@ -73,6 +74,23 @@ class Scratch:
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def file_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df``, a plain read of Parquet files, with a number for each row, and the name of that column.
+
+    The number is the row's file and its place in it, so it is the same in every pass, however the files are
+    split, and nothing has to be stored for it. Rows that do not come from files are stored with their numbers.
+    """
+    key, path = free_name(df, "_row"), free_name(df, "_file")
+    try:
+        placed = df.withColumns({path: df.metadataColumn("_metadata")["file_path"], key: df.metadataColumn("_metadata")["row_index"]})
+    except AnalysisException:
+        return Scratch(df.sparkSession, "numbered").store(df.withColumn(key, F.monotonically_increasing_id()), "rows"), key
+    # One row per file, so the window and the broadcast are bounded by the number of files.
+    files = placed.select(path).distinct().withColumn(f"{path}_number", F.row_number().over(Window.orderBy(path)).cast("long"))
+    numbered = placed.join(F.broadcast(cut(files)), path)
+    return numbered.withColumn(key, F.shiftleft(f"{path}_number", 40) + F.col(key)).select(*df.columns, key), key
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it holds at most ``rows`` rows (counted), else unchanged."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

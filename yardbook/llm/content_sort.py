@@ -117,9 +117,15 @@ def exact_groups(
     )
 
 
-def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` without their copies; all columns stay as they are."""
-    key = free_name(df, "_row")
-    numbered = Scratch(df.sparkSession, "content-keep").store(df.withColumn(key, F.monotonically_increasing_id()), "docs")
+def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id", row_key: str | None = None) -> DataFrame:
+    """The rows of ``df`` without their copies; all columns stay as they are, but for ``row_key``, which goes.
+
+    ``row_key`` names a column that tells all rows apart and is the same in every pass; without one the rows
+    are stored with a number.
+    """
+    key, numbered = row_key, df
+    if key is None:
+        key = free_name(df, "_row")
+        numbered = Scratch(df.sparkSession, "content-keep").store(df.withColumn(key, F.monotonically_increasing_id()), "docs")
     stay = exact_groups(numbered, text, doc_id, row_key=key).where("stays").select(key)
-    return numbered.join(stay, key, "left_semi").select(*df.columns)
+    return numbered.join(stay, key, "left_semi").select(*[c for c in df.columns if c != key])

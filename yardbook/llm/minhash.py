@@ -240,6 +240,9 @@ def near_groups(
     classes = scratch.store(
         classes.withColumns({"cls": F.monotonically_increasing_id(), "kept_values": F.least(F.size("sketch"), F.lit(KEEP))}), "classes"
     )
+    # The sketches are with the classes now.
+    members = scratch.store(rows.drop("sketch", "sign"), "members")
+    scratch.drop("rows")
 
     def confirm(pairs: DataFrame, step: str) -> DataFrame:
         return _confirmed(pairs, classes, df, n, percent, text, doc_id, scratch, step)
@@ -290,7 +293,7 @@ def near_groups(
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = cut(named.join(least, "component").select("print", "component", "component_id"))
     scratch.drop("classes")
-    out = rows.drop("sketch", "sign").join(named, "print", "left")
+    out = members.join(named, "print", "left")
     first_row = out.where("component is not null").groupBy("component").agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "at")).alias("best")
     )
@@ -305,14 +308,19 @@ def near_groups(
     )
 
 
-def keep_one(df: DataFrame, words_per_shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` with one document of each near-duplicate group; columns stay as they are.
+def keep_one(
+    df: DataFrame, words_per_shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", row_key: str | None = None
+) -> DataFrame:
+    """The rows of ``df`` with one document of each near-duplicate group; columns stay as they are, but for ``row_key``, which goes.
 
-    Rows are numbered to tell them apart, and are stored with their numbers: also a plain read of files
-    is split anew in every pass, by the cores that are there at that moment.
+    ``row_key`` names a column that tells all rows apart and is the same in every pass. Without one rows are
+    numbered and stored with their numbers: also a plain read of files is split anew in every pass, by the
+    cores that are there at that moment.
     """
-    key = free_name(df, "_row")
-    numbered = Scratch(df.sparkSession, "minhash-keep").store(df.withColumn(key, F.monotonically_increasing_id()), "docs")
+    key, numbered = row_key, df
+    if key is None:
+        key = free_name(df, "_row")
+        numbered = Scratch(df.sparkSession, "minhash-keep").store(df.withColumn(key, F.monotonically_increasing_id()), "docs")
     texts = numbered.select(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(key).alias("at")).alias("id"), F.col(text).alias("text"))
     stay = near_groups(texts, words_per_shingle, percent, "text", "id").where("stays").select(F.col("doc_id.at").alias(key))
-    return numbered.join(stay, key, "left_semi").select(*df.columns)
+    return numbered.join(stay, key, "left_semi").select(*[c for c in df.columns if c != key])

@@ -178,28 +178,33 @@ def mix(
     size: Column | None = None,
     source: str = "source",
     block: int = BLOCK,
+    row_key: str | None = None,
 ) -> DataFrame:
     """All rows and columns of ``df`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
 
     ``size``: words of a row, by default those of its ``text``. Where ``df`` has columns of the added
-    names, the mix's replace them.
+    names, the mix's replace them. ``row_key`` names a column that tells all rows apart and is the same in
+    every pass; it is not returned, and without it the rows are stored with a number.
     """
     key, own_size, group, spread, one = (free_name(df, n) for n in ("_key", "_size", "_source", "_spread", "_one"))
-    hashable = [df[f.name] for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    hashable = [df[f.name] for f in df.schema if f.name != row_key and "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
     rows = df.withColumns(
         {
             own_size: F.coalesce(size if size is not None else words_in(df), F.lit(0)).cast("long"),
             group: df[source].cast("string"),
             spread: F.xxhash64(*hashable),
-            key: F.monotonically_increasing_id(),
+            key: df[row_key] if row_key else F.monotonically_increasing_id(),
         }
     )
-    # Stored once, because the keys must name the same rows in every later step.
-    stored = Scratch(df.sparkSession, "mix").store(rows, "rows")
+    narrow = F.col(key).alias("key"), F.col(group).alias("source"), F.col(own_size).alias("size"), F.col(spread).alias("spread")
+    scratch = Scratch(df.sparkSession, "mix")
+    if row_key is None:
+        # Stored once, because the keys must name the same rows in every later step.
+        rows = scratch.store(rows, "rows")
+        sized = rows.select(*narrow)
+    else:
+        sized = scratch.store(rows.select(*narrow), "sizes")
     equal_rows = Window.partitionBy("spread").orderBy("key")
-    sized = stored.select(
-        F.col(key).alias("key"), F.col(group).alias("source"), F.col(own_size).alias("size"), F.col(spread).alias("spread")
-    )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     targets = cut(source_targets(sources, weights, total, cap))
     rate = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(0.0)
@@ -227,16 +232,17 @@ def mix(
         extra = extra.unionByName(more)
     added = ("size", "source_size", "target", "copies", "taken")
     copies = (F.floor(rate) + F.coalesce(F.col(f"e.{one}"), F.lit(0))).cast("long")
+    # All is decided on rows without texts, so the rows themselves are shuffled once, to meet their numbers.
+    decided = (
+        sized.alias("s")
+        .join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
+        .join(extra.select("key", F.lit(1).alias(one)).alias("e"), F.col("s.key") == F.col("e.key"), "left")
+        .select("s.key", "s.size", "t.source_size", "t.target", copies.alias("copies"), (copies * F.col("s.size")).alias("taken"))
+    )
+    own = [c for c in df.columns if c.lower() not in added and c != row_key]
+    rows = (rows if row_key is None else df).select(F.col(row_key or key).alias(key), *[F.col(f"`{c}`") for c in own])
     return (
-        stored.alias("r")
-        .join(targets.alias("t"), F.col(f"r.{group}").eqNullSafe(F.col("t.source")))
-        .join(extra.select("key", F.lit(1).alias(one)).alias("e"), F.col(f"r.{key}") == F.col("e.key"), "left")
-        .select(
-            *[F.col(f"r.`{c}`") for c in df.columns if c.lower() not in added],
-            F.col(f"r.{own_size}").alias("size"),
-            F.col("t.source_size").alias("source_size"),
-            F.col("t.target").alias("target"),
-            copies.alias("copies"),
-            (copies * F.col(f"r.{own_size}")).alias("taken"),
-        )
+        rows.alias("r")
+        .join(decided.alias("d"), F.col(f"r.{key}") == F.col("d.key"))
+        .select(*[F.col(f"r.`{c}`") for c in own], *[F.col(f"d.{c}") for c in added])
     )
