@@ -167,3 +167,23 @@ def test_no_sets_have_no_signatures():
 
     none = np.zeros(0, np.int64)
     assert parities(none, none, paragraphs.BITS).shape == (0, paragraphs.BITS // 64)
+
+
+def test_bands_go_once_the_classes_are_stored(docs_frame, monkeypatch):
+    """Bands and signatures of all paragraphs stayed on disk beside those of the classes until the end."""
+    from yardbook.llm.common import Scratch
+
+    steps, store, drop = [], Scratch.store, Scratch.drop
+    monkeypatch.setattr(Scratch, "store", lambda self, df, name: steps.append((name, df.columns)) or store(self, df, name))
+    monkeypatch.setattr(Scratch, "drop", lambda self, name="": steps.append((name, None)) or drop(self, name))
+    line = " ".join(f"w{i}" for i in range(30))
+    got = paragraphs.repeated_paragraphs(docs_frame([(1, line), (2, line), (3, "short")])).collect()
+    assert sorted((r.doc_id, r.kept) for r in got) == [(1, True), (2, False)]
+    held = {}
+    for name, columns in steps:
+        if columns is None:
+            held.pop(name)
+        else:
+            held[name] = columns
+        if name == "blocks" and columns:
+            assert not [n for n, c in held.items() if "bands" in c]

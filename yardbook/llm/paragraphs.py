@@ -375,6 +375,9 @@ def repeated_paragraphs(
     found = scratch.store(_scan(df, n, least_words, join_lines, text, doc_id), "found")
     classes = found.groupBy("print").agg(F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("bands", "sign", "size")))
     classes = scratch.store(classes, "classes")
+    # Bands and signatures are with the classes now.
+    places = scratch.store(found.drop("bands", "sign", "size"), "places")
+    scratch.drop("found")
     signs = classes.select("print", "size", *(F.get("sign", F.lit(k)).alias(f"s{k}") for k in range(BITS // 64)))
     buckets = classes.select("print", F.explode("bands").alias("bucket"))
     # A class is in a bucket once, as the number of the band is part of it.
@@ -417,14 +420,14 @@ def repeated_paragraphs(
     links = cut(links.unionByName(confirm(meet(marked), "rest")))
     named = components(links).withColumnRenamed("node", "print")
     scratch.drop("classes")
-    placed = found.drop("bands", "sign", "size").join(named, "print", "left").withColumn("passage", F.coalesce("component", "print"))
+    placed = places.join(named, "print", "left").withColumn("passage", F.coalesce("component", "print"))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "first", "after", "row", "at")
     groups = placed.groupBy("passage").agg(F.count("*").alias("copies"), F.min(order).alias("best")).where("copies > 1")
     same = F.col("at") == F.col("best.at")
     lines = placed.join(groups, "passage").select("id", "row", "first", "after", "passage", "copies", same.alias("kept"))
     runs = _repeated_runs(df, least_run, scratch, text, doc_id)
     lines = cut(_inside_runs(lines, runs))
-    scratch.drop("found")
+    scratch.drop("places")
     out = lines.unionByName(_outside_lines(runs, lines))
     return out.select(
         F.col("id").alias("doc_id"),
