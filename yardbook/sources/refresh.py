@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yardbook.config import DEFAULT_RULES, Rules
-from yardbook.functions.periods import in_months, month_start, period_bounds
+from yardbook.functions.keys import may_meet, with_mark
+from yardbook.functions.periods import by_month, in_months, month_start, period_bounds
 from yardbook.operators.revenue import REVENUE_COLUMNS, TERM, revenue_engine, with_revenue_id
 from yardbook.sources.catalog import Catalog
 from yardbook.sources.store import Change, TableStore
@@ -44,7 +45,7 @@ def crossing_terms(before: DataFrame, after: DataFrame, log: DataFrame, rules: R
     )
     moved = signed.groupBy(*TERM).agg(F.sum("_hours").alias("_moved")).where("_moved <> 0")
     # Rows without a job or asset have no term, as in the fee itself.
-    totals = log.select(*TERM, "hours_worked").join(moved.select(*TERM), TERM, "left_semi")
+    totals = may_meet(log.select(*TERM, "hours_worked"), moved, TERM).join(moved.select(*TERM), TERM, "left_semi")
     totals = totals.groupBy(*TERM).agg(F.sum("hours_worked").alias("_total"))
     limit = F.lit(rules.short_term_hours)
     return moved.join(totals, TERM).where(((F.col("_total") - F.col("_moved")) < limit) != (F.col("_total") < limit)).select(*TERM)
@@ -52,11 +53,28 @@ def crossing_terms(before: DataFrame, after: DataFrame, log: DataFrame, rules: R
 
 def dependent_months(change: Change, months: Iterable[date], terms: DataFrame) -> list[date]:
     """``months`` and those in which one of ``terms`` charges a float fee."""
-    charged = change.read("usage_log").where("float_required").join(terms, TERM, "left_semi")
+    charged = may_meet(change.read("usage_log").where("float_required").select(*TERM, "usage_date"), terms, TERM).join(terms, TERM, "left_semi")
     found = charged.select(month_start(F.col("usage_date")).alias("m")).distinct().collect()  # a row a month
     return sorted({*months, *(r["m"] for r in found)})
 
 
+def _refreshed_lines(
+    tables: Catalog, old: DataFrame, terms: DataFrame, starts: list[date], affected: list[date], rules: Rules, hour_rounding: str
+) -> DataFrame:
+    """Revenue lines of the affected months: in the replaced months all are priced, in the others those of the terms that cross.
+
+    All other lines are taken as they are stored and are not shuffled.
+    """
+    others = sorted(set(affected) - set(starts))
+    log = tables["usage_log"]
+    crossed = may_meet(in_months(log, "usage_date", others), terms, TERM).join(terms, TERM, "left_semi")
+    usage = in_months(log, "usage_date", starts).unionByName(crossed.select(*log.columns))
+    stored = with_mark(in_months(old, "usage_date", others).select(*REVENUE_COLUMNS), terms, TERM, "_met")
+    near = by_month(stored.where("_met").drop("_met").join(terms, TERM, "left_anti"), "usage_date")
+    same = stored.where("not _met").drop("_met").unionByName(near.select(*REVENUE_COLUMNS))
+    return same.unionByName(revenue_engine(tables, None, hour_rounding, rules, None, usage))
+
+
 def _renumbered_months(change: Change, old: DataFrame, new: DataFrame, months: list[date]) -> list[date]:
     """Months whose lines or running ids differ: from the first one with other rows or another order on."""
     keys = "usage_date", "job_id", "asset_id", "usage_id"
@@ -89,18 +107,22 @@ def refresh_usage(
         before = in_months(change.read("usage_log"), "usage_date", starts)
         log = change.replace_months("usage_log", usage, starts)
         after = in_months(log, "usage_date", starts)
-        affected = dependent_months(change, starts, crossing_terms(before, after, log, rules))
+        crossing = change.aside("crossing_terms", crossing_terms(before, after, log, rules))
+        affected = dependent_months(change, starts, crossing)
         names = [name for name in DERIVED_TABLES if change.has(name)]
         if "revenue_engine" in names:
             old = change.read("revenue_engine")
             tables = Catalog(store.spark, {name: change.read(name) for name in change.tables() if name not in DERIVED_TABLES})
-            lines = revenue_engine(tables, None, hour_rounding, rules, affected)
-            if "revenue_id" in old.columns:
+            numbered = "revenue_id" in old.columns
+            if numbered:
+                lines = revenue_engine(tables, None, hour_rounding, rules, affected)
                 rest = {date.fromisoformat(m) for m in change.folders("revenue_engine")} - set(affected)
                 affected = _renumbered_months(change, old, lines, affected)
                 kept = in_months(old, "usage_date", sorted(rest)).select(*REVENUE_COLUMNS)
                 lines = with_revenue_id(kept.unionByName(lines))
-            change.replace_months("revenue_engine", lines, affected)
+            else:
+                lines = _refreshed_lines(tables, old, crossing, starts, affected, rules, hour_rounding)
+            change.replace_months("revenue_engine", lines, affected, laid=not numbered)
         others = [name for name in names if name != "revenue_engine"]
         tables = Catalog(store.spark, {name: change.read(name) for name in change.tables() if name not in others})
         build_derived(change, tables, others)

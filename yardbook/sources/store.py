@@ -16,17 +16,20 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yardbook.functions.periods import MONTH_KEY, month_start, period_bounds
+from yardbook.functions.periods import MONTH_KEY, by_month, month_start, period_bounds
 from yardbook.sources.catalog import Catalog
 
 WRITE_ID = "write_id"
+# Codec of the files, and the months that a writer keeps open before it sorts the rest.
+CODEC, OPEN_MONTHS = "zstd", 16
 _NUMBER = re.compile(r"^(\d{12})\.json$")
 
 
@@ -34,12 +37,16 @@ class VersionConflict(RuntimeError):
     """Another change became the next version first."""
 
 
-def by_month(df: DataFrame, day: str) -> DataFrame:
-    """Rows with their month, laid out so that one writer holds few months.
-
-    The rebalance hint lets Spark split a month that is much larger than the others.
-    """
-    return df.withColumn(MONTH_KEY, month_start(F.col(day))).hint("rebalance", MONTH_KEY)
+@contextmanager
+def _months_at_once(spark: SparkSession) -> Iterator[None]:
+    """Within it a writer keeps files of several months open, so it need not sort its rows by month (and spill them)."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_MONTHS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class TableStore:
@@ -180,6 +187,7 @@ class Change:
         self.base = store.version()
         self._tables = store._manifest(self.base)
         self._written: list[str] = []
+        self._aside: list[str] = []
 
     def __enter__(self) -> "Change":
         return self
@@ -202,17 +210,26 @@ class Change:
     def folders(self, name: str) -> dict[str, str]:
         return dict(self._tables[name]["folders"])
 
-    def replace(self, name: str, df: DataFrame, day: str | None = None) -> DataFrame:
-        """Write a whole table; with a date column it is stored by month. Returns the stored table."""
-        folders, schema = self._write(name, df, day)
+    def aside(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows that several steps of the change read: computed once, and gone when it ends."""
+        folders, schema = self._write(name, df, None)
+        self._aside.append(folders[""])
+        return self.store._frame(name, {"schema": json.loads(schema.json()), "folders": folders})
+
+    def replace(self, name: str, df: DataFrame, day: str | None = None, laid: bool = False) -> DataFrame:
+        """Write a whole table; with a date column it is stored by month. Returns the stored table.
+
+        ``laid`` tells that the rows come from files by month, so that no shuffle has to bring them together.
+        """
+        folders, schema = self._write(name, df, day, laid)
         self._tables[name] = {"schema": json.loads(schema.json()), "day": day, "folders": folders}
         return self.read(name)
 
-    def replace_months(self, name: str, df: DataFrame, months: Iterable[str | date]) -> DataFrame:
+    def replace_months(self, name: str, df: DataFrame, months: Iterable[str | date], laid: bool = False) -> DataFrame:
         """Write some months of a table that is stored by month; the others keep their files.
 
         ``df`` holds the new rows of these months and may hold other rows, which are not looked at. A month
-        without rows goes. Returns the stored table.
+        without rows goes. ``laid`` is that of ``replace``. Returns the stored table.
         """
         entry = self._tables[name]
         if entry["day"] is None:
@@ -220,7 +237,7 @@ class Change:
         starts = sorted({period_bounds(month)[0] for month in months})
         if starts:
             own = df.where(month_start(F.col(entry["day"])).isin(starts))
-            folders, _ = self._write(name, own.select(*self._columns(entry)), entry["day"])
+            folders, _ = self._write(name, own.select(*self._columns(entry)), entry["day"], laid)
             kept = {m: f for m, f in entry["folders"].items() if m not in {s.isoformat() for s in starts}}
             self._tables[name] = {**entry, "folders": dict(sorted({**kept, **folders}.items()))}
         return self.read(name)
@@ -235,6 +252,8 @@ class Change:
         except VersionConflict:
             self.discard()
             raise
+        for folder in self._aside:
+            self.store._delete(f"{self.store.folder}/{folder}")
         return self.base + 1
 
     def discard(self) -> None:
@@ -246,16 +265,17 @@ class Change:
     def _columns(entry: dict) -> list[str]:
         return [f["name"] for f in entry["schema"]["fields"] if f["name"] != MONTH_KEY]
 
-    def _write(self, name: str, df: DataFrame, day: str | None) -> tuple[dict[str, str], T.StructType]:
+    def _write(self, name: str, df: DataFrame, day: str | None, laid: bool = False) -> tuple[dict[str, str], T.StructType]:
         folder = f"data/{name}/{WRITE_ID}={uuid.uuid4().hex}"
         path = f"{self.store.folder}/{folder}"
         self._written.append(folder)
         if day is None:
-            df.write.parquet(path)
+            df.write.option("compression", CODEC).parquet(path)
             return {"": folder}, df.schema
-        laid = by_month(df, day)
-        laid.write.partitionBy(MONTH_KEY).parquet(path)
+        dealt = df.withColumn(MONTH_KEY, month_start(F.col(day))) if laid else by_month(df, day)
+        with _months_at_once(self.store.spark):
+            dealt.write.option("compression", CODEC).partitionBy(MONTH_KEY).parquet(path)
         months = (p.rsplit("/", 1)[1] for p in self.store._list(path))
         found = {m.removeprefix(f"{MONTH_KEY}="): f"{folder}/{m}" for m in sorted(months) if m.startswith(f"{MONTH_KEY}=")}
-        fields = [f for f in laid.schema.fields if f.name != MONTH_KEY] + [laid.schema[MONTH_KEY]]
+        fields = [f for f in dealt.schema.fields if f.name != MONTH_KEY] + [dealt.schema[MONTH_KEY]]
         return found, T.StructType(fields)

@@ -8,14 +8,14 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yardbook.functions.periods import MONTH_KEY, in_period, period_bounds
+from yardbook.functions.periods import MONTH_KEY, by_month, in_period, period_bounds
 from yardbook.operators.exceptions import exception_scan
 from yardbook.operators.journals import journal_pack_period
 from yardbook.operators.profit import asset_profit, job_profit
-from yardbook.operators.revenue import revenue_id_seq
+from yardbook.operators.revenue import lines_by_month, revenue_id_seq
 from yardbook.operators.tax import bas_period
 from yardbook.sources.catalog import Catalog
-from yardbook.sources.store import Change, TableStore, by_month
+from yardbook.sources.store import Change, TableStore
 
 # Large source tables, their date column for monthly partitions.
 FACT_DATES = {"usage_log": "usage_date", "costs": "cost_date", "invoice_myob": "invoice_date"}
@@ -58,10 +58,17 @@ def store_sources(tables: Catalog, folder: str, monthly: bool = True) -> Catalog
 def build_derived(
     change: Change, tables: Catalog, names: Iterable[str], numbered: bool = True, monthly: bool = True
 ) -> Catalog:
-    """Write derived tables in order of dependency; each fact is computed once."""
+    """Write derived tables in order of dependency; each fact is computed once.
+
+    Revenue lines without running ids of usage that is stored by month keep its layout.
+    """
     for name in names:
-        built = revenue_id_seq(tables) if name == "revenue_engine" and numbered else tables[name]
-        stored = change.replace(name, built, DERIVED_TABLES[name] if monthly else None)
+        laid = name == "revenue_engine" and not numbered and monthly and not tables.stored(name) and MONTH_KEY in tables["usage_log"].columns
+        if laid:
+            built = lines_by_month(tables, tables["usage_log"])
+        else:
+            built = revenue_id_seq(tables) if name == "revenue_engine" and numbered else tables[name]
+        stored = change.replace(name, built, DERIVED_TABLES[name] if monthly else None, laid)
         tables = tables.with_tables(**{name: stored})
     return tables
 
