@@ -282,13 +282,15 @@ def near_groups(
         pairs = x.join(y, met & other & lowest & near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
         return _possible(pairs.distinct(), classes, percent)
 
+    def with_links(found: DataFrame, more: DataFrame) -> DataFrame:
+        """Components of links that gave ``found`` and of ``more``: what is joined already enters as stars and takes no rounds."""
+        return components(found.toDF("a", "b").unionByName(more))
+
     one_each = rest.groupBy("value", "tier", "component", "bucket").agg(F.min("cls").alias("cls"))
-    links = cut(links.unionByName(confirm(across(one_each), "first")))
-    joined = components(links).withColumnRenamed("node", "cls").withColumnRenamed("component", "joined")
+    second = with_links(first, confirm(across(one_each), "first"))
+    joined = second.withColumnRenamed("node", "cls").withColumnRenamed("component", "joined")
     rest = rest.join(joined, "cls", "left").withColumn("component", F.coalesce("joined", "component"))
-    links = links.unionByName(confirm(across(cut(rest.drop("joined"))), "rest"))
-
-    final = cut(components(links)).withColumnRenamed("node", "cls")
+    final = cut(with_links(second, confirm(across(cut(rest.drop("joined"))), "rest"))).withColumnRenamed("node", "cls")
     named = classes.join(final, "cls", "left").select("cls", "print", "id", F.coalesce("component", "cls").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = cut(named.join(least, "component").select("print", "component", "component_id"))

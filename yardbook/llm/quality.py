@@ -30,6 +30,7 @@ DIMENSIONS = 1 << 14
 SAMPLE = 3000
 _SCALE = 10.0
 _SLICE = 1 << 18
+_BLOCK = 1 << 17
 
 
 def _features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +79,22 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def fit(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, steps: int = 150, penalty: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ordered thresholds) of the cumulative-link model, each grade weighing the same."""
-    levels = int(grades.max())
     at = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    value = np.concatenate(values).astype(float) * _SCALE
+    value = np.concatenate(values) if values else np.zeros(0, np.float32)
+    return _descend(at, value, np.array([len(r) for r in rows], np.int64), grades, steps, penalty)
+
+
+def _descend(
+    at: np.ndarray, value: np.ndarray, lengths: np.ndarray, grades: np.ndarray, steps: int = 150, penalty: float = 1e-4
+) -> tuple[np.ndarray, np.ndarray]:
+    """``fit`` of rows that stand one after the other; ``_BLOCK`` entries at a time are widened to 64 bits."""
+    levels = int(grades.max())
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    blocks = [slice(k, k + _BLOCK) for k in range(0, len(at), _BLOCK)]
+
+    def wide(block: slice) -> np.ndarray:
+        return value[block].astype(float) * _SCALE
+
     share = 1.0 / np.bincount(grades, minlength=levels + 1)[grades]
     share /= share.sum()
     # Thresholds are a first one and positive gaps, so they stay ordered.
@@ -91,12 +104,16 @@ def fit(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, st
     above = grades[:, None] > np.arange(levels)[None, :]
     for step in range(1, steps + 1):
         thresholds = low[0] + np.concatenate([[0.0], np.cumsum(np.log1p(np.exp(gaps)))])
-        score = np.bincount(row, value * weights[at], len(rows))
+        score = np.zeros(len(lengths))
+        for block in blocks:
+            np.add.at(score, row[block], wide(block) * weights[at[block]])
         chance = 1.0 / (1.0 + np.exp(-np.clip(score[:, None] - thresholds, -30, 30)))
         error = (chance - above) * share[:, None]
-        by_threshold = -error.sum(axis=0)
+        by_threshold, by_row, slope = -error.sum(axis=0), error.sum(axis=1), np.zeros(DIMENSIONS)
+        for block in blocks:
+            np.add.at(slope, at[block], wide(block) * by_row[row[block]])
         slopes = [
-            np.bincount(at, value * error.sum(axis=1)[row], DIMENSIONS) + penalty * weights,
+            slope + penalty * weights,
             np.array([by_threshold.sum()]),
             np.array([by_threshold[k + 1 :].sum() for k in range(len(gaps))]) / (1.0 + np.exp(-gaps)),
         ]
@@ -125,7 +142,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int, text: str, doc_id: st
     grades = np.array([r.grade for r in found])
     if len(set(grades)) < 2 or grades.max() + 1 != len(set(grades)):
         return None
-    return fit([np.frombuffer(r.at, np.int32) for r in found], [np.frombuffer(r.value, np.float32) for r in found], grades)
+    at = np.frombuffer(b"".join(r.at for r in found), np.int32)
+    value = np.frombuffer(b"".join(r.value for r in found), np.float32)
+    lengths = np.array([len(r.at) // at.itemsize for r in found], np.int64)
+    del found  # the arrays hold all of it
+    return _descend(at, value, lengths, grades)
 
 
 def _graded(docs: DataFrame, labels: DataFrame, name: str, select: int, sample: int, text: str, doc_id: str) -> DataFrame:
