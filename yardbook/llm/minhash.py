@@ -4,8 +4,9 @@ Every text becomes the set of its word shingles as 64-bit hashes; its sketch is
 Texts with equal sets are one class, and only classes are compared.
 
 *Neighbours.* Sketches are sorted, as they are and from their second and third value on, and each is
-compared with the two before it. Close neighbours are confirmed and joined to first components, so
-that a large group of near copies costs a few rows per member in what follows. Nothing relies on it.
+compared with the two before it and the first of its block. Close neighbours are confirmed and joined to first
+components, so that a large group of near copies costs a few rows per member in what follows. Nothing
+relies on it.
 
 *Lists.* Each retained value is an inverted list of the classes that retain it, kept apart by set
 size (linked sets differ by at most the threshold's ratio). First one class of each component in a list
@@ -57,6 +58,7 @@ BITS = 1024
 RARE = 1e-6
 TURNS = 3
 WIDE = 24
+BLOCK = 32
 _SLICE = 1 << 18
 _BROADCAST_ROWS = 2_000_000
 
@@ -155,7 +157,10 @@ def _entries(classes: DataFrame, percent: int, keep: int) -> DataFrame:
 
 
 def _close_neighbours(batches: Iterator[pa.RecordBatch], enough: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) of sorted sketches that share enough values with one of the two before them."""
+    """(a, b) of sorted sketches that share enough values with the one before them, and with the first of their block or the second one before, whichever is closer.
+
+    The first of a block shortens the chains that a large group gives, and so the rounds in which they are joined.
+    """
     ids, table = np.zeros(0, np.int64), np.zeros((0, KEEP), np.int64)
     lengths = np.zeros(0, np.int64)
     for batch in batches:
@@ -166,17 +171,20 @@ def _close_neighbours(batches: Iterator[pa.RecordBatch], enough: int) -> Iterato
         ids = np.concatenate([ids[-2:], batch.column(0).to_numpy()])
         table, lengths = np.concatenate([table[-2:], rows]), np.concatenate([lengths[-2:], own])
         valid = np.arange(KEEP) < lengths[:, None]
-        a, b = [], []
-        for back in (1, 2):
-            later, earlier = slice(back, None), slice(0, -back)
-            if len(ids) <= back:
-                continue
-            same = (table[later, :, None] == table[earlier, None, :]) & valid[later, :, None] & valid[earlier, None, :]
-            close = same.any(axis=2).sum(axis=1) >= np.minimum(enough, np.minimum(lengths[later], lengths[earlier]))
-            a.append(ids[earlier][close])
-            b.append(ids[later][close])
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        at = np.arange(len(ids))
+
+        def shared(other: np.ndarray) -> np.ndarray:
+            """How many values each sketch shares with that at ``other``, -1 if they are too few or that place is not an earlier one."""
+            same = (table[:, :, None] == table[other, None, :]) & valid[:, :, None] & valid[other, None, :]
+            values = same.any(axis=2).sum(axis=1)
+            return np.where((other < at) & (values >= np.minimum(enough, np.minimum(lengths, lengths[other]))), values, -1)
+
+        one, two, first = np.maximum(at - 1, 0), np.maximum(at - 2, 0), at // BLOCK * BLOCK
+        of_first, of_two = shared(first), shared(two)
+        second = np.where(of_first >= of_two, first, two)
+        found = [(one, shared(one) >= 0), (second, np.maximum(of_first, of_two) >= 0)]
+        a, b = (np.concatenate(part) for part in ([ids[other][kept] for other, kept in found], [ids[kept] for _, kept in found]))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _neighbours(classes: DataFrame, enough: int) -> DataFrame:
