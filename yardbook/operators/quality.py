@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from yardbook.functions.keys import print_of, repeated_prints, with_mark
 from yardbook.functions.scratch import kept
 from yardbook.operators.revenue import REVENUE_COLUMNS
 from yardbook.sources.catalog import Catalog
@@ -120,15 +121,20 @@ def required_columns(table: str) -> list[str]:
     return _REQUIRED.get(table) or [f.name for f in SCHEMAS[table].fields if not f.nullable]
 
 
+# The key of a fact that few rows of other tables name. Its values are told apart by their prints first.
+PRINTED = {"costs": "cost_id"}
+
+
 class _Rules:
     """The rules of some tables, each with the domain its keys are compared in and a slot there.
 
     A domain is one column of a parent table, or belongs to one rule. Slot -1 holds the rows that own a key, the
-    others the rows that name it; a row that breaks a row rule names a key that nothing owns.
+    others the rows that name it; a row that breaks a row rule names a key that nothing owns. ``measure`` tells what
+    of a slot breaks the rule: keys that are "lost", as nothing owns them, or "again", on more than one row.
     """
 
     def __init__(self):
-        self.rules: list[tuple[str, str, str, int, int]] = []
+        self.rules: list[tuple[str, str, str, int, int, str]] = []
         self._domains: dict[tuple, int] = {}
         self._slots: dict[int, int] = {}
 
@@ -139,9 +145,13 @@ class _Rules:
         slot = -1 if owns else self._slots.get(domain, 0)
         if not owns:
             self._slots[domain] = slot + 1
-        self.rules.append((table, kind, text, domain, slot))
+        self.rules.append((table, kind, text, domain, slot, "again" if owns else "lost"))
         return slot
 
+    def add_unique(self, table: str, text: str, domain: int, slot: int) -> None:
+        """The keys of a slot that has been added must not be repeated."""
+        self.rules.append((table, "unique", text, domain, slot, "again"))
+
     def slots(self) -> int:
         return max(self._slots.values(), default=0)
 
@@ -153,7 +163,8 @@ def _entry(when: Column, domain: int, slot: int, key: Column) -> Column:
 def _entries(df: DataFrame, table: str, rules: _Rules, owned: list[str], whole: bool) -> DataFrame | None:
     """(domain, slot, key) of every key and broken row rule of a table, in one pass over it.
 
-    ``owned``: columns whose values others refer to. Without ``whole`` only these count.
+    ``owned``: columns whose values others refer to. Without ``whole`` only these count. Of a key that has a column
+    ``_wanted_<key>`` only the rows that it marks count.
     """
     nothing, parts = F.lit(None).cast("string"), []
     if whole:
@@ -165,55 +176,85 @@ def _entries(df: DataFrame, table: str, rules: _Rules, owned: list[str], whole:
             # A condition on a NULL value is not violated.
             broken = F.coalesce(F.expr(f"not ({check})"), F.lit(False))
             parts.append(_entry(broken, domain, rules.add(table, "check", check, domain), nothing))
+    named = {}
+    for column, parent in REFERENCES.get(table, []) if whole else []:
+        domain = rules.domain(parent, column)
+        named[column] = domain, rules.add(table, "reference", f"{column} -> {parent}", domain)
+        parts.append(_entry(F.col(column).isNotNull(), *named[column], F.col(column)))
     for key in [k for k in UNIQUE_KEYS.get(table, []) if set(k) <= set(df.columns)]:
         single = len(key) == 1 and key[0] in owned
-        if whole or single:
+        if not single and len(key) == 1 and key[0] in named:
+            # The rows that name the parent's key are the rows that own this one.
+            rules.add_unique(table, key[0], *named[key[0]])
+        elif whole or single:
             domain = rules.domain(table, key[0]) if single else rules.domain(table, "unique", *key)
             if whole:
                 rules.add(table, "unique", ", ".join(key), domain, owns=True)
             present = reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
+            if f"_wanted_{key[0]}" in df.columns:
+                present = present & F.col(f"_wanted_{key[0]}")
             parts.append(_entry(present, domain, -1, F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key])))
-    for column, parent in REFERENCES.get(table, []) if whole else []:
-        domain = rules.domain(parent, column)
-        slot = rules.add(table, "reference", f"{column} -> {parent}", domain)
-        parts.append(_entry(F.col(column).isNotNull(), domain, slot, F.col(column)))
     if not parts:
         return None
     found = F.filter(F.array(*parts), lambda entry: entry.isNotNull())
     return df.select(F.inline(found))
 
 
+def _wanted(tables: Catalog, table: str, key: str, chosen: list[str]) -> DataFrame:
+    """A table with a column that marks the rows whose key may be repeated, or may be named by another table.
+
+    The prints of the keys are compared first. The keys themselves are only needed of rows that this marks; all
+    others are on one row, and no row refers to them.
+    """
+    children = [child for child in chosen if (key, table) in REFERENCES.get(child, [])]
+    wanted = [tables[child].dropna(subset=[key]).select(print_of([key]).alias("_print")) for child in children]
+    if table in chosen:
+        wanted.append(repeated_prints(tables[table], [key]))
+    placed = tables[table].withColumn("_print", F.when(F.col(key).isNotNull(), print_of([key])))
+    return with_mark(placed, reduce(DataFrame.unionByName, wanted), ["_print"], f"_wanted_{key}").drop("_print")
+
+
+def _found(tables: Catalog, chosen: list[str]) -> tuple[_Rules, DataFrame]:
+    """The rules of the chosen tables, and the (domain, slot, key) of all rows that count for them."""
+    needed = {(parent, column) for table in chosen for column, parent in REFERENCES.get(table, [])}
+    rules, found = _Rules(), []
+    for table in [*chosen, *sorted({parent for parent, _ in needed} - set(chosen))]:
+        owned = [column for parent, column in needed if parent == table]
+        rows = _wanted(tables, table, PRINTED[table], chosen) if table in PRINTED else tables[table]
+        found.append(_entries(rows, table, rules, owned, table in chosen))
+    return rules, reduce(DataFrame.unionByName, [f for f in found if f is not None])
+
+
 def dq_constraints(tables: Catalog, names: list[str] | None = None) -> DataFrame:
     """Violations of every key, required-column, condition and reference rule.
 
     Each table is read once: its rows give the keys they own, the keys they name and the row rules they break, and one
     grouping by key over all tables tells repeated keys and keys that nothing owns. Counts are summed within
-    the tasks first, so a frequent key is a few rows. ``names`` limits the report to some tables. Revenue lines that
-    are not stored are computed once, as other tables derive from them.
+    the tasks first, so a frequent key is a few rows. The ids of costs, of which there are most, are shuffled as
+    prints of eight bytes before (a second look at this column); in the grouping only those count whose print is repeated or
+    named. ``names`` limits the report to some tables. Revenue lines that are not stored are computed once, as other
+    tables derive from them.
     """
     chosen = names or list(UNIQUE_KEYS)
     if "revenue_engine" in chosen and not tables.stored("revenue_engine"):
         tables = tables.with_tables(revenue_engine=kept(tables["revenue_engine"], "revenue_engine"))
         tables = tables.with_tables(earned_terms=kept(tables["earned_terms"], "earned_terms"))
-    needed = {(parent, column) for table in chosen for column, parent in REFERENCES.get(table, [])}
-    rules, found = _Rules(), []
-    for table in [*chosen, *sorted({parent for parent, _ in needed} - set(chosen))]:
-        owned = [column for parent, column in needed if parent == table]
-        found.append(_entries(tables[table], table, rules, owned, table in chosen))
-    entries = reduce(DataFrame.unionByName, [f for f in found if f is not None])
-    slots = range(rules.slots())
-    by_key = entries.groupBy("domain", "key").agg(
-        F.count_if(F.col("slot") == -1).alias("owners"), *[F.count_if(F.col("slot") == k).alias(f"n{k}") for k in slots]
-    )
-    lost = [F.sum(F.when(F.col("owners") == 0, F.col(f"n{k}")).otherwise(0)).alias(f"n{k}") for k in slots]
-    sums = by_key.groupBy("domain").agg(F.sum(F.greatest(F.col("owners") - 1, F.lit(0))).alias("surplus"), *lost)
-    counts = [F.struct(F.lit(-1).alias("slot"), F.col("surplus").alias("n"))]
-    counts += [F.struct(F.lit(k).alias("slot"), F.col(f"n{k}").alias("n")) for k in slots]
-    broken = sums.select("domain", F.inline(F.array(*counts)))
-    schema = "table_name string, kind string, rule string, domain int, slot int"
+    rules, entries = _found(tables, chosen)
+    slots = [-1, *range(rules.slots())]
+    by_key = entries.groupBy("domain", "key").agg(*[F.count_if(F.col("slot") == k).alias(f"n{k}") for k in slots])
+    zero, sums, counts = F.lit(0), [], []
+    for k in slots:
+        n = F.col(f"`n{k}`")
+        sums.append(F.sum(F.when(F.col("`n-1`") == 0, n).otherwise(zero)).alias(f"lost{k}"))
+        sums.append(F.sum(F.greatest(n - 1, zero)).alias(f"again{k}"))
+        for measure in ("lost", "again"):
+            counts.append(F.struct(F.lit(k).alias("slot"), F.lit(measure).alias("measure"), F.col(f"`{measure}{k}`").alias("n")))
+    broken = by_key.groupBy("domain").agg(*sums).select("domain", F.inline(F.array(*counts)))
+    schema = "table_name string, kind string, rule string, domain int, slot int, measure string"
     listed = tables.spark.createDataFrame(rules.rules, schema)
     violations = F.coalesce("n", F.lit(0)).cast("bigint").alias("violations")
-    return listed.join(broken, ["domain", "slot"], "left").select("table_name", "kind", "rule", violations)
+    joined = listed.join(broken, ["domain", "slot", "measure"], "left")
+    return joined.select("table_name", "kind", "rule", violations)
 
 
 def missing_rate_cards(tables: Catalog) -> DataFrame:

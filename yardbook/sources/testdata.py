@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,35 +143,37 @@ def finance_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         )
 
     def costs(_: Catalog) -> DataFrame:
-        # One branch per kind: a query for one category or tax code drops the other branches.
-        # Id letter, category, amount, tax code, supplier, condition.
-        kinds = [
-            ("F", "Fuel", "px", "GST", "Fuel depot", "true"),
-            ("L", "Labour", "38000 + (part_key * 37) % 27000", "N-T", "Payroll", "true"),
-            ("M", "Maintenance", "20000 + (part_key * 53) % 70000", "GST", "Repairs", "line_no % 3 = 0"),
-            ("T", "Transport/float", "40000 + (supp_key * 101) % 80000", "GST", "Haulage", "float_required"),
-            ("E", "E-tag", "2000 + (part_key * 11) % 10000", "GST", "Tolls", "part_key % 5 = 0"),
-        ]
-
-        def branch(letter: str, category: str, amount: str, code: str, supplier: str, when: str) -> DataFrame:
-            job = "job_id" if letter != "E" else "case when job_key % 97 = 0 then 'J-MISSING' else job_id end"
-            return (
-                usage_keys()
-                .where(when)
-                .selectExpr(
-                    f"concat('{letter}-', usage_id) as cost_id",
-                    "usage_id",
-                    f"{job} as job_id",
-                    "asset_id",
-                    "usage_date as cost_date",
-                    f"'{category}' as cost_category",
-                    f"cast({amount} as bigint) as amount_cents",
-                    f"'{code}' as tax_code",
-                    f"'{supplier}' as supplier_name",
-                )
+        # The usage rows are read once for all kinds. The kinds are a table of constants, so a query for one category
+        # or tax code leaves the others out before the join, and reads no usage if none is left.
+        kinds = spark.sql(
+            """
+            select * from values
+              ('F', 'Fuel', 'GST', 'Fuel depot'),
+              ('L', 'Labour', 'N-T', 'Payroll'),
+              ('M', 'Maintenance', 'GST', 'Repairs'),
+              ('T', 'Transport/float', 'GST', 'Haulage'),
+              ('E', 'E-tag', 'GST', 'Tolls') as t(letter, cost_category, tax_code, supplier_name)
+            """
+        )
+        incurred = """case letter when 'M' then line_no % 3 = 0 when 'T' then float_required
+                      when 'E' then part_key % 5 = 0 else true end"""
+        per_usage = (
+            usage_keys()
+            .join(kinds, F.expr(incurred))
+            .selectExpr(
+                "concat(letter, '-', usage_id) as cost_id",
+                "usage_id",
+                "case when letter = 'E' and job_key % 97 = 0 then 'J-MISSING' else job_id end as job_id",
+                "asset_id",
+                "usage_date as cost_date",
+                "cost_category",
+                """cast(case letter when 'F' then px when 'L' then 38000 + (part_key * 37) % 27000
+                        when 'M' then 20000 + (part_key * 53) % 70000 when 'T' then 40000 + (supp_key * 101) % 80000
+                        else 2000 + (part_key * 11) % 10000 end as bigint) as amount_cents""",
+                "tax_code",
+                "supplier_name",
             )
-
-        per_usage = reduce(DataFrame.unionByName, [branch(*kind) for kind in kinds])
+        )
         subcontract = (
             jobs()
             .where("job_key % 20 = 0")
