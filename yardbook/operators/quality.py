@@ -231,7 +231,7 @@ def dq_constraints(tables: Catalog, names: list[str] | None = None) -> DataFrame
     Each table is read once: its rows give the keys they own, the keys they name and the row rules they break, and one
     grouping by key over all tables tells repeated keys and keys that nothing owns. Counts are summed within
     the tasks first, so a frequent key is a few rows. The ids of costs, of which there are most, are shuffled as
-    prints of eight bytes before (a second look at this column); in the grouping only those count whose print is repeated or
+    short prints before (a second look at this column); in the grouping only those count whose print is repeated or
     named. ``names`` limits the report to some tables. Revenue lines that are not stored are computed once, as other
     tables derive from them.
     """
